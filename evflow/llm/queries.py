@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from evflow.llm.html import op4_html
 from evflow.llm.packing import op8_packing
 from evflow.llm.records import op2_records
+from evflow.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_records": op2_records,
+    "op4_html": op4_html,
+    "op6_toxicity": op6_toxicity,
     "op8_packing": op8_packing,
 }
 
