@@ -34,9 +34,10 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         start = stop
 
 
-def split_words(texts: pa.Array) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text with A-Z in lower case; a null text has none."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+def split_words(texts: pa.Array, lower: bool = True) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z in lower case unless ``lower`` is false; a null text has none."""
+    whole = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))), "")  # a copy: kernels misread some slices
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(whole) if lower else whole)
     flat, ends = parts.flatten(), parts.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     ends = ends - ends[0]
     full = pc.greater(pc.binary_length(flat), 0)
