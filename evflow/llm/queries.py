@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from evflow.llm.decontaminate import op3_decontaminate
+from evflow.llm.hamming import OP1_SQL, op1_hamming
 from evflow.llm.html import op4_html
+from evflow.llm.jaccard import op7_jaccard
+from evflow.llm.licenses import op9_licenses
 from evflow.llm.packing import op8_packing
+from evflow.llm.quality import op10_quality
 from evflow.llm.records import op2_records
 from evflow.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_hamming": op1_hamming,
     "op2_records": op2_records,
+    "op3_decontaminate": op3_decontaminate,
     "op4_html": op4_html,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
+    "op9_licenses": op9_licenses,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_hamming": OP1_SQL}
