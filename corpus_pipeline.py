@@ -1,15 +1,77 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: documents without toxic, poor, repeated or contaminated ones, packed for training.
+
+Each stage takes what its predecessor kept, written and read again, and its decisions take effect:
+
+1. toxicity: rows with a toxicity score of 0.7 or more go.
+2. quality: rows whose grade is likelier below 1 than not go.
+3. near_duplicates: of each class of near-duplicates the row with the smallest doc_id stays.
+4. decontamination: rows that hold a benchmark item within its edit budget go.
+5. packing: the rest is packed into windows of up to 4096 tokens; one row a piece.
+
+Cases: null texts count as empty ones; rows without a doc_id pass the third stage; other columns stay up to the last
+stage; repeated doc_ids count as one document in the third stage; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evflow.llm import decontaminate, jaccard, packing, quality, toxicity
+from evflow.llm.store import stage
+from evflow.llm.text import keep_rows, text_view
+
+#: Ids of kept documents (8 bytes each) that go to every executor at most; beyond that, a shuffle join.
+BROADCAST_IDS = 2_000_000
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity classifier doesn't reject."""
+    model = toxicity.fit(text_view(docs), toxicity.train_labels(spark, sf_dir))
+    return keep_rows(docs, lambda part: toxicity.document_scores(part.column("text"), model) < 0.7)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose quality is good rather than not."""
+    model = quality.fit(text_view(docs), quality.graded(spark, sf_dir))
+    return keep_rows(docs, lambda part: quality.rate(part.column("text"), model, 1)[1] >= 0.5)
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents, each written and read again."""
-    from evflow.llm.store import stage
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates."""
+    found = stage(jaccard.classes(docs).select("doc_id", "component_id").where("doc_id is not null"), "classes")
+    kept = stage(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    few = kept.count() <= BROADCAST_IDS
+    named = docs.join(F.broadcast(kept) if few else kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    if found.count() > found.select("doc_id").distinct().count():
+        named = named.dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in their windows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL can't express the models, the token ids and the packing.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)

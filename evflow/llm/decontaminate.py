@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evflow.llm.text import slices, text_view
+from evflow.llm.text import keep_rows, slices, text_view
 
 #: Share of an item's characters that may be edited.
 BUDGET = 0.06
@@ -145,17 +145,33 @@ def loaded(rows: list[tuple[int, str]], budget: float) -> tuple[list[Item], ahoc
     return _loaded[key]
 
 
+def send(benchmark: DataFrame):
+    """The benchmark's items, sent to every executor once their size is checked."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MAX_BENCHMARK_CHARS:
+        raise ValueError(f"the benchmark has {size} characters; {MAX_BENCHMARK_CHARS} may be sent to every executor")
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().orderBy("item_id", "text")
+    return benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item of the benchmark."""
+    sent = send(benchmark)
+
+    def keep(part: pa.RecordBatch) -> list[bool]:
+        items, search = loaded(sent.value, budget)
+        texts = map(normalise, part.column("text").to_pylist())
+        return [not (items and text and matches(text, items, search)) for text in texts]
+
+    return keep_rows(docs, keep)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """Pairs (doc_id, item_id) of texts that hold a passage within an item's budget.
 
     Also: distance, budget, end (characters of the normalised text up to the passage's end), hits (pieces found there).
     """
-    spark = docs.sparkSession
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"the benchmark has {size} characters; {MAX_BENCHMARK_CHARS} may be sent to every executor")
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().orderBy("item_id", "text").collect()]
-    sent = spark.sparkContext.broadcast(rows)
+    sent = send(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, search = loaded(sent.value, budget)

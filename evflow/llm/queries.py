@@ -8,6 +8,7 @@ from evflow.llm.html import op4_html
 from evflow.llm.jaccard import op7_jaccard
 from evflow.llm.licenses import op9_licenses
 from evflow.llm.packing import op8_packing
+from evflow.llm.pitman_yor import op5_pitman_yor
 from evflow.llm.quality import op10_quality
 from evflow.llm.records import op2_records
 from evflow.llm.toxicity import op6_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_records": op2_records,
     "op3_decontaminate": op3_decontaminate,
     "op4_html": op4_html,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_toxicity": op6_toxicity,
     "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,

@@ -66,3 +66,14 @@ def text_view(docs, extra: tuple[str, ...] = ()):
     from pyspark.sql import functions as F
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra)
+
+
+def keep_rows(docs, keep):
+    """The rows of ``docs``, with all their columns, for which ``keep`` of a batch gives true; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
