@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from evflow.plans import aggregate_queries, evaluation_queries, nested_queries, scalar_queries, selection_queries  # noqa: F401
+from evflow.plans.catalog import ORACLE_SQL, QUERIES  # noqa: F401
