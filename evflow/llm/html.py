@@ -2,8 +2,9 @@
 
 Each page scores its containers by the prose in them: a block's characters outside links count for the container it
 stands in, half for the next one out, a quarter for the one beyond.  A best container inside an article or main element
-gives way to that element.  Its path (tags and classes from the root, digits made alike) is the page's vote.  Spark counts the votes of each host, and each page is extracted again from the containers with its
-host's winning path; a page without that path, or with no text there, uses its own best container.
+gives way to that element.  Its path (tags and classes from the root, digits made alike) is the page's vote.  Spark
+counts the votes of each host, and each page is extracted again from the containers with its host's winning path; a
+page without that path, or with no text there, uses its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are known by tag, role or class and
 are left out everywhere.
@@ -52,17 +53,16 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An open element: its path, whether it is boilerplate or a link, and its own block of text."""
 
-    __slots__ = ("best", "boiler", "container", "link", "path", "tag")
+    __slots__ = ("boiler", "container", "link", "path", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
         classes = found.get("class", "").split()
         self.tag = tag
-        self.path = (f"{parent.path}>" if parent else "") + tag + "".join(f".{_DIGITS.sub('N', c)}" for c in sorted(classes))
+        self.path = f"{parent.path}>{tag}" + "".join(f".{_DIGITS.sub('N', c)}" for c in sorted(classes)) if parent else "#"
         self.boiler = bool(parent and parent.boiler) or is_boiler(tag, classes, found)
         self.link = tag == "a" or bool(parent and parent.link)
         self.container = self if tag in _CONTAINER else parent.container if parent else self
-        self.best = 0.0
 
 
 def is_boiler(tag: str, classes: list[str], attrs: dict[str, str]) -> bool:
@@ -128,7 +128,7 @@ def blocks(html: str) -> Iterator[tuple[Node, str, int]]:
             if stack[k].tag in _CONTAINER or stack[k].tag in ("ul", "ol", "dl", "table"):
                 break
         if not (m[4] or "").endswith("/") or tag in _BLOCK:
-            stack.append(Node(tag, m[4] or "", stack[-1] if len(stack) > 1 else None))
+            stack.append(Node(tag, m[4] or "", stack[-1]))
     if end < len(html) and not stack[-1].boiler:
         text.append(html[end:])
     if done := close():

@@ -57,7 +57,7 @@ def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Data
 Featurizer = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def screen(rows: DataFrame, featurize: Featurizer, grades: list[int], least: float = 3.5, limit: int = MAX_FEATURES) -> np.ndarray:
+def screen(rows: DataFrame, featurize: Featurizer, grades: list[int], least: float = 3.0, limit: int = MAX_FEATURES) -> np.ndarray:
     """Features whose presence differs most between grades, by the largest z-score of the log odds over all cuts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
