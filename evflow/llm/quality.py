@@ -30,7 +30,7 @@ _RUN = re.compile(r"(.)\1+", re.S)
 _SIGNS = re.compile(r"[^\w\s]+$")
 _EMPTY, _AGAIN = hashed("empty"), hashed("again")
 #: Words remembered by a worker with their score.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 150_000
 
 
 class Model(NamedTuple):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from evflow.llm.text import Words, split_words
 
 #: Words remembered by a worker, at about 150 bytes each; beyond that the memory starts again.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 400_000
 _TAIL = ".,!?;:"
 _encoders: dict[str, WordEncoder] = {}
 

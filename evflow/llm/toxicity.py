@@ -44,7 +44,7 @@ _TERMS = {term: kind for kind in _KINDS for term in kind}
 _EDGE = ".,!?;:\"'()[]{}<>*_-|&%$#"
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: Words remembered by a worker with their weight.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 150_000
 
 
 class Model(NamedTuple):
