@@ -5,7 +5,7 @@ from __future__ import annotations
 from evflow.llm.decontaminate import op3_decontaminate
 from evflow.llm.hamming import OP1_SQL, op1_hamming
 from evflow.llm.html import op4_html
-from evflow.llm.jaccard import op7_jaccard
+from evflow.llm.jaccard import OP7_SQL, op7_jaccard
 from evflow.llm.licenses import op9_licenses
 from evflow.llm.packing import op8_packing
 from evflow.llm.pitman_yor import op5_pitman_yor
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_hamming": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_hamming": OP1_SQL, "op7_jaccard": OP7_SQL}
