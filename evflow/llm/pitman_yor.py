@@ -4,20 +4,24 @@ The predictive probability of a word is that of the restaurant of its context, w
 
     p(w | u) = (c - d * t + (s + d * T) * p(w | parent)) / (s + C)
 
-with the word's customers c and tables t in u, and C, T over all words.  Contexts are classes of the word before: 64 by
-its last letter, each shared as parent by 64 by its last three letters, or the whole word if it is short; above them is
-the restaurant without context, and above that an even chance for each known word and one more that stands for all
-others.  A table of a restaurant is a customer of its parent.
+with the word's customers c and tables t in u, and C, T over all words.  Each word before is a context of its own.  Its
+parent is its class: 64 by the last letter, each shared as parent by 64 by the last three letters, or the whole word if
+it is short; above them is the restaurant without context, and above that an even chance for each known word and one
+more that stands for all others.  A table of a restaurant is a customer of its parent.
 
 All customers of a word, in whatever context, are in one block, so the seating of a word is sampled within a task: table
 counts are drawn by Gibbs from their distribution given the customers and the parent's probability, first the contexts',
-then their parents', then the root's, some sweeps over.  What a draw needs from other words are each restaurant's total
-tables, at most 4161 numbers, which are summed over the blocks between rounds, when the strengths s are drawn, too.
-Discounts d come from how many words have one and two customers.  The probability of a word is the mean over the last
-sweeps.  For over 64 customers of a word in a context, later ones are seated in runs.
+then their classes', these classes' parents', then the root's, some sweeps over.  What a draw needs from other words are
+each restaurant's total tables.  Those of classes and above are 4161 numbers, which are summed over the blocks between
+rounds and sent to all.  Those of words grow with the text: each belongs by its hash to one of as many parts as there
+are blocks; blocks tell the parts their tables, the parts sum them and tell the blocks that have the context.  Strengths
+s are drawn between rounds, too: by auxiliary variables, for the words' restaurants from a grid.  Discounts d come from
+how many words have one and two customers.  The probability of a word is the mean over the last sweeps.  For over 64
+customers of a word in a context, later ones are seated in runs.
 
 Documents are worked on in chunks of some megabytes, which ask the blocks for the words and contexts that they hold; the
-answers go back to the chunk.  So a common word costs a block at most one entry a context and chunk.
+answers go back to the chunk.  Chunks, blocks and parts are files of the shared folder; what is shuffled are requests,
+answers and totals.
 
 Cases: a null or empty text is its end alone; without training documents all words are unknown and equally unlikely;
 a null doc_id trains; repeated rows train and are scored as often as they occur; other columns are left out.
@@ -34,13 +38,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from evflow.llm.store import stage
+from evflow.llm.store import new_path, open_file, stage
 from evflow.llm.text import hash64, slices, split_words, text_view
 
 PARENTS, CHILDREN = 64, 64
 CONTEXTS = PARENTS * CHILDREN
+#: Tasks that add up the blocks' totals before these come to the driver.
+ADDERS = 16
+#: Bits of a context's number below its class.
+CLASS_SHIFT = 51
 #: Bytes of text of a chunk; one longer text is a chunk alone.
 CHUNK_BYTES = 8 << 20
 #: Customers of a word in a context up to which table counts are drawn exactly.
@@ -58,6 +65,13 @@ class State(NamedTuple):
     words: int
 
 
+class Low(NamedTuple):
+    """Discount and strength of the words' restaurants."""
+
+    discount: float
+    strength: float
+
+
 def context_of(word: str) -> int:
     """Context class that a word gives to the next one."""
     raw = word.encode("utf-8", "surrogatepass").rstrip(b".,!?;:")
@@ -70,16 +84,59 @@ def held_out(doc: int | None, folds: int = 5) -> bool:
     return doc is not None and zlib.crc32(str(doc).encode()) % folds == 1
 
 
-CHUNK = "chunk long, docs array<long>, known array<boolean>, lengths array<int>, tokens array<int>, hashes array<long>, contexts array<int>"
+def context_ids(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Each word's own restaurant: its class, then 51 bits of its hash, as a number of 63 bits."""
+    return classes.astype(np.int64) << CLASS_SHIFT | (hashes.view(np.uint64) >> np.uint64(64 - CLASS_SHIFT)).astype(np.int64)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes: first the first byte of all numbers, then the second, which are more alike."""
+    head = [len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), a.size))]
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    raw = b"".join([np.array(head, np.int64).tobytes(), *planes])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(data) -> list[np.ndarray]:
+    """The arrays of ``pack``."""
+    data = memoryview(data)
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 * (1 + 2 * n), []
+    for kind, size in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(-1, 2).tolist():
+        width = np.dtype(chr(kind)).itemsize
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(chr(kind)))
+        at += size * width
+    return out
+
+
+def save(uri: str, *arrays: np.ndarray) -> None:
+    """Write arrays to a file of the shared folder; a task that is run again writes the same."""
+    with open_file(uri, "wb") as f:
+        f.write(pack(*arrays))
+
 
+def load(uri: str) -> list[np.ndarray]:
+    with open_file(uri, "rb") as f:
+        return unpack(f.read())
 
-def lists(values: dict[str, tuple[np.ndarray, pa.DataType]]) -> dict[str, pa.Array]:
-    """List columns of one row."""
-    return {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, t)) for k, (v, t) in values.items()}
 
+def rows(names: tuple[str, ...], found: list[tuple[int, int, bytes]]) -> pa.Table:
+    """A table of two numbers and bytes."""
+    columns = list(zip(*found, strict=True)) or [(), (), ()]
+    return pa.table({names[0]: pa.array(columns[0], pa.int64()), names[1]: pa.array(columns[1], pa.int64()), "data": pa.array(columns[2], pa.binary())})
 
-def encode(docs: DataFrame) -> DataFrame:
-    """One row a chunk: its documents, their tokens as places in the chunk's words, and each word's hash and context."""
+
+def in_turn(table: pa.Table, by: str) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """The rows' numbers in ascending order, and the arrays of each row."""
+    turn = table[by].to_numpy()
+    order = np.argsort(turn)
+    return turn[order], [unpack(table["data"][int(k)].as_buffer()) for k in order]
+
+
+def encode(docs: DataFrame, base: str) -> DataFrame:
+    """A file for each chunk: its documents, their tokens as places in the chunk's words, each word's hash and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() << 32
@@ -87,123 +144,164 @@ def encode(docs: DataFrame) -> DataFrame:
             for part in slices(batch, limit=CHUNK_BYTES):
                 words = split_words(part.column("text"))
                 vocab = [*words.vocab, _END]
-                lengths = np.diff(words.offsets) + 1
+                lengths = (np.diff(words.offsets) + 1).astype(np.int32)
                 tokens = np.insert(words.ids.astype(np.int32), words.offsets[1:], len(vocab) - 1)
                 ids = part.column("doc_id").to_pylist()
-                columns = lists(
-                    {
-                        "docs": (np.array([i or 0 for i in ids], np.int64), pa.int64()),
-                        "known": (np.array([i is not None for i in ids], bool), pa.bool_()),
-                        "lengths": (lengths.astype(np.int32), pa.int32()),
-                        "tokens": (tokens, pa.int32()),
-                        "hashes": (hash64(vocab).view(np.int64), pa.int64()),
-                        "contexts": (np.fromiter(map(context_of, vocab), np.int32, len(vocab)), pa.int32()),
-                    }
-                )
-                yield pa.record_batch([pa.array([turn], pa.int64()), *columns.values()], names=["chunk", *columns])
+                docs, known = np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool)
+                classes = np.fromiter(map(context_of, vocab), np.int16, len(vocab))
+                save(f"{base}/chunk-{turn}", docs, known, lengths, tokens, hash64(vocab).view(np.int64), classes)
+                yield pa.record_batch([pa.array([turn], pa.int64())], names=["chunk"])
                 turn += 1
 
-    return stage(docs.mapInArrow(run, CHUNK), "chunks")
+    return stage(docs.mapInArrow(run, "chunk long"), "chunks")
 
 
 class Pairs(NamedTuple):
-    """Distinct (word, context) pairs of a chunk, by block, word and context, and where each token finds its own."""
+    """Distinct (word, word before) pairs of a chunk, by block, and where each token finds its own."""
 
     order: np.ndarray  # words by block
     block: np.ndarray  # block of each of them
     rank: np.ndarray  # place of each word in ``order``
     word: np.ndarray  # of each pair, as place in ``order``
-    context: np.ndarray  # of each pair
+    before: np.ndarray  # of each pair, as place in the chunk's words
     back: np.ndarray  # pair of each token
 
 
-def pairs_of(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, contexts: np.ndarray, blocks: int) -> Pairs:
+def pairs_of(tokens: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, blocks: int) -> Pairs:
     """The pairs of a chunk, in an order that depends on the chunk alone."""
     block = (hashes.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
-    order = np.argsort(block, kind="stable")
+    order = np.lexsort((hashes, block))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     before = np.empty(len(tokens), np.int64)
-    before[1:] = contexts[tokens[:-1]]
-    before[np.cumsum(lengths) - lengths] = contexts[-1]  # a text follows the end of another
-    found, back = np.unique(rank[tokens] * CONTEXTS + before, return_inverse=True)
-    return Pairs(order, block[order], rank, found // CONTEXTS, found % CONTEXTS, back)
-
-
-def row_arrays(batch: pa.RecordBatch | pa.Table, k: int, names: tuple[str, ...]) -> list[np.ndarray]:
-    """The lists of row k as numpy arrays."""
-    out = []
-    for name in names:
-        column = batch.column(name)
-        out.append((column[k].values).to_numpy(zero_copy_only=False))
-    return out
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lengths) - lengths] = len(hashes) - 1  # a text follows the end of another
+    found, back = np.unique(rank[tokens] * len(hashes) + before, return_inverse=True)
+    return Pairs(order, block[order], rank, found // len(hashes), found % len(hashes), back)
 
 
-ASK = "block int, chunk long, words array<long>, sizes array<int>, contexts array<int>, counts array<int>"
+def requests(chunks: DataFrame, base: str, blocks: int) -> DataFrame:
+    """What each chunk asks each block: words, how many words before each has, these, and their customers in training."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in (c for batch in batches for c in batch.column("chunk").to_pylist()):
+            docs, known, lengths, tokens, hashes, classes = load(f"{base}/chunk-{chunk}")
+            p = pairs_of(tokens, lengths, hashes, blocks)
+            train = np.array([not (ok and held_out(d)) for d, ok in zip(docs.tolist(), known.tolist(), strict=True)], float)
+            count = np.bincount(p.back, np.repeat(train, lengths), len(p.word)).astype(np.int32)
+            sizes = np.bincount(p.word, minlength=len(p.order)).astype(np.int32)
+            cut_w = np.searchsorted(p.block, np.arange(blocks + 1))
+            cut_p = np.concatenate([[0], np.cumsum(sizes)])[cut_w]
+            words, contexts = hashes[p.order], context_ids(hashes, classes)[p.before]
+            for b in np.flatnonzero(np.diff(cut_w)).tolist():
+                w, q = slice(cut_w[b], cut_w[b + 1]), slice(cut_p[b], cut_p[b + 1])
+                ids, place = np.unique(contexts[q], return_inverse=True)
+                yield rows(("block", "chunk"), [(b, chunk, pack(np.diff(words[w], prepend=0), sizes[w], np.diff(ids, prepend=0), place.astype(np.int32), count[q]))]).to_batches()[0]
+
+    return chunks.repartition(blocks).mapInArrow(run, "block long, chunk long, data binary")
+
+
+def blocks_of(asked: DataFrame, base: str, parts: int) -> DataFrame:
+    """A file for each block: all requests, and the customers of its pairs; rows tell each part its contexts' customers.
+
+    The distinct contexts of a block are in the order of their parts, and of their classes and hashes in each.
+    """
 
-def requests(chunks: DataFrame, blocks: int) -> DataFrame:
-    """What each chunk asks each block: words, how many contexts each has, these, and their customers in training."""
+    def gather(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        chunks, found = in_turn(table, "chunk")
+        n_words, n_pairs = (np.array([len(f[k]) for f in found], np.int64) for k in (0, 3))
+        contexts = np.concatenate([np.cumsum(f[2])[f[3]] for f in found])
+        words = np.concatenate([np.cumsum(f[0]) for f in found])
+        sizes, count = (np.concatenate([f[k] for f in found]) for k in (1, 4))
+        del found
+        vocab, word = np.unique(words, return_inverse=True)
+        ids, context = np.unique(contexts, return_inverse=True)
+        order = np.argsort(ids % parts, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        ids, context = ids[order], place[context]
+        keys, back = np.unique(np.repeat(word, sizes) * len(ids) + context, return_inverse=True)
+        total = np.bincount(back, count, len(keys)).astype(np.int64)
+        save(f"{base}/block-{block}", chunks, n_words, n_pairs, word.astype(np.int32), back.astype(np.int32), np.diff(keys, prepend=0), total, (ids >> CLASS_SHIFT).astype(np.int16), np.bincount(ids % parts, minlength=parts), np.array([len(vocab)]))
+        own = np.bincount(keys % len(ids), total, len(ids)).astype(np.int64)
+        tables = np.bincount(keys % len(ids), total > 0, len(ids)).astype(np.int32)
+        seating, *_ = block_of(base, block)
+        cut = np.searchsorted(ids % parts, np.arange(parts + 1))
+        told = [(k, block, pack(ids[cut[k] : cut[k + 1]], own[cut[k] : cut[k + 1]], tables[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut)).tolist()]
+        return rows(("part", "block"), [*told, (-1 - block % ADDERS, block, pack(seating.totals().ravel()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                docs, known, lengths, tokens, hashes, contexts = row_arrays(batch, k, ("docs", "known", "lengths", "tokens", "hashes", "contexts"))
-                p = pairs_of(tokens, lengths, hashes, contexts, blocks)
-                train = np.array([not (ok and held_out(d)) for d, ok in zip(docs.tolist(), known.tolist(), strict=True)], float)
-                count = np.bincount(p.back, np.repeat(train, lengths), len(p.word)).astype(np.int32)
-                sizes = np.bincount(p.word, minlength=len(p.order)).astype(np.int32)
-                cut_w = np.searchsorted(p.block, np.arange(blocks + 1)).astype(np.int32)
-                cut_p = np.concatenate([[0], np.cumsum(sizes)])[cut_w].astype(np.int32)
-                full = np.flatnonzero(np.diff(cut_w))
+    return asked.repartition(parts, "block").groupBy("block").applyInArrow(gather, TOLD)
 
-                def listed(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType, full: np.ndarray = full) -> pa.Array:
-                    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(values, kind)).take(pa.array(full))
 
-                columns = [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), batch.column("chunk")[k].as_py()))]
-                columns += [listed(hashes[p.order], cut_w, pa.int64()), listed(sizes, cut_w, pa.int32()), listed(p.context.astype(np.int32), cut_p, pa.int32()), listed(count, cut_p, pa.int32())]
-                yield pa.record_batch(columns, names=["block", "chunk", "words", "sizes", "contexts", "counts"])
+TOLD = "part long, block long, data binary"
+HEARD = "block long, part long, data binary"
 
-    return chunks.mapInArrow(run, ASK)
 
+def contexts_of(told: DataFrame, base: str, parts: int, first: bool, discount: float) -> DataFrame:
+    """Customers (the first time) and tables of each context over all blocks, sent back to those that have it.
 
-BLOCK = "block int, chunks array<long>, asked_words array<int>, asked_pairs array<int>, word array<int>, sizes array<int>, contexts array<int>, n_words int, keys array<long>, counts array<long>"
+    Rows of block -1 are the strength's log likelihood at each point of ``GRID``, summed over the part's contexts, those
+    of block -2 the totals of the restaurants above, summed over some blocks.
+    """
 
+    def add(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        blocks, found = in_turn(table, "block")
+        if part < 0:
+            return rows(("block", "part"), [(-2, part, pack(sum(f[0] for f in found)))])
+        tables = np.concatenate([f[-1] for f in found]).astype(np.int64)
+        if first:
+            cuts = np.concatenate([[0], np.cumsum([len(f[-1]) for f in found])])
+            ids, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+            customers = np.bincount(back, np.concatenate([f[1] for f in found]), len(ids)).astype(np.int64)
+            save(f"{base}/part-{part}", cuts, back.astype(np.int32), customers)
+        else:
+            cuts, back, customers = load(f"{base}/part-{part}")
+        total = np.bincount(back, tables, len(customers)).astype(np.int64)
+        pairs, n = np.unique(np.stack([customers, total])[:, customers > 1], axis=1, return_counts=True)
+        likely = np.array([(n * strength_log(s, discount, *pairs)).sum() for s in GRID])
+        sent = [(b, part, pack(*([customers[back[i:j]]] if first else []), total[back[i:j]].astype(np.int32))) for b, i, j in zip(blocks.tolist(), cuts[:-1], cuts[1:], strict=True)]
+        return rows(("block", "part"), [*sent, (-1, part, pack(likely))])
 
-def blocks_of(asked: DataFrame) -> DataFrame:
-    """One row a block: the summed customers of its (word, context) pairs, and all requests with words as places."""
+    return stage(told.repartition(parts, "part").groupBy("part").applyInArrow(add, HEARD), "contexts")
 
-    def gather(table: pa.Table) -> pa.Table:
-        table = table.sort_by("chunk")
 
-        def flat(name: str) -> np.ndarray:
-            return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+#: Strengths of the words' restaurants that are tried, and the log likelihood of one.
+GRID = np.geomspace(1e-3, 1e4, 96)
 
-        sizes, context, count = flat("sizes"), flat("contexts"), flat("counts")
-        vocab, word = np.unique(flat("words"), return_inverse=True)
-        key = np.repeat(word, sizes) * CONTEXTS + context
-        keys, back = np.unique(key, return_inverse=True)
-        total = np.bincount(back, count, len(keys)).astype(np.int64)
-        kept = total > 0
-        lengths = table["words"].combine_chunks().value_lengths().to_numpy()
-        pairs = table["contexts"].combine_chunks().value_lengths().to_numpy()
-        columns = lists(
-            {
-                "chunks": (table["chunk"].to_numpy(), pa.int64()),
-                "asked_words": (lengths, pa.int32()),
-                "asked_pairs": (pairs, pa.int32()),
-                "word": (word.astype(np.int32), pa.int32()),
-                "sizes": (sizes, pa.int32()),
-                "contexts": (context, pa.int32()),
-                "keys": (keys[kept], pa.int64()),
-                "counts": (total[kept], pa.int64()),
-            }
-        )
-        block, n = pa.array([table["block"][0].as_py()], pa.int32()), pa.array([len(vocab)], pa.int32())
-        names = [x.split()[0] for x in BLOCK.split(", ")]
-        return pa.table({k: block if k == "block" else n if k == "n_words" else columns[k] for k in names})
 
-    return stage(asked.groupBy("block").applyInArrow(gather, BLOCK), "blocks")
+def gammaln(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers."""
+    y = x + 8
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - sum(np.log(x + k) for k in range(8))
+
+
+def strength_log(s: float, d: float, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Log likelihood of the strength of restaurants with these customers and tables."""
+    return gammaln(s / d + tables) - gammaln(s / d + 1) - gammaln(s + customers) + gammaln(s + 1)
+
+
+def summed(packed: DataFrame, size: int) -> np.ndarray:
+    """Sum of packed arrays: one row a task is moved, 16 come to the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for x in batch.column("data"):
+                total += unpack(x.as_buffer())[0]
+        yield pa.record_batch([pa.array([pack(total)], pa.binary())], names=["data"])
+
+    found = packed.select("data").mapInArrow(add, "data binary").repartition(ADDERS).mapInArrow(add, "data binary").collect()
+    return np.sum([unpack(r[0])[0] for r in found], 0)
+
+
+def low_strength(heard: DataFrame, seed: int) -> float:
+    """Strength of the words' restaurants, drawn from its distribution on the grid."""
+    log = summed(heard.where("block = -1"), len(GRID)) - GRID + np.log(GRID)
+    p = np.exp(log - log.max())
+    return float(np.random.default_rng([seed, 4]).choice(GRID, p=p / p.sum()))
 
 
 @lru_cache(maxsize=8)
@@ -274,6 +372,11 @@ class Seating:
         back = (s.strength[1] + s.discount[1] * s.tables[1][h]) * root[self.upper_word]
         return (self.upper_counts - s.discount[1] * self.upper_tables + back) / (s.strength[1] + s.customers[1][h])
 
+    def context_p(self, s: State) -> np.ndarray:
+        g = self.context
+        back = (s.strength[2] + s.discount[2] * s.tables[2][g]) * self.upper_p(s, self.root_p(s))[self.to_upper]
+        return (self.counts - s.discount[2] * self.tables + back) / (s.strength[2] + s.customers[2][g])
+
     def sweep(self, s: State, rng: np.random.Generator) -> None:
         """Draw all table counts anew, from the contexts up."""
         upper = self.upper_p(s, self.root_p(s))
@@ -294,38 +397,65 @@ class Seating:
         return np.concatenate(out)
 
 
-#: Tasks that add up the blocks' totals before these come to the driver.
-ADDERS = 16
+class WordSeating:
+    """Customers and tables of one block's words after each word before; a table is a customer of its class."""
 
+    def __init__(self, word: np.ndarray, context: np.ndarray, counts: np.ndarray, classes: np.ndarray, n_words: int):
+        self.word, self.context, self.counts = word, context, counts
+        keys, self.to_class = np.unique(word * CONTEXTS + classes[context], return_inverse=True)
+        self.tables = np.ones(len(word), np.int64)
+        self.keys = keys
+        self.above = Seating(keys, self.class_counts(), n_words)
 
-def seating_totals(blocks: DataFrame, state: State | None, sweeps: int, seed: int) -> np.ndarray:
-    """Totals of all restaurants over all blocks after some sweeps: one row a task is moved, 16 come to the driver."""
+    def class_counts(self) -> np.ndarray:
+        return np.bincount(self.to_class, self.tables, len(self.keys)).astype(np.int64)
 
-    def add(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4 * (1 + PARENTS + CONTEXTS), np.int64)
-        for array in arrays:
-            total += array
-        yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))], names=["totals"])
+    def sweep(self, s: State, low: Low, total: np.ndarray, rng: np.random.Generator) -> None:
+        """Draw all table counts anew; ``total`` is the tables of each context over all blocks."""
+        weight = (low.strength + low.discount * total[self.context]) * self.above.context_p(s)[self.to_class]
+        self.tables = draw_tables(self.counts, weight, low.discount, rng)
+        self.above.counts = self.class_counts()
+        self.above.sweep(s, rng)
 
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                keys, counts = row_arrays(batch, k, ("keys", "counts"))
-                seating = Seating(keys, counts, batch.column("n_words")[k].as_py())
-                rng = np.random.default_rng([seed, batch.column("block")[k].as_py()])
-                for _ in range(sweeps if state else 0):
-                    seating.sweep(state, rng)
-                yield seating.totals().ravel()
+    def totals(self) -> np.ndarray:
+        """Those of the restaurants above, and of all words' restaurants together."""
+        own = [x.sum() for x in (self.counts, self.tables, self.counts == 1, self.counts == 2)]
+        return np.concatenate([self.above.totals(), np.array([own], np.int64)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add(seat(batches))
 
-    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return add(row_arrays(batch, k, ("totals",))[0] for batch in batches for k in range(batch.num_rows))
+def block_of(base: str, block: int) -> tuple[WordSeating, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's seating, its requests, the words and contexts of all asked pairs, its contexts' classes, and how many each part has."""
+    *asked, keys, total, classes, sizes, n_words = load(f"{base}/block-{block}")
+    keys = np.cumsum(keys)
+    word, context, kept = keys // len(classes), keys % len(classes), total > 0
+    classes = classes.astype(np.int64)
+    return WordSeating(word[kept], context[kept], total[kept], classes, int(n_words[0])), asked, word, context, classes, sizes
+
 
-    found = blocks.select("block", "keys", "counts", "n_words").mapInArrow(run, "totals array<long>")
-    rows = found.repartition(ADDERS).mapInArrow(more, "totals array<long>").collect()
-    return np.sum([np.array(r[0], np.int64) for r in rows], 0).reshape(-1, 4)
+def seat(heard: DataFrame, base: str, state: State, low: Low, parts: int, sweeps: int, first: bool, seed: int) -> DataFrame:
+    """Each block's tables after some sweeps: rows for the parts of its contexts, and the totals of the restaurants above."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        _, found = in_turn(table, "part")
+        if first:
+            save(f"{base}/customers-{block}", np.concatenate([f[0] for f in found]))
+        total = np.concatenate([f[-1] for f in found])
+        seating, *_, classes, sizes = block_of(base, block)
+        rng = np.random.default_rng([seed, block])
+        for _ in range(sweeps):
+            seating.sweep(state, low, total, rng)
+        tables = np.bincount(seating.context, seating.tables, len(classes)).astype(np.int32)
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        told = [(k, block, pack(tables[cut[k] : cut[k + 1]])) for k in np.flatnonzero(sizes).tolist()]
+        return rows(("part", "block"), [*told, (-1 - block % ADDERS, block, pack(seating.totals().ravel()))])
+
+    return heard.where("block >= 0").repartition(parts, "block").groupBy("block").applyInArrow(run, TOLD)
+
+
+def totals_of(heard: DataFrame) -> np.ndarray:
+    """Totals of the restaurants of classes and above over all blocks; the last row is of all words' restaurants."""
+    return summed(heard.where("block = -2"), 4 * (1 + PARENTS + CONTEXTS + 1)).astype(np.int64).reshape(-1, 4)
 
 
 def next_state(totals: np.ndarray, before: State | None, seed: int) -> State:
@@ -349,52 +479,51 @@ def next_state(totals: np.ndarray, before: State | None, seed: int) -> State:
     return State(customers, tables, before.discount, tuple(strength), before.words)
 
 
-ANSWER = "chunk long, block int, p array<float>, counts array<long>"
+ANSWER = "chunk long, block long, data binary"
 
 
-def answers(blocks: DataFrame, state: State, burn: int, samples: int, seed: int) -> DataFrame:
+def answers(heard: DataFrame, base: str, state: State, low: Low, parts: int, burn: int, samples: int, first: bool, seed: int) -> DataFrame:
     """For each request: log10 of the mean predictive probability of its pairs, and its words' training counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunks, asked_words, asked_pairs, word, sizes, contexts, keys, counts = row_arrays(batch, k, ("chunks", "asked_words", "asked_pairs", "word", "sizes", "contexts", "keys", "counts"))
-                block, n_words = batch.column("block")[k].as_py(), batch.column("n_words")[k].as_py()
-                s, seating = state, Seating(keys, counts, n_words)
-                rng = np.random.default_rng([seed, block])
-                pair_word = np.repeat(word, sizes).astype(np.int64)
-                distinct, back = np.unique(pair_word * CONTEXTS + contexts, return_inverse=True)
-                w, g = distinct // CONTEXTS, distinct % CONTEXTS
-                h = g // CHILDREN
-
-                def find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                    if not len(have):
-                        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
-                    at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-                    return at, have[at] == want
-
-                at2, in2 = find(keys, distinct)
-                at1, in1 = find(seating.upper, w * PARENTS + h)
-
-                def taken(values: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
-                    return np.where(there, values[at], 0) if len(values) else np.zeros(len(at))
-
-                mean = np.zeros(len(distinct))
-                for turn in range(burn + samples):
-                    seating.sweep(s, rng)
-                    if turn < burn:
-                        continue
-                    root = seating.root_p(s)[w]
-                    p1 = (taken(seating.upper_counts, at1, in1) - s.discount[1] * taken(seating.upper_tables, at1, in1) + (s.strength[1] + s.discount[1] * s.tables[1][h]) * root) / (s.strength[1] + s.customers[1][h])
-                    mean += (taken(seating.counts, at2, in2) - s.discount[2] * taken(seating.tables, at2, in2) + (s.strength[2] + s.discount[2] * s.tables[2][g]) * p1) / (s.strength[2] + s.customers[2][g])
-                logp = np.log10(np.maximum(mean / samples, 1e-300)).astype(np.float32)[back]
-                known = np.bincount(seating.word, seating.counts, n_words).astype(np.int64)[word]
-                end_p, end_w = np.cumsum(asked_pairs), np.cumsum(asked_words)
-                p = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end_p]).astype(np.int32)), pa.array(logp))
-                c = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end_w]).astype(np.int32)), pa.array(known))
-                yield pa.record_batch([pa.array(chunks), pa.array(np.full(len(chunks), block, np.int32)), p, c], names=["chunk", "block", "p", "counts"])
-
-    return blocks.mapInArrow(run, ANSWER)
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        _, found = in_turn(table, "part")
+        total = np.concatenate([f[-1] for f in found])
+        seating, (chunks, n_words, n_pairs, asked, back), w, context, classes, _ = block_of(base, block)
+        customers = np.concatenate([f[0] for f in found]) if first else load(f"{base}/customers-{block}")[0]
+        s, above = state, seating.above
+        rng = np.random.default_rng([seed, block])
+        g = classes[context]
+        h = g // CHILDREN
+
+        def find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(have):
+                return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+            at = np.minimum(np.searchsorted(have, want), len(have) - 1)
+            return at, have[at] == want
+
+        at3, in3 = find(seating.word * len(classes) + seating.context, w * len(classes) + context)
+        at2, in2 = find(seating.keys, w * CONTEXTS + g)
+        at1, in1 = find(above.upper, w * PARENTS + h)
+
+        def taken(values: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+            return np.where(there, values[at], 0) if len(values) else np.zeros(len(at))
+
+        mean = np.zeros(len(w))
+        for turn in range(burn + samples):
+            seating.sweep(s, low, total, rng)
+            if turn < burn:
+                continue
+            root = above.root_p(s)[w]
+            p1 = (taken(above.upper_counts, at1, in1) - s.discount[1] * taken(above.upper_tables, at1, in1) + (s.strength[1] + s.discount[1] * s.tables[1][h]) * root) / (s.strength[1] + s.customers[1][h])
+            p2 = (taken(above.counts, at2, in2) - s.discount[2] * taken(above.tables, at2, in2) + (s.strength[2] + s.discount[2] * s.tables[2][g]) * p1) / (s.strength[2] + s.customers[2][g])
+            mean += (taken(seating.counts, at3, in3) - low.discount * taken(seating.tables, at3, in3) + (low.strength + low.discount * total[context]) * p2) / (low.strength + customers[context])
+        logp = np.log10(np.maximum(mean / samples, 1e-300)).astype(np.float32)[back]
+        known = np.bincount(seating.word, seating.counts, above.n_words).astype(np.int64)[asked]
+        end_w, end_p = np.cumsum(n_words), np.cumsum(n_pairs)
+        return rows(("chunk", "block"), [(c, block, pack(logp[j - m : j], known[i - n : i])) for c, i, n, j, m in zip(chunks.tolist(), end_w, n_words, end_p, n_pairs, strict=True)])
+
+    return heard.where("block >= 0").repartition(parts, "block").groupBy("block").applyInArrow(run, ANSWER)
 
 
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -407,23 +536,26 @@ def score(docs: DataFrame, rounds: int = 2, sweeps: int = 3, burn: int = 3, samp
     ``samples`` the last sweeps before and in the mean.
     """
     n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = encode(text_view(docs))
-    blocks = blocks_of(requests(chunks, n_blocks))
-    state = next_state(seating_totals(blocks, None, 0, seed), None, seed)
-    trained = int(state.customers[2].sum())
+    base = new_path(docs.sparkSession, "pitman-yor")
+    told = blocks_of(requests(encode(text_view(docs), base), base, n_blocks), base, n_blocks)
+    heard = contexts_of(told, base, n_blocks, True, 0.5)
+    totals = totals_of(heard)
+    state, (trained, _, ones, twos) = next_state(totals[:-1], None, seed), totals[-1].tolist()
+    low = Low(float(np.clip(ones / max(1.0, ones + 2 * twos), 0.05, 0.95)), 1.0)
     for k in range(rounds):
-        state = next_state(seating_totals(blocks, state, sweeps, seed + k), state, seed + k)
-    told = stage(answers(blocks, state, burn, samples, seed + rounds), "answers")
+        told = seat(heard, base, state, low, n_blocks, sweeps, k == 0, seed + k)
+        heard = contexts_of(told, base, n_blocks, False, low.discount)
+        state, low = next_state(totals_of(heard)[:-1], state, seed + k), low._replace(strength=low_strength(heard, seed + k))
     words = state.words
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        docs, known, lengths, tokens, hashes, contexts = row_arrays(left, 0, ("docs", "known", "lengths", "tokens", "hashes", "contexts"))
-        right = right.sort_by("block")
-        p = pairs_of(tokens, lengths, hashes, contexts, n_blocks)
-        logp = right["p"].combine_chunks().flatten().to_numpy().astype(float)
-        count = right["counts"].combine_chunks().flatten().to_numpy()[p.rank[tokens]]
+    def run(table: pa.Table) -> pa.Table:
+        docs, known, lengths, tokens, hashes, _ = load(f"{base}/chunk-{table['chunk'][0].as_py()}")
+        _, found = in_turn(table, "block")
+        p = pairs_of(tokens, lengths, hashes, n_blocks)
+        logp, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        logp, count = logp.astype(float), count[p.rank[tokens]]
         row = np.repeat(np.arange(len(lengths)), lengths)
-        base = np.log10((count + 0.5) / (trained + 0.5 * (words + 1)))
+        base_p = np.log10((count + 0.5) / (trained + 0.5 * (words + 1)))
         ids = [d if ok else None for d, ok in zip(docs.tolist(), known.tolist(), strict=True)]
         n = len(ids)
         return pa.table(
@@ -433,12 +565,12 @@ def score(docs: DataFrame, rounds: int = 2, sweeps: int = 3, burn: int = 3, samp
                 "n_tokens": pa.array(lengths.astype(np.int64)),
                 "n_known": pa.array(np.bincount(row, count > 0, n).astype(np.int64)),
                 "train_tokens": pa.array(np.full(n, trained, np.int64)),
-                "base_score": pa.array(np.bincount(row, base, n)),
+                "base_score": pa.array(np.bincount(row, base_p, n)),
                 "score": pa.array(np.bincount(row, logp[p.back], n)),
             }
         )
 
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, SCORE)
+    return answers(heard, base, state, low, n_blocks, burn, samples, rounds == 0, seed + rounds).groupBy("chunk").applyInArrow(run, SCORE)
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

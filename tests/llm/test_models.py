@@ -163,3 +163,30 @@ def test_seating_gives_proper_probabilities():
     assert root.sum() + unknown * (state.words + 1 - len(root)) == pytest.approx(1)
     assert (seating.tables >= 1).all() and (seating.tables <= seating.counts).all()
     assert (seating.root_tables <= seating.root).all()
+
+
+def test_each_word_before_is_a_context_of_its_own(spark):
+    first, second = "harbourent", "lanternent"
+    assert P.context_of(first) == P.context_of(second)
+    train = [k for k in range(600) if not P.held_out(k)][:200]
+    rows = [(k, f"{first} apple" if n % 2 else f"{second} stone") for n, k in enumerate(train)]
+    held = [k for k in range(1000, 2000) if P.held_out(k)][:4]
+    rows += zip(held, [f"{first} apple", f"{first} stone", f"{second} apple", f"{second} stone"], strict=True)
+    got = {x.doc_id: x.score for x in P.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    # a class of both words before would give either word one half
+    assert got[held[0]] > got[held[1]] + 1 and got[held[3]] > got[held[2]] + 1
+
+
+def test_words_seating_adds_up_to_the_classes():
+    r = np.random.default_rng(7)
+    classes = np.array([3, 3, 3, 70, 70, 500])
+    pairs = np.unique(r.integers(0, 40, 150) * 6 + r.integers(0, 6, 150))
+    seating = P.WordSeating(pairs // 6, pairs % 6, r.integers(1, 30, len(pairs)), classes, 40)
+    state, low = P.next_state(seating.totals()[:-1], None, 1), P.Low(0.6, 2.0)
+    for k in range(3):
+        total = np.bincount(seating.context, seating.tables, 6)
+        seating.sweep(state, low, total, np.random.default_rng(k))
+        state = P.next_state(seating.totals()[:-1], state, k)
+    assert (seating.tables >= 1).all() and (seating.tables <= seating.counts).all()
+    assert seating.above.counts.sum() == seating.tables.sum() == seating.totals()[-1, 1] == state.customers[2].sum()
+    assert [state.customers[2][g] for g in (3, 70, 500)] == [seating.tables[classes[seating.context] == g].sum() for g in (3, 70, 500)]
