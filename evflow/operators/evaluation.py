@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evflow.functions.scalars import edge_bin
+from evflow.functions.scalars import clamped_bin, edge_bin
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
@@ -111,6 +111,11 @@ def binned_auc(df: DataFrame, x: Column, score: str, positive: Column, edges: li
     return auc(df.withColumn("bin", edge_bin(x, edges)).where("bin is not null"), score, positive, ["bin"])
 
 
+def binned_auc_of_all(df: DataFrame, x: Column, score: str, positive: Column, edges: list[float]) -> DataFrame:
+    """As ``binned_auc``, with open first and last bins: every row that has x is in one."""
+    return auc(df.withColumn("bin", clamped_bin(x, edges)).where(x.isNotNull()), score, positive, ["bin"])
+
+
 def histogram(df: DataFrame, x: Column, edges: list[float]) -> DataFrame:
     """Count and density of x in bins; the last edge belongs to the last bin."""
     counts = df.withColumn("bin", edge_bin(x, edges)).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

@@ -41,6 +41,16 @@ def e15(spark, d):
     return rounded(E.binned_auc(scored(spark, d), F.col("doc_id"), "score", F.col("toxic") == 1, [0.0, 2000.0, 4000.0, 6000.0, 8000.0, 10000.0]), "auc")
 
 
+LENGTHS = [0.0, 500.0, 1000.0, 2000.0, 4000.0, 8000.0]
+
+
+@query("e15_auc_by_length", f"WITH n AS (SELECT doc_id, n_chars, lang FROM documents WHERE n_chars IS NOT NULL), b AS (SELECT floor(n_chars / 50)::DOUBLE AS score, toxic, (CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 2000 THEN 2 WHEN n_chars < 4000 THEN 3 ELSE 4 END)::INTEGER AS bin FROM labels JOIN n USING (doc_id)), {auc_sql('bin', 'b')}")
+def e15_length(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    rows = table(spark, d, "labels").join(docs, "doc_id").withColumn("score", F.floor(F.col("n_chars") / 50).cast("double"))
+    return rounded(E.binned_auc_of_all(rows, F.col("n_chars"), "score", F.col("toxic") == 1, LENGTHS), "auc")
+
+
 @query("e4_e21_auc_by_class", f"WITH {SCORED}, {auc_sql('lang')}")
 def e4(spark, d):
     return rounded(E.auc(scored(spark, d), "score", F.col("toxic") == 1, ["lang"]), "auc")

@@ -238,3 +238,14 @@ def test_exact_incremental_map(spark, tmp_path):
     got = T.exact_map(spark, store, "a", "b", "value", 2, 3)
     assert sorted(map(tuple, A.residual_map(spark.read.parquet(store), "a", "b", "value", 2, 3, 10).collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 6
+
+
+def test_auc_by_length_holds_every_labelled_document(spark, tmp_path):
+    from evflow.plans.registry import QUERIES
+
+    docs = [(k, 100 * (k % 200), "en") for k in range(9_000, 13_000)]
+    spark.createDataFrame(docs, "doc_id long, n_chars long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, k % 3 // 2) for k, _, _ in docs], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["e15_auc_by_length"](spark, str(tmp_path)).collect()
+    assert sum(x.n_pos + x.n_neg for x in got) == len(docs)
+    assert {x.bin: x.n_pos + x.n_neg for x in got} == {0: 100, 1: 100, 2: 200, 3: 400, 4: 3200}
