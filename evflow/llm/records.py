@@ -66,7 +66,7 @@ def write_records(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2
         task = TaskContext.get()
         shard, out, at, before = task.partitionId(), None, 0, 0
         file = f"{path}/shard-{shard:06d}-{task.taskAttemptId()}.rec"
-        narrow = len(encoder(tokenizer).ends) <= 1 << 16
+        narrow = encoder(tokenizer).size <= 1 << 16
         end = struct.pack("<I", end_id)
         for batch in batches:
             for part in slices(batch):

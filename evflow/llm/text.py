@@ -43,7 +43,7 @@ def split_words(texts: pa.Array, lower: bool = True) -> Words:
     full = pc.greater(pc.binary_length(flat), 0)
     kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
     coded = flat.filter(full).dictionary_encode()
-    return Words(coded.indices.to_numpy(zero_copy_only=False), kept[ends], coded.dictionary.to_pylist())
+    return Words(coded.indices.to_numpy(zero_copy_only=False), kept[ends], coded.dictionary.to_numpy(zero_copy_only=False).tolist())
 
 
 def hash64(values: list[str]) -> np.ndarray:

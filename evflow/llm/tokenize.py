@@ -1,23 +1,29 @@
 """Token ids of whole texts by a public tokenizer file, with a memory of words already encoded.
 
 The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn, and each
-word is encoded once by each worker.  Words of letters alone are one piece each, whose last token is marked as a
-word's end; they are encoded together.  Any other word is encoded by itself.
+word is encoded once by each worker.  Words of letters alone are one piece each, which goes straight to the
+tokenizer's model; signs that end a word are encoded apart from it.  Any other word, and every word that holds an added
+token such as ``<|endoftext|>``, goes through the whole tokenizer by itself.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from evflow.llm.text import Words, split_words
+from evflow.llm.text import split_words
 
-#: Words remembered by a worker, at about 150 bytes each; beyond that the memory starts again.
-MEMORY_WORDS = 400_000
+#: Words remembered by a worker, at about 170 bytes each; beyond that the memory starts again.
+MEMORY_WORDS = 600_000
 _TAIL = ".,!?;:"
+#: Letters below are old enough for all libraries to agree on them.
+_OLD_LETTERS = "԰"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -34,56 +40,72 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model = self.tokenizer.model
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("added tokens must match by themselves alone")
+        self.added = "|".join(re.escape(t.content) for t in added)
+        self.holds_added = re.compile(self.added or "(?!)").search
+        pieces = (ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(n)) for n in range(256))
+        shown = dict(zip((b for n in range(256) for b in chr(n).encode()), "".join(p[0][0] for p in pieces), strict=False))
+        self.letters = {b: c for b, c in shown.items() if b != ord(c)}
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _alone(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _together(self, cores: list[str]) -> None:
-        """Encode words of letters alone, a few thousand to a text."""
-        for at in range(0, len(cores), 4096):
-            part = cores[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
-                self.cores.update(zip(part, self._alone(part), strict=True))
-                continue
-            raw, start = ids.tobytes(), 0
-            for word, stop in zip(part, (stops * 4).tolist(), strict=True):
-                self.cores[word] = raw[start:stop]
-                start = stop
+
+    def _piece(self, word: str) -> bytes | None:
+        """Ids of a word of letters alone, none for another word."""
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            form = word.lower()
+        elif max(word) < _OLD_LETTERS and "Σ" not in word and unicodedata.is_normalized("NFC", word) and (form := word.lower()).isalpha():
+            form = "".join(self.letters.get(b) or chr(b) for b in form.encode())
+        else:
+            return None
+        return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
 
     def encode(self, vocab: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
         known = self.words
-        missing = [w for w in vocab if w not in known]
-        if missing:
-            if len(known) + len(missing) > MEMORY_WORDS:
-                known.clear()
-                self.cores.clear()
-                missing = vocab
-            split, alone = [], []
-            for w in missing:
-                core = w.rstrip(_TAIL)
-                plain = core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and core.lower().isalpha())
-                split.append((w, core) if plain else None)
-                if not plain:
-                    alone.append(w)
-            need = {c for x in split if x for c in (x[1],)} | {w[len(c) :] for w, c in filter(None, split) if w != c}
-            tails = [t for t in need if t and t[0] in _TAIL and t not in self.cores]
-            self.cores.update(zip(tails, self._alone(tails), strict=True))
-            self._together([c for c in need if c and c[0] not in _TAIL and c not in self.cores])
-            for w, core in filter(None, split):
-                known[w] = self.cores[core] + (self.cores[w[len(core) :]] if w != core else b"")
-            known.update(zip(alone, self._alone(alone), strict=True))
-        return [known[w] for w in vocab]
+        if len(known) > MEMORY_WORDS:
+            known.clear()
+        out: list[bytes | None] = []
+        alone: dict[str, list[int]] = {}
+        tails: dict[str, list[tuple[int, bytes]]] = {}
+        for at, word in enumerate(vocab):
+            core = word.rstrip(_TAIL)
+            ids = known.get(core)
+            if ids is None and (ids := self._piece(core)) is not None:
+                known[core] = ids
+            if ids is None:
+                ids = known.get(word)
+                if ids is None:
+                    alone.setdefault(word, []).append(at)
+            elif len(core) < len(word):
+                tail = word[len(core) :]
+                end = known.get(tail)
+                if end is None:
+                    tails.setdefault(tail, []).append((at, ids))
+                    ids = None
+                else:
+                    ids += end
+            out.append(ids)
+        for word, ids in self._whole(alone):
+            known[word] = ids
+            for at in alone[word]:
+                out[at] = ids
+        for tail, end in self._whole(tails):
+            known[tail] = end
+            for at, ids in tails[tail]:
+                out[at] = ids + end
+        return out
+
+    def _whole(self, words: dict) -> list[tuple[str, bytes]]:
+        found = self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False) if words else []
+        return [(w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -93,9 +115,27 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _joined(texts: pa.Array, coder: WordEncoder, lower: bool) -> list[bytes]:
+    words = split_words(texts, lower)
+    coded = pa.array(coder.encode(words.vocab), pa.large_binary()).take(pa.array(words.ids))
+    ends = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1)[words.offsets] if len(coded) else np.zeros(len(texts) + 1, np.int64)
+    raw = memoryview(coded.buffers()[2] or b"")
+    return [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers."""
-    words: Words = split_words(texts)
-    coded = encoder(path).encode(words.vocab)
-    picked = list(map(coded.__getitem__, words.ids.tolist()))
-    return [b"".join(picked[a:b]) for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True)]
+    """Each text's ids as little-endian unsigned 32-bit integers.
+
+    Texts are put in lower case first, which the tokenizer does, too, but not to its added tokens: a text that has one,
+    in any case, is left as it is.
+    """
+    coder = encoder(path)
+    odd = pc.fill_null(pc.match_substring_regex(texts, coder.added, ignore_case=True), False).to_numpy(zero_copy_only=False) if coder.added else np.zeros(len(texts), bool)
+    if not odd.any():
+        return _joined(texts, coder, True)
+    out: list[bytes] = [b""] * len(texts)
+    for kind in (False, True):
+        rows = np.flatnonzero(odd == kind)
+        for row, ids in zip(rows.tolist(), _joined(texts.take(pa.array(rows)), coder, not kind), strict=True):
+            out[row] = ids
+    return out

@@ -16,7 +16,6 @@ def reference(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -35,6 +34,22 @@ def test_tokens_equal_the_library():
         assert found == reference(texts)
 
 
+def test_added_tokens_and_old_letters_equal_the_library():
+    added = ["a <|endoftext|> b", "x<|endoftext|>Y<|StartOfText|> É<|startoftext|>.", "<|ENDOFTEXT|>!", "<|endoftext|>", "<|endof text|>", None, "A plain one."]
+    letters = [c for c in map(chr, range(0x530)) if c.isalpha()]
+    texts = [*added, " ".join(letters), " ".join(f"a{c}b. {c}{c.upper()}," for c in letters)]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in token_bytes(pa.array(texts), default_tokenizer())] == reference(texts)
+
+
+def test_memory_that_starts_again_changes_nothing(monkeypatch):
+    monkeypatch.setattr("evflow.llm.tokenize.MEMORY_WORDS", 3)
+    texts = [t for _, t in HARD]
+    for k in range(len(texts)):
+        part = texts[k:] + texts[:k]
+        assert [np.frombuffer(b, "<u4").tolist() for b in token_bytes(pa.array(part), default_tokenizer())] == reference(part)
+
+
 def test_records_round_trip(spark, hard):
     index = records.with_starts(records.write_records(hard, shards=3))
     rows = records.read_records(index.orderBy("size")).collect()
