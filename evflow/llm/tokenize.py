@@ -9,13 +9,11 @@ token such as ``<|endoftext|>``, goes through the whole tokenizer by itself.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 from array import array
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from evflow.llm.text import split_words
 
@@ -46,10 +44,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.isalpha() for t in added):
             raise ValueError("added tokens must match by themselves alone")
-        self.added = "|".join(re.escape(t.content) for t in added)
-        self.holds_added = re.compile(self.added or "(?!)").search
         pieces = (ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(n)) for n in range(256))
         shown = dict(zip((b for n in range(256) for b in chr(n).encode()), "".join(p[0][0] for p in pieces), strict=False))
         self.letters = {b: c for b, c in shown.items() if b != ord(c)}
@@ -115,27 +111,10 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _joined(texts: pa.Array, coder: WordEncoder, lower: bool) -> list[bytes]:
-    words = split_words(texts, lower)
-    coded = pa.array(coder.encode(words.vocab), pa.large_binary()).take(pa.array(words.ids))
+def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers."""
+    words = split_words(texts, lower=False)
+    coded = pa.array(encoder(path).encode(words.vocab), pa.large_binary()).take(pa.array(words.ids))
     ends = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1)[words.offsets] if len(coded) else np.zeros(len(texts) + 1, np.int64)
     raw = memoryview(coded.buffers()[2] or b"")
     return [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-
-
-def token_bytes(texts: pa.Array, path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers.
-
-    Texts are put in lower case first, which the tokenizer does, too, but not to its added tokens: a text that has one,
-    in any case, is left as it is.
-    """
-    coder = encoder(path)
-    odd = pc.fill_null(pc.match_substring_regex(texts, coder.added, ignore_case=True), False).to_numpy(zero_copy_only=False) if coder.added else np.zeros(len(texts), bool)
-    if not odd.any():
-        return _joined(texts, coder, True)
-    out: list[bytes] = [b""] * len(texts)
-    for kind in (False, True):
-        rows = np.flatnonzero(odd == kind)
-        for row, ids in zip(rows.tolist(), _joined(texts.take(pa.array(rows)), coder, not kind), strict=True):
-            out[row] = ids
-    return out
