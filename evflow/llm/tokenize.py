@@ -49,14 +49,15 @@ class WordEncoder:
         pieces = (ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(n)) for n in range(256))
         shown = dict(zip((b for n in range(256) for b in chr(n).encode()), "".join(p[0][0] for p in pieces), strict=False))
         self.letters = {b: c for b, c in shown.items() if b != ord(c)}
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _piece(self, word: str) -> bytes | None:
-        """Ids of a word of letters alone, none for another word."""
+        """Ids of a word of letters alone, of which those of ASCII are in lower case; none for another word."""
         if not word.isalpha():
             return None
         if word.isascii():
-            form = word.lower()
+            form = word
         elif max(word) < _OLD_LETTERS and "Σ" not in word and unicodedata.is_normalized("NFC", word) and (form := word.lower()).isalpha():
             form = "".join(self.letters.get(b) or chr(b) for b in form.encode())
         else:
@@ -65,24 +66,28 @@ class WordEncoder:
 
     def encode(self, vocab: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
-        known = self.words
-        if len(known) > MEMORY_WORDS:
-            known.clear()
+        pieces, words = self.pieces, self.words
+        if len(pieces) + len(words) > MEMORY_WORDS:
+            pieces.clear()
+            words.clear()
         out: list[bytes | None] = []
         alone: dict[str, list[int]] = {}
         tails: dict[str, list[tuple[int, bytes]]] = {}
         for at, word in enumerate(vocab):
             core = word.rstrip(_TAIL)
-            ids = known.get(core)
+            size = len(core)
+            if core.isascii():
+                core = core.lower()
+            ids = pieces.get(core)
             if ids is None and (ids := self._piece(core)) is not None:
-                known[core] = ids
+                pieces[core] = ids
             if ids is None:
-                ids = known.get(word)
+                ids = words.get(word)
                 if ids is None:
                     alone.setdefault(word, []).append(at)
-            elif len(core) < len(word):
-                tail = word[len(core) :]
-                end = known.get(tail)
+            elif size < len(word):
+                tail = word[size:]
+                end = words.get(tail)
                 if end is None:
                     tails.setdefault(tail, []).append((at, ids))
                     ids = None
@@ -90,11 +95,11 @@ class WordEncoder:
                     ids += end
             out.append(ids)
         for word, ids in self._whole(alone):
-            known[word] = ids
+            words[word] = ids
             for at in alone[word]:
                 out[at] = ids
         for tail, end in self._whole(tails):
-            known[tail] = end
+            words[tail] = end
             for at, ids in tails[tail]:
                 out[at] = ids + end
         return out
