@@ -10,13 +10,15 @@ Two sets of sizes a and b are linked when 7 * overlap >= 3 * (a + b) (similarity
 * The boundary is where enumerating subsets of the sets of a size stops being cheaper than scanning their lists, both
   estimated on a sample.  The sample also tells which shingles are frequent: that orders the lists and changes no result.
 
-Sets with equal shingles are one node.  Within a list, the node whose shingle stands nearest its front (an original
-rather than a changed copy) is verified with each other one, and linked nodes are joined to components; then all pairs
-in a list whose nodes are not yet in one component are verified, if they share as many lists as linked sets must.  So a large group of copies costs one check a copy and
-no link between components is lost.  Shingles and sets are known by 64-bit hashes.
+Sets with equal shingles are one node.  Within a list, some nodes are verified with each other one, and linked nodes are
+joined to components; then the pairs in a list whose nodes are not yet in one component are verified, if they share as
+many lists as linked sets must.  So a large group of copies costs some checks a copy and no link between components is
+lost.  Shingles and sets are known by 64-bit hashes.
 
 Cases: a null text, or one without words, has the empty set and is its own class; fewer than five words are one shingle;
-repeated rows are one class; a null doc_id is kept in its class and never names one; other columns are left out.
+repeated rows are one class; rows of one doc_id with different texts are linked as their texts are; a null doc_id is
+kept in its class, links others through it and never names a class, unless all its rows lack one; a very long text is
+one row, whose set a task holds; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evflow.llm.components import components
 from evflow.llm.store import stage
@@ -43,6 +46,8 @@ SAMPLE = 16
 MAX_FREQUENT = 200_000
 #: Largest size for which subsets are ever enumerated.
 MAX_LIGHT = 12
+#: Bytes of text whose postings make a block, at most, about; more text makes more blocks.
+BLOCK_BYTES = 64 << 20
 #: Postings that a task gathers before it hands them on.
 LOT = 1_500_000
 #: Up to so many documents to be verified (8 bytes each), their ids go to every executor; beyond that, a shuffle join.
@@ -89,8 +94,11 @@ def subsets(shingles: np.ndarray) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def sample_facts(docs: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Frequent shingles (ascending) with their sampled counts, and the boundary of light sets."""
+def sample_facts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Frequent shingles (ascending) with their sampled counts, the boundary of light sets, and the number of blocks."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    size = SAMPLE * (part.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +127,6 @@ def sample_facts(docs: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray,
         posts = np.concatenate([np.full(often.sum(), -1), posted]).astype(np.int64)
         return pa.table({"key": key, "value": value, "posts": posts})
 
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     posted = part.mapInArrow(post, "block int, hashes array<long>, sizes array<int>")
     facts = stage(posted.groupBy("block").applyInArrow(count, "key long, value long, posts long"), "shingle-sample")
     frequent = facts.where("posts < 0").orderBy(F.desc("value"), "key").limit(MAX_FREQUENT).orderBy("key").collect()
@@ -132,7 +139,7 @@ def sample_facts(docs: DataFrame, blocks: int) -> tuple[np.ndarray, np.ndarray,
         saved += sets * prefix_size(n) * (1 + SAMPLE * scanned / max(1, posts)) - enumerated
         if saved >= best:
             best, boundary = saved, n
-    return np.array([r[0] for r in frequent], np.int64).view(np.uint64), np.array([r[1] for r in frequent], np.int64), boundary
+    return np.array([r[0] for r in frequent], np.int64).view(np.uint64), np.array([r[1] for r in frequent], np.int64), boundary, blocks
 
 
 def first_shingles(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -199,7 +206,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
             for part in slices(batch):
                 for doc, shingles in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text")), strict=True):
                     n = len(shingles)
-                    node = xxhash.xxh64_intdigest(shingles.tobytes(), seed=n & 0xFFFF) - (1 << 63) if n else 0
+                    node = node_of(shingles)
                     rows.append((doc, node, n))
                     if n and node not in seen:
                         seen.add(node)
@@ -276,10 +283,17 @@ def enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).select("u", "v")
 
 
+def hubs_of(lengths: np.ndarray) -> np.ndarray:
+    """How many nodes of each list are compared with all others first: one, and one more for each doubling beyond 16."""
+    return 1 + np.maximum(0, np.floor(np.log2(np.maximum(lengths, 1) / 16)).astype(np.int64))
+
+
 def central_pairs(shared: DataFrame) -> DataFrame:
-    """In each list, the node whose shingle stands nearest the front of its set, with every other one it may link to.
+    """In each list some nodes, with every other one that they may link to.
 
-    Pairs that share too few lists in this way are left to :func:`crossing_pairs`.
+    The first is the node whose shingle stands nearest the front of its set; the further ones of long lists are those of
+    least hash, which tend to be the same in all lists of like sets.  Pairs that share too few lists in this way are
+    left to :func:`crossing_pairs`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,16 +304,25 @@ def central_pairs(shared: DataFrame) -> DataFrame:
                     continue
                 size = size.astype(np.int64)
                 lead = np.lexsort((node, np.maximum(place, 0) / size, run))
+                least = np.lexsort((node, run))
                 starts = np.flatnonzero(np.append(True, run[lead][1:] != run[lead][:-1]))
                 lengths = np.diff(np.append(starts, len(run)))
-                hub = np.repeat(lead[starts], lengths)
-                fits = (hub != lead) & (4 * np.minimum(size[hub], size[lead]) >= 3 * np.maximum(size[hub], size[lead]))
-                hub, other = hub[fits], lead[fits]
-                first = np.where(node[hub] < node[other], hub, other)
-                second = np.where(node[hub] < node[other], other, hub)
-                order = np.lexsort((node[second], node[first]))
+                hubs, found = hubs_of(lengths), []
+                for turn in range(int(hubs.max())):
+                    own = hubs > turn
+                    first = (lead if not turn else least)[starts[own] + max(0, turn - 1)]
+                    spread = np.repeat(own, lengths)
+                    hub, other = np.repeat(first, lengths[own]), lead[spread]
+                    fits = (node[hub] != node[other]) & (4 * np.minimum(size[hub], size[other]) >= 3 * np.maximum(size[hub], size[other]))
+                    hub, other = hub[fits], other[fits]
+                    found.append(np.where(node[hub] < node[other], (hub, other), (other, hub)))
+                first, second = np.concatenate(found, 1)
+                order = np.lexsort((run[first], node[second], node[first]))
                 first, second = first[order], second[order]
-                if not len(order):
+                new = np.ones(len(order), bool)
+                new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+                first, second = first[new], second[new]
+                if not len(first):
                     continue
                 starts = np.flatnonzero(np.append(True, (node[first][1:] != node[first][:-1]) | (node[second][1:] != node[second][:-1])))
                 n = np.add.reduceat(np.where(place[first] < 0, SURE, 1), starts)
@@ -310,8 +333,8 @@ def central_pairs(shared: DataFrame) -> DataFrame:
     return enough(shared.where("block >= 0").select("runs", "nodes", "sizes", "places").mapInArrow(run, kind))
 
 
-#: Nodes of a list that are compared with as many others at a time; longer lists are cut into such parts.
-PART = 1024
+#: Nodes of a cell's side; longer lists are cut into cells.
+PART = 256
 #: Comparisons that a task makes at a time.
 COMPARED = 500_000
 
@@ -330,20 +353,51 @@ def summed(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[0, starts], pairs[1, starts], np.add.reduceat(pairs[2], starts), pairs[3, starts]])
 
 
+def open_lists(posts: DataFrame) -> DataFrame:
+    """The postings of lists of several components, with the one that most nodes are in and how many sides a list has.
+
+    ``m`` is the number of sides for the nodes of that component, ``r`` that for the rest.  Lists are counted by two
+    aggregates: no task holds a whole list.
+    """
+    counts = posts.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
+    facts = counts.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("main"), F.sum("n").alias("n"))
+    sides = lambda n: F.when(n > PART, F.pow(F.lit(2.0), F.ceil(F.log2(n / PART)))).otherwise(1).cast("int")
+    facts = stage(facts.where("main < n").select("list", "most", sides(F.col("main")).alias("m"), sides(F.col("n") - F.col("main")).alias("r")), "list-facts")
+    return posts.join(facts.hint("shuffle_hash"), "list")
+
+
+def cells(posts: DataFrame) -> DataFrame:
+    """Cells (lead, a, b) of nodes to be compared: those of a with those of b, or with each other where b is null.
+
+    In each list, the nodes of the component that most of its nodes are in need no comparison with each other.  They
+    and the rest are dealt to as many sides, by the hash of the node, as ``PART`` asks for; each side of the rest meets
+    itself, every other side of the rest and every side of the others.
+    """
+    dealt = posts.withColumn("rest", F.col("component") != F.col("most"))
+    dealt = dealt.withColumn("side", F.pmod(F.col("node"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int"))
+    one = lambda kind, i, j, at: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(at).alias("at"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    k = F.col("side")
+    own = F.transform(every(F.col("r")), lambda x: F.when(x < k, one(0, x, k, 1)).otherwise(one(0, k, x, 0)))
+    across = F.transform(every(F.col("m")), lambda x: one(1, k, x, 0))
+    met = F.transform(every(F.col("r")), lambda x: one(1, x, k, 1))
+    placed = dealt.withColumn("cell", F.explode(F.when(F.col("rest"), F.concat(own, across)).otherwise(met))).select("list", "cell.*", F.struct("node", "size", "place", "component").alias("x"))
+    first, second = F.collect_list(F.when(F.col("at") == 0, F.col("x"))), F.collect_list(F.when(F.col("at") == 1, F.col("x")))
+    found = placed.groupBy("list", "kind", "i", "j").agg(F.min("x.node").alias("lead"), first.alias("a"), second.alias("b"))
+    alone = (F.col("kind") == 0) & (F.col("i") == F.col("j"))
+    kept = found.where(F.when(alone, F.size("a") > 1).otherwise((F.size("a") > 0) & (F.size("b") > 0)))
+    return kept.select("lead", "a", F.when(~alone, F.col("b")).alias("b"))
+
+
 def met_pairs(posts: DataFrame, parts: int) -> DataFrame:
     """Pairs (u, v) of different components that meet in as many early lists as linked sets do, with that number.
 
     At most m = size - overlap of a set's shingles are missing from a set that it is linked to, so of its first m + c
     ones c are shared, and these are among the first ones of the other, too: of the two sets, that whose first ones end
     earlier in the order of all has them all before the end of the other's.  c is as many as the lists allow, up to
-    ``EARLY``.  A list's nodes are compared part by part; pairs are summed within each task, then by the hash of u.
+    ``EARLY``.  Pairs are summed within each task, then by the hash of u.
     """
-    ranked = posts.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("list").orderBy("node")) - 1) / PART))
-    groups = ranked.groupBy("list", "part").agg(F.min("node").alias("lead"), F.collect_list(F.struct("node", "size", "place", "component")).alias("x"))
-    groups = stage(groups, "list-parts")
-    later = groups.where("part > 0").select("list", F.col("part").alias("next"), F.col("x").alias("b"))
-    across = groups.join(later.hint("shuffle_hash"), "list").where("part < next").select("lead", F.col("x").alias("a"), "b")
-    rows = groups.select("lead", F.col("x").alias("a"), F.lit(None).cast(groups.schema["x"].dataType).alias("b")).unionByName(across)
+    rows = cells(posts)
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("node", "size", "place", "component")]
     names = [f"{side}_{f}" for side in "ab" for f in ("node", "size", "place", "component")]
 
@@ -400,7 +454,7 @@ def met_pairs(posts: DataFrame, parts: int) -> DataFrame:
         pairs = pairs[:, pairs[2] >= pairs[3]]
         return pa.table({"u": pairs[0], "v": pairs[1], "n": pairs[2]})
 
-    near = rows.repartition(parts, "lead", F.pmod(F.hash(F.size("a")), F.lit(4))).select(*fields)
+    near = rows.repartition(parts, "lead").select(*fields)
     kind = "part int, u array<long>, v array<long>, n array<long>, share array<long>"
     return near.mapInArrow(run, kind).groupBy("part").applyInArrow(once, "u long, v long, n long")
 
@@ -415,8 +469,7 @@ def crossing_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
     posts = posts.select((F.col("block") * (1 << 32) + F.col("p.runs")).alias("list"), F.col("p.nodes").alias("node"), F.col("p.sizes").cast("long").alias("size"), F.col("p.places").cast("long").alias("place"))
     grouped = posts.join(groups.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = stage(grouped, "postings")
-    mixed = grouped.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
-    open_posts = stage(grouped.join(mixed.hint("shuffle_hash"), "list", "left_semi"), "open-postings")
+    open_posts = stage(open_lists(grouped), "open-postings")
     pairs = stage(met_pairs(open_posts, parts), "met-pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     lists = open_posts.join(wanted.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.collect_list("list").alias("lists"))
@@ -427,36 +480,45 @@ def crossing_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return enough(both.select("u", "v", "a", "b", n.alias("n")))
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """The hash that a set is known by."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), seed=len(shingles) & 0xFFFF) - (1 << 63) if len(shingles) else 0
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those pairs of nodes whose sets are linked; the sets are made again from one document of each node."""
+    """Those pairs of nodes whose sets are linked; the sets are made again from the documents of one id of each node.
+
+    That id finds the texts, without an id those of all rows without one; which of them have the set tells its hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
                 offsets = np.cumsum([0, *map(len, sets)])
-                yield pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "shingles"])
+                yield pa.record_batch([pa.array(list(map(node_of, sets)), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
     wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.hint("shuffle_hash"), "node").select("node", "doc_id"), "wanted")
-    ids = wanted.select("doc_id")
+    ids = wanted.select("doc_id").distinct()
     few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    made = texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
-    sets = stage(made.dropDuplicates(["doc_id"]).join(wanted.hint("shuffle_hash"), "doc_id").select("node", "shingles"), "sets")
+    texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    made = texts.select("text").mapInArrow(run, "node long, shingles array<long>")
+    sets = stage(made.join(wanted.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     one = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")).hint("shuffle_hash"), "u")
     both = one.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")).hint("shuffle_hash"), "v")
     return both.where("7 * size(array_intersect(a, b)) >= 3 * (size(a) + size(b))").select("u", "v")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
-    spark = docs.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), node and component of every row.
+
+    ``node`` is the hash of the row's set, ``component`` one of the class; both are null where the set is empty.
+    """
     docs = text_view(docs)
-    frequent, counts, boundary = sample_facts(docs, blocks)
+    frequent, counts, boundary, blocks = sample_facts(docs)
     shared = stage(shared_lists(postings(docs, frequent, counts, boundary, blocks), boundary), "lists")
     each = shared.where("block < 0").select(F.explode(F.arrays_zip("docs", "known", "nodes", "sizes")).alias("d"))
-    rows = each.select(F.when(F.col("d.known"), F.col("d.docs")).alias("doc_id"), F.col("d.nodes").alias("node"), F.col("d.sizes").cast("long").alias("n_shingles"))
+    rows = each.select(F.when(F.col("d.known"), F.col("d.docs")).alias("doc_id"), F.when(F.col("d.sizes") > 0, F.col("d.nodes")).alias("node"), F.col("d.sizes").cast("long").alias("n_shingles"))
     nodes = stage(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     links = stage(verified(stage(central_pairs(shared), "pairs"), docs, nodes), "links")
     groups = components(links)
@@ -467,9 +529,49 @@ def classes(docs: DataFrame) -> DataFrame:
             groups = components(later.unionByName(groups.select(F.col("node").alias("u"), F.col("component").alias("v"))).where("u <> v"))
     named = nodes.join(groups.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stage(named.join(least.hint("shuffle_hash"), "component").select("node", "component_id"), "classes")
-    found = rows.join(named.hint("shuffle_hash"), (rows["node"] == named["node"]) & (rows["n_shingles"] > 0), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce(named["component_id"], "doc_id").alias("component_id"))
+    named = stage(named.join(least.hint("shuffle_hash"), "component").select("node", "component", "component_id"), "classes")
+    found = rows.join(named.hint("shuffle_hash"), "node", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "component")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
+    return labelled(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` of each class, with all its columns: of the smallest doc_id, rows without one last.
+
+    Rows whose set is empty all stay.  Where an id stands once, it tells the row; rows of repeated ids and without one
+    are told by their sets' hashes, and of those with the same id and set the one of the least text stays.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([node_of(x) or None for x in shingle_sets(part.column("text"))], pa.int64())], names=[*part.schema.names, name])
+
+    name = "_node"
+    while name in docs.columns:
+        name += "_"
+    found = stage(labelled(docs).select("doc_id", "node", "component"), "classes")
+    best = found.where("node is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
+    kept = stage(best.unionByName(found.where("node is null").select("doc_id", "node")), "kept")
+    odd = stage(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "odd-ids")
+
+    def those(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        few = ids.count() <= BROADCAST_IDS
+        return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), rows["doc_id"].cast("long").eqNullSafe(ids["doc_id"]), how)
+
+    if not odd.limit(1).count():
+        return those(docs, kept.select("doc_id"), "left_semi")
+    plain = those(those(docs, odd, "left_anti"), kept.select("doc_id"), "left_semi")
+    rest = those(docs, odd, "left_semi").mapInArrow(hashed, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = rest.where(F.col(name).isNotNull()).groupBy("doc_id", name).agg(F.min_by(whole, F.col("text")).alias("x"))
+    own = kept.select(F.col("doc_id").alias("k"), F.col("node").alias("n")).hint("shuffle_hash")
+    chosen = chosen.join(own, chosen["doc_id"].cast("long").eqNullSafe(own["k"]) & (chosen[name] == own["n"]), "left_semi").select("x.*")
+    return plain.unionByName(chosen).unionByName(rest.where(F.col(name).isNull()).select(*docs.columns))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_classes_equal_brute_force(spark):
 
 
 def test_short_sets_meet_by_subsets(spark, monkeypatch):
-    monkeypatch.setattr(J, "sample_facts", lambda docs, blocks: (*(__import__("numpy").zeros(0, t) for t in ("u8", "i8")), 12))
+    monkeypatch.setattr(J, "sample_facts", lambda docs: (*(__import__("numpy").zeros(0, t) for t in ("u8", "i8")), 12, 4))
     r = random.Random(6)
     rows = []
     for n in range(12):
