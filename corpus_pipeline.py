@@ -4,26 +4,22 @@ Each stage takes what its predecessor kept, written and read again, and its deci
 
 1. toxicity: rows with a toxicity score of 0.7 or more go.
 2. quality: rows whose grade is likelier below 1 than not go.
-3. near_duplicates: of each class of near-duplicates the row with the smallest doc_id stays.
+3. near_duplicates: of each class of near-duplicates one row with the smallest doc_id stays; rows without words all stay.
 4. decontamination: rows that hold a benchmark item within its edit budget go.
 5. packing: the rest is packed into windows of up to 4096 tokens; one row a piece.
 
-Cases: null texts count as empty ones; rows without a doc_id pass the third stage; other columns stay up to the last
-stage; repeated doc_ids count as one document in the third stage; empty tables give empty results.
+Cases: null texts count as empty ones; rows without a doc_id, and repeated doc_ids, are rows like others: the third
+stage goes by text; other columns stay up to the last stage; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from evflow.llm import decontaminate, jaccard, packing, quality, toxicity
 from evflow.llm.store import stage
 from evflow.llm.text import keep_rows, text_view
 
-#: Ids of kept documents (8 bytes each) that go to every executor at most; beyond that, a shuffle join.
-BROADCAST_IDS = 2_000_000
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity classifier doesn't reject."""
@@ -39,13 +35,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates."""
-    found = stage(jaccard.classes(docs).select("doc_id", "component_id").where("doc_id is not null"), "classes")
-    kept = stage(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    few = kept.count() <= BROADCAST_IDS
-    named = docs.join(F.broadcast(kept) if few else kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    if found.count() > found.select("doc_id").distinct().count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return jaccard.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
