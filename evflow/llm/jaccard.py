@@ -10,10 +10,11 @@ Two sets of sizes a and b are linked when 7 * overlap >= 3 * (a + b) (similarity
 * The boundary is where enumerating subsets of the sets of a size stops being cheaper than scanning their lists, both
   estimated on a sample.  The sample also tells which shingles are frequent: that orders the lists and changes no result.
 
-Sets with equal shingles are one node.  Within a list, some nodes are verified with each other one, and linked nodes are
-joined to components; then the pairs in a list whose nodes are not yet in one component are verified, if they share as
-many lists as linked sets must.  So a large group of copies costs some checks a copy and no link between components is
-lost.  Shingles and sets are known by 64-bit hashes.
+Sets with equal shingles are one node.  Within a list, the node whose shingle stands nearest its front (an original
+rather than a changed copy) is verified with each other one, and linked nodes are joined to components; then the pairs in
+a list whose nodes are not yet in one component are verified, if they share as many lists as linked sets must and, in
+long lists, if bitmaps of their shingles leave room for it.  So a large group of copies costs one check a copy and no
+link between components is lost.  Shingles and sets are known by 64-bit hashes.
 
 Cases: a null text, or one without words, has the empty set and is its own class; fewer than five words are one shingle;
 repeated rows are one class; rows of one doc_id with different texts are linked as their texts are; a null doc_id is
@@ -48,6 +49,10 @@ MAX_FREQUENT = 200_000
 MAX_LIGHT = 12
 #: Bytes of text whose postings make a block, at most, about; more text makes more blocks.
 BLOCK_BYTES = 64 << 20
+#: Bits of a set's bitmap; sets of more shingles have none.
+BITS = 512
+#: Lists of more nodes compare bitmaps first.
+LONG_LIST = 64
 #: Postings that a task gathers before it hands them on.
 LOT = 1_500_000
 #: Up to so many documents to be verified (8 bytes each), their ids go to every executor; beyond that, a shuffle join.
@@ -153,7 +158,16 @@ def first_shingles(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarra
     return shingles[:n]
 
 
-LISTS = "block int, docs array<long>, known array<boolean>, hashes array<long>, nodes array<long>, sizes array<int>, places array<int>"
+def bitmap(shingles: np.ndarray) -> bytes | None:
+    """A bit for each shingle by its hash: sets whose bitmaps differ in d bits share at most (a + b - d) / 2 shingles."""
+    if len(shingles) > BITS:
+        return None
+    bits = np.zeros(BITS, bool)
+    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+LISTS = "block int, docs array<long>, known array<boolean>, signs array<binary>, hashes array<long>, nodes array<long>, sizes array<int>, places array<int>"
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary: int, blocks: int) -> DataFrame:
@@ -165,7 +179,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         posts: list[tuple[np.ndarray, int, int, np.ndarray]] = []
-        rows: list[tuple[int | None, int, int]] = []
+        rows: list[tuple[int | None, int, int, bytes | None]] = []
         turn = held = 0
 
         def lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -194,12 +208,13 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
                     pa.array(np.concatenate([[-turn % blocks - blocks], np.arange(blocks)]).astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(none), ids),
                     pa.ListArray.from_arrays(pa.array(none), known),
+                    pa.ListArray.from_arrays(pa.array(none), pa.array([r[3] for r in rows], pa.binary())),
                     lists(h[order].view(np.int64), cuts, pa.int64()),
                     lists(np.concatenate([own_nodes, node[order]]), wide, pa.int64()),
                     lists(np.concatenate([own_sizes, size[order]]), wide, pa.int32()),
                     lists(place[order], cuts, pa.int32()),
                 ],
-                names=["block", "docs", "known", "hashes", "nodes", "sizes", "places"],
+                names=["block", "docs", "known", "signs", "hashes", "nodes", "sizes", "places"],
             )
 
         for batch in batches:
@@ -207,7 +222,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
                 for doc, shingles in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text")), strict=True):
                     n = len(shingles)
                     node = node_of(shingles)
-                    rows.append((doc, node, n))
+                    rows.append((doc, node, n, bitmap(shingles) if n else None))
                     if n and node not in seen:
                         seen.add(node)
                         if n <= boundary:
@@ -263,9 +278,11 @@ def shared_lists(posted: DataFrame, boundary: int) -> DataFrame:
         def one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(np.array([0, len(values)], np.int32)), pa.array(values, kind))
 
-        return pa.table({"block": pa.array([block], pa.int32()), "docs": one(flat("docs"), pa.int64()), "known": one(flat("known").astype(bool), pa.bool_()), "runs": one(run, pa.int32()), "nodes": one(node, pa.int64()), "sizes": one(size, pa.int32()), "places": one(place, pa.int32())})
+        signs = table["signs"].combine_chunks().flatten()
+        signs = pa.ListArray.from_arrays(pa.array([0, len(signs)], pa.int32()), signs)
+        return pa.table({"block": pa.array([block], pa.int32()), "docs": one(flat("docs"), pa.int64()), "known": one(flat("known").astype(bool), pa.bool_()), "signs": signs, "runs": one(run, pa.int32()), "nodes": one(node, pa.int64()), "sizes": one(size, pa.int32()), "places": one(place, pa.int32())})
 
-    kind = "block int, docs array<long>, known array<boolean>, runs array<int>, nodes array<long>, sizes array<int>, places array<int>"
+    kind = "block int, docs array<long>, known array<boolean>, signs array<binary>, runs array<int>, nodes array<long>, sizes array<int>, places array<int>"
     return posted.groupBy("block").applyInArrow(gather, kind)
 
 
@@ -283,17 +300,10 @@ def enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u", "v", "a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).select("u", "v")
 
 
-def hubs_of(lengths: np.ndarray) -> np.ndarray:
-    """How many nodes of each list are compared with all others first: one, and one more for each doubling beyond 16."""
-    return 1 + np.maximum(0, np.floor(np.log2(np.maximum(lengths, 1) / 16)).astype(np.int64))
-
-
 def central_pairs(shared: DataFrame) -> DataFrame:
-    """In each list some nodes, with every other one that they may link to.
+    """In each list, the node whose shingle stands nearest the front of its set, with every other one it may link to.
 
-    The first is the node whose shingle stands nearest the front of its set; the further ones of long lists are those of
-    least hash, which tend to be the same in all lists of like sets.  Pairs that share too few lists in this way are
-    left to :func:`crossing_pairs`.
+    Pairs that share too few lists in this way are left to :func:`crossing_pairs`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,25 +314,16 @@ def central_pairs(shared: DataFrame) -> DataFrame:
                     continue
                 size = size.astype(np.int64)
                 lead = np.lexsort((node, np.maximum(place, 0) / size, run))
-                least = np.lexsort((node, run))
                 starts = np.flatnonzero(np.append(True, run[lead][1:] != run[lead][:-1]))
                 lengths = np.diff(np.append(starts, len(run)))
-                hubs, found = hubs_of(lengths), []
-                for turn in range(int(hubs.max())):
-                    own = hubs > turn
-                    first = (lead if not turn else least)[starts[own] + max(0, turn - 1)]
-                    spread = np.repeat(own, lengths)
-                    hub, other = np.repeat(first, lengths[own]), lead[spread]
-                    fits = (node[hub] != node[other]) & (4 * np.minimum(size[hub], size[other]) >= 3 * np.maximum(size[hub], size[other]))
-                    hub, other = hub[fits], other[fits]
-                    found.append(np.where(node[hub] < node[other], (hub, other), (other, hub)))
-                first, second = np.concatenate(found, 1)
-                order = np.lexsort((run[first], node[second], node[first]))
+                hub = np.repeat(lead[starts], lengths)
+                fits = (hub != lead) & (4 * np.minimum(size[hub], size[lead]) >= 3 * np.maximum(size[hub], size[lead]))
+                hub, other = hub[fits], lead[fits]
+                first = np.where(node[hub] < node[other], hub, other)
+                second = np.where(node[hub] < node[other], other, hub)
+                order = np.lexsort((node[second], node[first]))
                 first, second = first[order], second[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-                first, second = first[new], second[new]
-                if not len(first):
+                if not len(order):
                     continue
                 starts = np.flatnonzero(np.append(True, (node[first][1:] != node[first][:-1]) | (node[second][1:] != node[second][:-1])))
                 n = np.add.reduceat(np.where(place[first] < 0, SURE, 1), starts)
@@ -362,18 +363,20 @@ def open_lists(posts: DataFrame) -> DataFrame:
     counts = posts.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
     facts = counts.groupBy("list").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max("n").alias("main"), F.sum("n").alias("n"))
     sides = lambda n: F.when(n > PART, F.pow(F.lit(2.0), F.ceil(F.log2(n / PART)))).otherwise(1).cast("int")
-    facts = stage(facts.where("main < n").select("list", "most", sides(F.col("main")).alias("m"), sides(F.col("n") - F.col("main")).alias("r")), "list-facts")
+    facts = stage(facts.where("main < n").select("list", "most", F.col("n").alias("in_list"), sides(F.col("main")).alias("m"), sides(F.col("n") - F.col("main")).alias("r")), "list-facts")
     return posts.join(facts.hint("shuffle_hash"), "list")
 
 
-def cells(posts: DataFrame) -> DataFrame:
+def cells(posts: DataFrame, signs: DataFrame) -> DataFrame:
     """Cells (lead, a, b) of nodes to be compared: those of a with those of b, or with each other where b is null.
 
     In each list, the nodes of the component that most of its nodes are in need no comparison with each other.  They
     and the rest are dealt to as many sides, by the hash of the node, as ``PART`` asks for; each side of the rest meets
     itself, every other side of the rest and every side of the others.
     """
-    dealt = posts.withColumn("rest", F.col("component") != F.col("most"))
+    short, long = posts.where(F.col("in_list") <= LONG_LIST), posts.where(F.col("in_list") > LONG_LIST)
+    marked = short.withColumn("sign", F.lit(None).cast("binary")).unionByName(long.join(signs.hint("shuffle_hash"), "node"))
+    dealt = marked.withColumn("rest", F.col("component") != F.col("most"))
     dealt = dealt.withColumn("side", F.pmod(F.col("node"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int"))
     one = lambda kind, i, j, at: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(at).alias("at"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
@@ -381,7 +384,7 @@ def cells(posts: DataFrame) -> DataFrame:
     own = F.transform(every(F.col("r")), lambda x: F.when(x < k, one(0, x, k, 1)).otherwise(one(0, k, x, 0)))
     across = F.transform(every(F.col("m")), lambda x: one(1, k, x, 0))
     met = F.transform(every(F.col("r")), lambda x: one(1, x, k, 1))
-    placed = dealt.withColumn("cell", F.explode(F.when(F.col("rest"), F.concat(own, across)).otherwise(met))).select("list", "cell.*", F.struct("node", "size", "place", "component").alias("x"))
+    placed = dealt.withColumn("cell", F.explode(F.when(F.col("rest"), F.concat(own, across)).otherwise(met))).select("list", "cell.*", F.struct("node", "size", "place", "component", "sign").alias("x"))
     first, second = F.collect_list(F.when(F.col("at") == 0, F.col("x"))), F.collect_list(F.when(F.col("at") == 1, F.col("x")))
     found = placed.groupBy("list", "kind", "i", "j").agg(F.min("x.node").alias("lead"), first.alias("a"), second.alias("b"))
     alone = (F.col("kind") == 0) & (F.col("i") == F.col("j"))
@@ -389,7 +392,7 @@ def cells(posts: DataFrame) -> DataFrame:
     return kept.select("lead", "a", F.when(~alone, F.col("b")).alias("b"))
 
 
-def met_pairs(posts: DataFrame, parts: int) -> DataFrame:
+def met_pairs(posts: DataFrame, signs: DataFrame, parts: int) -> DataFrame:
     """Pairs (u, v) of different components that meet in as many early lists as linked sets do, with that number.
 
     At most m = size - overlap of a set's shingles are missing from a set that it is linked to, so of its first m + c
@@ -397,10 +400,18 @@ def met_pairs(posts: DataFrame, parts: int) -> DataFrame:
     earlier in the order of all has them all before the end of the other's.  c is as many as the lists allow, up to
     ``EARLY``.  Pairs are summed within each task, then by the hash of u.
     """
-    rows = cells(posts)
-    fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("node", "size", "place", "component")]
+    rows = cells(posts, signs)
+    fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("node", "size", "place", "component", "sign")]
     names = [f"{side}_{f}" for side in "ab" for f in ("node", "size", "place", "component")]
 
+    def words(signs: pa.Array) -> np.ndarray:
+        """The bitmaps as rows of 64-bit numbers, of ones where there is none."""
+        out = np.full((len(signs), BITS // 64), ~np.uint64(0))
+        there = signs.is_valid().to_numpy(zero_copy_only=False)
+        kept = signs.drop_null().cast(pa.binary(BITS // 8))
+        out[there] = np.frombuffer(kept.buffers()[1], np.uint64)[kept.offset * BITS // 64 :][: len(kept) * BITS // 64].reshape(-1, BITS // 64) if len(kept) else 0
+        return out
+
     def compare(batch: pa.RecordBatch) -> np.ndarray:
         columns = {n: batch.column(n) for n in names}
         length = {side: columns[f"{side}_node"].value_lengths().fill_null(0).to_numpy() for side in "ab"}
@@ -421,8 +432,18 @@ def met_pairs(posts: DataFrame, parts: int) -> DataFrame:
         need = -(-3 * (x + y) // 7)
         share = np.clip(need - np.maximum(-(-3 * x // 4), -(-3 * y // 4)) + 1, 1, EARLY)
         kept = (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (place[i] < x - need + share) & (place[j] < y - need + share)
-        i, j = i[kept], j[kept]
-        pairs = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.where(place[i] < 0, SURE, 1), share[kept]])
+        i, j, need = i[kept], j[kept], need[kept]
+        share = share[kept]
+        signs = {side: batch.column(f"{side}_sign").flatten() for side in "ab"}
+        if len(i) and signs["a"].null_count < len(signs["a"]):
+            bits = np.concatenate([words(signs["a"]), words(signs["b"])])
+            known = np.concatenate([s.is_valid().to_numpy(zero_copy_only=False) for s in signs.values()])
+            differ = np.zeros(len(i), np.int64)
+            for w in bits.T:
+                differ += np.bitwise_count(w[i] ^ w[j])
+            kept = ~(known[i] & known[j]) | (size[i] + size[j] - differ >= 2 * need)
+            i, j, share = i[kept], j[kept], share[kept]
+        pairs = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.where(place[i] < 0, SURE, 1), share])
         return summed(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +480,7 @@ def met_pairs(posts: DataFrame, parts: int) -> DataFrame:
     return near.mapInArrow(run, kind).groupBy("part").applyInArrow(once, "u long, v long, n long")
 
 
-def crossing_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
+def crossing_pairs(shared: DataFrame, groups: DataFrame, signs: DataFrame) -> DataFrame:
     """All pairs that may be linked and are in different components.
 
     After :func:`met_pairs`, all lists that both are in are counted.
@@ -470,7 +491,7 @@ def crossing_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
     grouped = posts.join(groups.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = stage(grouped, "postings")
     open_posts = stage(open_lists(grouped), "open-postings")
-    pairs = stage(met_pairs(open_posts, parts), "met-pairs")
+    pairs = stage(met_pairs(open_posts, signs, parts), "met-pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     lists = open_posts.join(wanted.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.collect_list("list").alias("lists"))
     lists = stage(lists, "node-lists")
@@ -517,12 +538,13 @@ def labelled(docs: DataFrame) -> DataFrame:
     docs = text_view(docs)
     frequent, counts, boundary, blocks = sample_facts(docs)
     shared = stage(shared_lists(postings(docs, frequent, counts, boundary, blocks), boundary), "lists")
-    each = shared.where("block < 0").select(F.explode(F.arrays_zip("docs", "known", "nodes", "sizes")).alias("d"))
-    rows = each.select(F.when(F.col("d.known"), F.col("d.docs")).alias("doc_id"), F.when(F.col("d.sizes") > 0, F.col("d.nodes")).alias("node"), F.col("d.sizes").cast("long").alias("n_shingles"))
-    nodes = stage(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    each = shared.where("block < 0").select(F.explode(F.arrays_zip("docs", "known", "signs", "nodes", "sizes")).alias("d"))
+    signed = each.select(F.when(F.col("d.known"), F.col("d.docs")).alias("doc_id"), F.when(F.col("d.sizes") > 0, F.col("d.nodes")).alias("node"), F.col("d.sizes").cast("long").alias("n_shingles"), F.col("d.signs").alias("sign"))
+    rows = signed.drop("sign")
+    nodes = stage(signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("sign").alias("sign")), "nodes")
     links = stage(verified(stage(central_pairs(shared), "pairs"), docs, nodes), "links")
     groups = components(links)
-    more = stage(crossing_pairs(shared, groups), "pairs")
+    more = stage(crossing_pairs(shared, groups, nodes.select("node", "sign")), "pairs")
     if more.limit(1).count():
         later = stage(verified(more, docs, nodes), "links")
         if later.limit(1).count():

@@ -63,6 +63,7 @@ def test_texts_of_one_id_are_linked_as_texts(spark):
 
 def test_large_groups_are_compared_in_cells(spark, monkeypatch):
     monkeypatch.setattr(J, "PART", 4)
+    monkeypatch.setattr(J, "LONG_LIST", 3)
     r = random.Random(4)
     rows = []
     for k in range(60):  # near copies that are not all linked, with a passage that others have
