@@ -1,16 +1,21 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 Each page scores its containers by the prose in them: a block's characters outside links count for the container it
-stands in, half for the next one out, a quarter for the one beyond.  A best container inside an article or main element
-gives way to that element.  Its path (tags and classes from the root, digits made alike) is the page's vote.  Spark
-counts the votes of each host, and each page is extracted again from the containers with its host's winning path; a
-page without that path, or with no text there, uses its own best container.
-
-Menus, headers, footers, sidebars, notices, adverts, forms, comments and the like are known by tag, role or class and
-are left out everywhere.
+stands in, half for the next element out, a quarter for the one beyond.  Prose counts a fiftieth for each element around
+it that names itself a menu, sidebar, advert, comments or the like by class, id or role, or is a form or hidden.  A best
+container inside an article or main element gives way to that element, unless such an element stands between.  Its path
+(tags and classes from the root, digits made alike), known by a hash, is the page's vote.  Spark counts the votes of
+each host, and each page is extracted again from the containers with its host's winning path; a page without that path,
+or with no text there, uses its own best container.  Within a container, elements that name themselves boilerplate are
+left out; navigation, header, footer, aside and the like are left out everywhere by tag, and form controls, scripts and
+styles with them.
+
+A page is read in one pass whose time grows with its length alone: an open element knows its path's hash and its
+nearest enclosing block and list, which count what is open in them, so no tag walks over elements that it doesn't close.
 
 Cases: a null or empty page, or one without prose, gives an empty text and no vote; a null url is a host of its own;
-repeated pages vote as often as they occur; ties go to the path that sorts last; other columns are left out.
+repeated pages vote as often as they occur; ties go to the deepest path, then to the greatest hash; a very long page, or
+one of very deep nesting, is one row, which a task holds; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -20,68 +25,160 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evflow.llm.store import stage
 from evflow.llm.text import slices
 
-#: Winning paths are sent to every executor up to so many hosts (under 100 MB); beyond that they are joined by shuffle.
-BROADCAST_HOSTS = 200_000
+#: Bytes of hosts with their winning paths that go to every executor at most; beyond that they are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 #: A host's pages are dealt to so many joined groups when its paths are joined by shuffle.
 SALTS = 64
+#: What prose inside an element that names itself boilerplate counts.
+BOILER_WEIGHT = 0.02
 
 # HTML's elements by kind.
-_RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|select|title"
+_RAW = "script|style|noscript|template|textarea|iframe|select|title"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = frozenset("article body div main section td blockquote center html".split())
-_BOILER_TAG = frozenset("nav header footer aside form menu button dialog head fieldset label input".split())
+_LIST = _CONTAINER | {"ul", "ol", "dl", "table"}
+_LEFT_OUT = frozenset("nav header footer aside menu button dialog head fieldset label input".split())
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOILER_WORD = "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead header topbar toolbar comment comments respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget search pagination pager copyright legal disclaimer skip form"
 
 _BOILER_CLASS = frozenset(_BOILER_WORD.split())
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)[^>]*>?", re.I | re.S)
-_ATTR = re.compile(r"(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_READ = frozenset(("class", "id", "role", "hidden"))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: its path, whether it is boilerplate or a link, and its own block of text."""
-
-    __slots__ = ("boiler", "container", "link", "path", "tag")
-
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
-        classes = found.get("class", "").split()
-        self.tag = tag
-        self.path = f"{parent.path}>{tag}" + "".join(f".{_DIGITS.sub('N', c)}" for c in sorted(classes)) if parent else "#"
-        self.boiler = bool(parent and parent.boiler) or is_boiler(tag, classes, found)
-        self.link = tag == "a" or bool(parent and parent.link)
-        self.container = self if tag in _CONTAINER else parent.container if parent else self
+    """An open element.
 
+    ``path`` is its path's hash, ``boiler`` how many elements on it name themselves boilerplate, ``inside`` the same of
+    the element of the wanted path around it; ``scope`` and ``lists`` are the nearest block and list, itself among them,
+    and ``opened`` and ``listed`` what is open in them by tag.
+    """
 
-def is_boiler(tag: str, classes: list[str], attrs: dict[str, str]) -> bool:
-    """Whether an element is boilerplate by tag, role, class or id."""
-    if tag in _BOILER_TAG or "hidden" in attrs or attrs.get("role", "").lower() in _BOILER_ROLE:
+    __slots__ = ("at", "boiler", "container", "inside", "left_out", "link", "listed", "lists", "opened", "parent", "path", "scope", "tag")
+
+    def __init__(self, tag: str, attrs: str, parent: Node | None, wanted: int | None):
+        found = {}
+        if attrs:
+            for k, a, b, c in _ATTR.findall(attrs):
+                if (k := k.lower()) in _READ:
+                    found.setdefault(k, a or b or c)
+        classes = found["class"].split() if "class" in found else []
+        self.tag, self.parent = tag, parent
+        self.opened: dict[str, int] | None = None
+        self.listed: dict[str, int] | None = None
+        if parent is None:
+            self.at, self.boiler, self.left_out, self.link, self.path, self.inside = 0, 0, False, False, 0, 0 if wanted == 0 else None
+            self.container = self.scope = self.lists = self
+            return
+        self.at = parent.at + 1
+        name = tag + "".join(f".{_DIGITS.sub('N', c)}" for c in sorted(classes)) if classes else tag
+        self.path = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), seed=parent.path & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+        self.boiler = parent.boiler + names_boilerplate(tag, classes, found)
+        self.left_out = parent.left_out or tag in _LEFT_OUT
+        self.link = tag == "a" or parent.link
+        self.container = self if tag in _CONTAINER else parent.container
+        self.scope = self if tag in _BLOCK and tag != "p" else parent.scope
+        self.lists = self if tag in _LIST else parent.lists
+        self.inside = parent.inside
+        if self.inside is None and wanted is not None and self.path == wanted:
+            self.inside = self.boiler
+
+
+def names_boilerplate(tag: str, classes: list[str], attrs: dict[str, str]) -> bool:
+    """Whether an element says by role, class, id or otherwise that it is not the article."""
+    if tag == "form" or "hidden" in attrs or attrs.get("role", "").lower() in _BOILER_ROLE:
         return True
     if tag in ("body", "html", "article", "main"):
         return False
-    names = [*classes, attrs.get("id", "")]
-    return any(w.lower() in _BOILER_CLASS for n in names if n for w in _PART.findall(n))
-
-
-def blocks(html: str) -> Iterator[tuple[Node, str, int]]:
-    """Blocks of prose in page order: the container each stands in, its text and the characters of it in links."""
-    stack = [Node("", "", None)]
+    return any(w.lower() in _BOILER_CLASS for n in (*classes, attrs.get("id", "")) for w in _PART.findall(n))
+
+
+class Stack:
+    """The open elements."""
+
+    def __init__(self, wanted: int | None):
+        self.wanted = wanted
+        self.nodes = [Node("", "", None, wanted)]
+        self.blocks: dict[str, int] = {}
+
+    def push(self, tag: str, attrs: str) -> None:
+        top = self.nodes[-1]
+        for scope, name in ((top.scope, "opened"), (top.lists, "listed")):
+            counts = getattr(scope, name)
+            if counts is None:
+                counts = {}
+                setattr(scope, name, counts)
+            counts[tag] = counts.get(tag, 0) + 1
+        if tag in _BLOCK:
+            self.blocks[tag] = self.blocks.get(tag, 0) + 1
+        self.nodes.append(Node(tag, attrs, top, self.wanted))
+
+    def cut(self, at: int) -> None:
+        """Close the elements from place ``at`` on."""
+        for node in self.nodes[at:]:
+            node.parent.scope.opened[node.tag] -= 1
+            node.parent.lists.listed[node.tag] -= 1
+            if node.tag in _BLOCK:
+                self.blocks[node.tag] -= 1
+        del self.nodes[at:]
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the last open element of these tags, of which there is one."""
+        at = len(self.nodes) - 1
+        while self.nodes[at].tag not in tags:
+            at -= 1
+        return at
+
+    def end(self, tag: str) -> None:
+        """An end tag: one of a block closes all up to its element, another one stays within its block."""
+        if self.blocks.get(tag) if tag in _BLOCK else (self.nodes[-1].scope.opened or {}).get(tag):
+            self.cut(self.last((tag,)))
+
+    def start(self, tag: str, attrs: str, closed: bool) -> None:
+        """A start tag, after what it closes by itself: an open paragraph, or its sibling in a list or table."""
+        top = self.nodes[-1]
+        if tag in _CLOSES_P and top.scope.opened and top.scope.opened.get("p"):
+            self.cut(self.last(("p",)))
+        if siblings := _SIBLING.get(tag):
+            lists = self.nodes[-1].lists
+            if lists.listed and any(lists.listed.get(t) and lists is not self.nodes[-1] for t in siblings):
+                self.cut(self.last(siblings))
+            elif lists.tag in siblings:
+                self.cut(lists.at)
+        if not closed:
+            self.push(tag, attrs)
+
+
+def blocks(html: str, wanted: int | None = None) -> Iterator[tuple[Node, str, int]]:
+    """Blocks of prose in page order: the container each stands in, its text and the characters of it in links.
+
+    With a ``wanted`` path, only what stands in an element of that path and in no boilerplate within it.
+    """
+    stack = Stack(wanted)
     text: list[str] = []
     linked = 0
     end = 0
 
+    def read(piece: str, top: Node) -> None:
+        nonlocal linked
+        if not top.left_out and top.boiler == (top.container.boiler if wanted is None else top.inside):
+            text.append(piece)
+            linked += top.link * len(piece)
+
     def close() -> tuple[Node, str, int] | None:
         nonlocal linked
         if not text:
@@ -89,13 +186,11 @@ def blocks(html: str) -> Iterator[tuple[Node, str, int]]:
         whole = _SPACE.sub(" ", unescape("".join(text))).strip()
         text.clear()
         inside, linked = linked, 0
-        return (stack[-1].container, whole, inside) if whole else None
+        return (stack.nodes[-1].container, whole, inside) if whole else None
 
     for m in _TOKEN.finditer(html):
-        top = stack[-1]
-        if m.start() > end and not top.boiler:
-            text.append(html[end : m.start()])
-            linked += top.link * (m.start() - end)
+        if m.start() > end:
+            read(html[end : m.start()], stack.nodes[-1])
         end = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
@@ -105,62 +200,45 @@ def blocks(html: str) -> Iterator[tuple[Node, str, int]]:
         if tag in _BLOCK and (done := close()):
             yield done
         if m[2] or m[5]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in _BLOCK and stack[k].tag in _BLOCK and stack[k].tag != "p":
-                    break
-            continue
-        if tag in _VOID:
-            continue
-        if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in _BLOCK:
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in _SIBLING.get(tag, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in _CONTAINER or stack[k].tag in ("ul", "ol", "dl", "table"):
-                break
-        if not (m[4] or "").endswith("/") or tag in _BLOCK:
-            stack.append(Node(tag, m[4] or "", stack[-1]))
-    if end < len(html) and not stack[-1].boiler:
-        text.append(html[end:])
+            stack.end(tag)
+        elif tag not in _VOID:
+            attrs = m[4] or ""
+            stack.start(tag, attrs, attrs.endswith("/") and tag not in _BLOCK)
+    if end < len(html):
+        read(html[end:], stack.nodes[-1])
     if done := close():
         yield done
 
 
-def best_path(found: list[tuple[Node, str, int]]) -> tuple[str, float] | None:
-    """The page's best container by prose outside links, with its score."""
-    scores: dict[str, float] = {}
+def best_path(found: list[tuple[Node, str, int]]) -> tuple[int, float] | None:
+    """The page's best container by prose outside links, as its path's hash, with its score."""
+    scores: dict[int, float] = {}
+    nodes: dict[int, Node] = {}
     for node, text, linked in found:
-        gain = float(max(0, len(text) - 2 * linked))
-        parts = node.path.split(">")
-        for up in range(min(3, len(parts))):
-            path = ">".join(parts[: len(parts) - up])
-            scores[path] = scores.get(path, 0.0) + gain / (1 << up)
-    best = max(((p, s) for p, s in scores.items() if s > 0), key=lambda x: (x[1], len(x[0]), x[0]), default=None)
-    if best:
-        parts = best[0].split(">")
-        tags = [p.partition(".")[0] for p in parts]
-        for whole in ("article", "main"):
-            if whole in tags:
-                return ">".join(parts[: tags.index(whole) + 1]), best[1]
-    return best
-
-
-def main_text(html: str | None, winner: str | None) -> str:
+        gain = float(max(0, len(text) - 2 * linked)) * BOILER_WEIGHT**node.boiler
+        for up in range(3):
+            scores[node.path] = scores.get(node.path, 0.0) + gain / (1 << up)
+            nodes.setdefault(node.path, node)
+            if (node := node.parent) is None:
+                break
+    best = max((p for p, s in scores.items() if s > 0), key=lambda p: (scores[p], nodes[p].at, p), default=None)
+    if best is None:
+        return None
+    kept, whole = {}, nodes[best]
+    while whole is not None and whole.boiler == nodes[best].boiler:
+        kept[whole.tag] = whole.path
+        whole = whole.parent
+    return kept.get("article", kept.get("main", best)), scores[best]
+
+
+def main_text(html: str | None, winner: int | None) -> str:
     """Text of the containers with the winning path, else of the page's best one; blocks are parted by an empty line."""
-    found = list(blocks(html)) if html else []
-    for path in (winner, (best_path(found) or ("", 0))[0]):
-        if path and (kept := [t for n, t, _ in found if n.path == path or n.path.startswith(f"{path}>")]):
-            return "\n\n".join(kept)
-    return ""
+    if not html:
+        return ""
+    kept = [t for _, t, _ in blocks(html, winner)] if winner is not None else []
+    if not kept and (best := best_path(list(blocks(html)))):
+        kept = [t for _, t, _ in blocks(html, best[0])]
+    return "\n\n".join(kept)
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
@@ -168,14 +246,15 @@ def host_votes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if html and (best := best_path(list(blocks(html)))):
-                    rows.append((host, *best))
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["host", "path", "score"])
+            for part in slices(batch, "html"):
+                rows = []
+                for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    if html and (best := best_path(list(blocks(html)))):
+                        rows.append((host, *best))
+                columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.float64()), strict=True)], names=["host", "path", "score"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, score double")
+    return pages.select("host", "html").mapInArrow(run, "host string, path long, score double")
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
@@ -188,13 +267,12 @@ def winning_paths(votes: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, min_votes: int = 2, salts: int = SALTS) -> DataFrame:
     """Main text of every page; ``min_votes`` is how many pages must agree on a path for it to bind the host.
 
-    Returns page_id, url, text, n_chars, path (the host's winner, null if none binds).
+    Returns page_id, url, text, n_chars, path (hash of the host's winner, null if none binds).
     """
-    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
     winners = stage(winning_paths(host_votes(pages)).where(F.col("votes") >= min_votes).select("host", "path"), "host-paths")
-    if winners.count() <= BROADCAST_HOSTS:
+    if (winners.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
         joined = pages.join(F.broadcast(winners), "host", "left")
     else:
         salted = winners.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
@@ -208,7 +286,7 @@ def extract(pages: DataFrame, min_votes: int = 2, salts: int = SALTS) -> DataFra
                 columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), part.column("path")]
                 yield pa.record_batch(columns, names=["page_id", "url", "text", "n_chars", "path"])
 
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long, path long")
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,15 +335,11 @@ def central_pairs(shared: DataFrame) -> DataFrame:
 
 
 #: Nodes of a cell's side; longer lists are cut into cells.
-PART = 256
+PART = 1024
 #: Comparisons that a task makes at a time.
 COMPARED = 500_000
 
 
-#: Early lists that a pair must share at most; more would take longer windows.
-EARLY = 16
-
-
 def summed(pairs: np.ndarray) -> np.ndarray:
     """Columns (u, v, n, share) with n summed over equal pairs."""
     order = np.lexsort((pairs[1], pairs[0]))
@@ -393,12 +389,11 @@ def cells(posts: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def met_pairs(posts: DataFrame, signs: DataFrame, parts: int) -> DataFrame:
-    """Pairs (u, v) of different components that meet in as many early lists as linked sets do, with that number.
+    """Pairs (u, v) of different components that meet in as many lists as linked sets do.
 
-    At most m = size - overlap of a set's shingles are missing from a set that it is linked to, so of its first m + c
-    ones c are shared, and these are among the first ones of the other, too: of the two sets, that whose first ones end
-    earlier in the order of all has them all before the end of the other's.  c is as many as the lists allow, up to
-    ``EARLY``.  Pairs are summed within each task, then by the hash of u.
+    Of sets of sizes x <= y, only the first x - ceil(0.75 y) + 1 and y - ceil(0.75 y) + 1 shingles count here; as in
+    :func:`enough`, linked sets share as many of those as their least overlap exceeds ceil(0.75 y) - 1.  Pairs are
+    summed within each task, then by the hash of u.
     """
     rows = cells(posts, signs)
     fields = [F.col(f"{side}.{f}").alias(f"{side}_{f}") for side in "ab" for f in ("node", "size", "place", "component", "sign")]
@@ -412,39 +407,50 @@ def met_pairs(posts: DataFrame, signs: DataFrame, parts: int) -> DataFrame:
         out[there] = np.frombuffer(kept.buffers()[1], np.uint64)[kept.offset * BITS // 64 :][: len(kept) * BITS // 64].reshape(-1, BITS // 64) if len(kept) else 0
         return out
 
-    def compare(batch: pa.RecordBatch) -> np.ndarray:
-        columns = {n: batch.column(n) for n in names}
-        length = {side: columns[f"{side}_node"].value_lengths().fill_null(0).to_numpy() for side in "ab"}
-        own = length["b"] == 0
-        flat = {n: columns[n].flatten().to_numpy() for n in names}
-        shift = len(flat["a_node"])
-        node, size, place, component = (np.concatenate([flat[f"a_{f}"], flat[f"b_{f}"]]) for f in ("node", "size", "place", "component"))
-        at_a = np.cumsum(length["a"]) - length["a"]
-        at_b = np.where(own, at_a, shift + np.cumsum(length["b"]) - length["b"])
-        wide = np.where(own, length["a"], length["b"])
-        n = length["a"] * wide
+    def compare(flat: dict[str, np.ndarray], bits: np.ndarray, known: np.ndarray, at_a: np.ndarray, n_a: np.ndarray, at_b: np.ndarray, n_b: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Pairs of the nodes ``at_a``, ``n_a`` with those ``at_b``, ``n_b`` that a list may link; ``own`` are the same ones."""
+        node, size, place, component = (flat[f] for f in ("node", "size", "place", "component"))
+        n = n_a * n_b
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        i, j = at_a[row] + k // wide[row], at_b[row] + k % wide[row]
+        i, j = at_a[row] + k // n_b[row], at_b[row] + k % n_b[row]
         kept = (component[i] != component[j]) & (~own[row] | (node[i] < node[j]))
         i, j = i[kept], j[kept]
         x, y = size[i], size[j]
-        need = -(-3 * (x + y) // 7)
-        share = np.clip(need - np.maximum(-(-3 * x // 4), -(-3 * y // 4)) + 1, 1, EARLY)
-        kept = (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (place[i] < x - need + share) & (place[j] < y - need + share)
-        i, j, need = i[kept], j[kept], need[kept]
-        share = share[kept]
-        signs = {side: batch.column(f"{side}_sign").flatten() for side in "ab"}
-        if len(i) and signs["a"].null_count < len(signs["a"]):
-            bits = np.concatenate([words(signs["a"]), words(signs["b"])])
-            known = np.concatenate([s.is_valid().to_numpy(zero_copy_only=False) for s in signs.values()])
-            differ = np.zeros(len(i), np.int64)
-            for w in bits.T:
-                differ += np.bitwise_count(w[i] ^ w[j])
-            kept = ~(known[i] & known[j]) | (size[i] + size[j] - differ >= 2 * need)
-            i, j, share = i[kept], j[kept], share[kept]
-        pairs = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.where(place[i] < 0, SURE, 1), share])
-        return summed(pairs)
+        more = -(-3 * np.maximum(x, y) // 4)
+        kept = (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (place[i] <= x - more) & (place[j] <= y - more)
+        i, j, more = i[kept], j[kept], more[kept]
+        need = -(-3 * (size[i] + size[j]) // 7)
+        differ = np.zeros(len(i), np.int64)
+        for w in bits.T if known.any() else ():
+            differ += np.bitwise_count(w[i] ^ w[j])
+        kept = ~(known[i] & known[j]) | (size[i] + size[j] - differ >= 2 * need)
+        i, j = i[kept], j[kept]
+        return summed(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.where(place[i] < 0, SURE, 1), (need - more + 1)[kept]]))
+
+    def units(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The batch's pairs, some comparisons at a time; a cell of more is taken in parts of its first side."""
+        columns = {n: batch.column(n) for n in names}
+        length = {side: columns[f"{side}_node"].value_lengths().fill_null(0).to_numpy().astype(np.int64) for side in "ab"}
+        flat = {f: np.concatenate([columns[f"{side}_{f}"].flatten().to_numpy() for side in "ab"]) for f in ("node", "size", "place", "component")}
+        signs = [batch.column(f"{side}_sign").flatten() for side in "ab"]
+        bits = np.concatenate([words(s) for s in signs])
+        known = np.concatenate([s.is_valid().to_numpy(zero_copy_only=False) for s in signs])
+        own = length["b"] == 0
+        at_a = np.cumsum(length["a"]) - length["a"]
+        at_b = np.where(own, at_a, int(length["a"].sum()) + np.cumsum(length["b"]) - length["b"])
+        n_b = np.where(own, length["a"], length["b"])
+        step = np.maximum(1, COMPARED // np.maximum(1, n_b))
+        cut = np.maximum(1, -(-length["a"] // step))
+        row = np.repeat(np.arange(len(cut)), cut)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(cut) - cut, cut)
+        at_a, n_a = at_a[row] + turn * step[row], np.minimum(step[row], length["a"][row] - turn * step[row])
+        at_b, n_b, own = at_b[row], n_b[row], own[row]
+        weight, start = np.cumsum(n_a * n_b), 0
+        while start < len(row):
+            stop = max(start + 1, int(np.searchsorted(weight, (weight[start - 1] if start else 0) + COMPARED, "right")))
+            yield compare(flat, bits, known, at_a[start:stop], n_a[start:stop], at_b[start:stop], n_b[start:stop], own[start:stop])
+            start = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -457,48 +463,33 @@ def met_pairs(posts: DataFrame, signs: DataFrame, parts: int) -> DataFrame:
 
         found, held = [], 0
         for batch in batches:
-            weight = np.cumsum([a * max(a if not b else b, 1) for a, b in zip(batch.column("a_node").value_lengths().to_pylist(), batch.column("b_node").value_lengths().fill_null(0).to_pylist(), strict=True)])
-            start = 0
-            while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(weight, (weight[start - 1] if start else 0) + COMPARED, "right")))
-                found.append(compare(pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(start, stop))) for c in batch.columns], names=batch.schema.names)))
-                held += found[-1].shape[1]
-                start = stop
-            if held > LOT // 2:
-                yield emit(found)
-                found, held = [], 0
+            for pairs in units(batch):
+                found.append(pairs)
+                held += pairs.shape[1]
+                if held > LOT // 2:
+                    yield emit(found)
+                    found, held = [], 0
         if held:
             yield emit(found)
 
     def once(table: pa.Table) -> pa.Table:
         pairs = summed(np.stack([table[c].combine_chunks().flatten().to_numpy() for c in ("u", "v", "n", "share")]))
         pairs = pairs[:, pairs[2] >= pairs[3]]
-        return pa.table({"u": pairs[0], "v": pairs[1], "n": pairs[2]})
+        return pa.table({"u": pairs[0], "v": pairs[1]})
 
     near = rows.repartition(parts, "lead").select(*fields)
     kind = "part int, u array<long>, v array<long>, n array<long>, share array<long>"
-    return near.mapInArrow(run, kind).groupBy("part").applyInArrow(once, "u long, v long, n long")
+    return near.mapInArrow(run, kind).groupBy("part").applyInArrow(once, "u long, v long")
 
 
 def crossing_pairs(shared: DataFrame, groups: DataFrame, signs: DataFrame) -> DataFrame:
-    """All pairs that may be linked and are in different components.
-
-    After :func:`met_pairs`, all lists that both are in are counted.
-    """
+    """All pairs (u, v) that may be linked and are in different components."""
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posts = shared.where("block >= 0").select("block", F.explode(F.arrays_zip("runs", "nodes", "sizes", "places")).alias("p"))
     posts = posts.select((F.col("block") * (1 << 32) + F.col("p.runs")).alias("list"), F.col("p.nodes").alias("node"), F.col("p.sizes").cast("long").alias("size"), F.col("p.places").cast("long").alias("place"))
     grouped = posts.join(groups.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = stage(grouped, "postings")
-    open_posts = stage(open_lists(grouped), "open-postings")
-    pairs = stage(met_pairs(open_posts, signs, parts), "met-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    lists = open_posts.join(wanted.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.collect_list("list").alias("lists"))
-    lists = stage(lists, "node-lists")
-    one = pairs.join(lists.select(F.col("node").alias("u"), F.col("size").alias("a"), F.col("lists").alias("_a")).hint("shuffle_hash"), "u")
-    both = one.join(lists.select(F.col("node").alias("v"), F.col("size").alias("b"), F.col("lists").alias("_b")).hint("shuffle_hash"), "v")
-    n = F.when(F.col("n") >= SURE, SURE).otherwise(F.size(F.array_intersect("_a", "_b")))
-    return enough(both.select("u", "v", "a", "b", n.alias("n")))
+    return met_pairs(stage(open_lists(grouped), "open-postings"), signs, parts)
 
 
 def node_of(shingles: np.ndarray) -> int:
