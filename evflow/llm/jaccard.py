@@ -10,7 +10,7 @@ Two sets of sizes a and b are linked when 7 * overlap >= 3 * (a + b) (similarity
 * The boundary is where enumerating subsets of the sets of a size stops being cheaper than scanning their lists, both
   estimated on a sample.  The sample also tells which shingles are frequent: that orders the lists and changes no result.
 
-Sets with equal shingles are one node.  Within a list, the node whose shingle stands nearest its front (an original
+Sets with equal shingles are one node.  Within a list, the node with the least share of rare shingles (an original
 rather than a changed copy) is verified with each other one, and linked nodes are joined to components; then the pairs in
 a list whose nodes are not yet in one component are verified, if they share as many lists as linked sets must and, in
 long lists, if bitmaps of their shingles leave room for it.  So a large group of copies costs one check a copy and no
@@ -147,15 +147,15 @@ def sample_facts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return np.array([r[0] for r in frequent], np.int64).view(np.uint64), np.array([r[1] for r in frequent], np.int64), boundary, blocks
 
 
-def first_shingles(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order of all: by sampled count, then by hash."""
+def first_shingles(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the order of all: by sampled count, then by hash; and its share of rare ones in 1024ths."""
     n = prefix_size(len(shingles))
     if len(frequent):
         place = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
         rank = np.where(frequent[place] == shingles, counts[place], 0)
         if rank.any():
-            return shingles[np.argsort(rank, kind="stable")[:n]]
-    return shingles[:n]
+            return shingles[np.argsort(rank, kind="stable")[:n]], 1024 * int((rank == 0).sum()) // len(shingles)
+    return shingles[:n], 1024
 
 
 def bitmap(shingles: np.ndarray) -> bytes | None:
@@ -167,7 +167,7 @@ def bitmap(shingles: np.ndarray) -> bytes | None:
     return np.packbits(bits).tobytes()
 
 
-LISTS = "block int, docs array<long>, known array<boolean>, signs array<binary>, hashes array<long>, nodes array<long>, sizes array<int>, places array<int>"
+LISTS = "block int, docs array<long>, known array<boolean>, signs array<binary>, hashes array<long>, nodes array<long>, sizes array<int>, places array<int>, leads array<short>"
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary: int, blocks: int) -> DataFrame:
@@ -178,7 +178,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        posts: list[tuple[np.ndarray, int, int, np.ndarray]] = []
+        posts: list[tuple[np.ndarray, int, int, np.ndarray, int]] = []
         rows: list[tuple[int | None, int, int, bytes | None]] = []
         turn = held = 0
 
@@ -192,6 +192,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
             node = np.repeat(np.array([p[1] for p in posts], np.int64), lengths)
             size = np.repeat(np.array([p[2] for p in posts], np.int32), lengths)
             place = np.concatenate([p[3] for p in posts]) if posts else np.zeros(0, np.int32)
+            lead = np.repeat(np.array([p[4] for p in posts], np.int16), lengths)
             block = (h % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.concatenate([[0, 0], np.searchsorted(block[order], np.arange(1, blocks + 1))]).astype(np.int32)
@@ -213,8 +214,9 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
                     lists(np.concatenate([own_nodes, node[order]]), wide, pa.int64()),
                     lists(np.concatenate([own_sizes, size[order]]), wide, pa.int32()),
                     lists(place[order], cuts, pa.int32()),
+                    lists(lead[order], cuts, pa.int16()),
                 ],
-                names=["block", "docs", "known", "signs", "hashes", "nodes", "sizes", "places"],
+                names=["block", "docs", "known", "signs", "hashes", "nodes", "sizes", "places", "leads"],
             )
 
         for batch in batches:
@@ -227,11 +229,11 @@ def postings(docs: DataFrame, frequent: np.ndarray, counts: np.ndarray, boundary
                         seen.add(node)
                         if n <= boundary:
                             found = subsets(shingles)
-                            posts.append((found, node, n, np.full(len(found), -1, np.int32)))
+                            posts.append((found, node, n, np.full(len(found), -1, np.int32), 0))
                             held += len(found)
                         if 4 * n > 3 * boundary:
-                            found = first_shingles(shingles, frequent, counts)
-                            posts.append((found, node, n, np.arange(len(found), dtype=np.int32)))
+                            found, rare = first_shingles(shingles, frequent, counts)
+                            posts.append((found, node, n, np.arange(len(found), dtype=np.int32), rare))
                             held += len(found)
                 if held >= LOT or len(rows) >= LOT:
                     yield flush()
@@ -253,7 +255,7 @@ def shared_lists(posted: DataFrame, boundary: int) -> DataFrame:
             return table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
         block = table["block"][0].as_py()
-        h, node, size, place = flat("hashes"), flat("nodes"), flat("sizes"), flat("places")
+        h, node, size, place, lead = (flat(c) for c in ("hashes", "nodes", "sizes", "places", "leads"))
         run = np.zeros(0, np.int32)
         if block >= 0:
             order = np.argsort(h, kind="stable")
@@ -273,16 +275,16 @@ def shared_lists(posted: DataFrame, boundary: int) -> DataFrame:
             good = np.repeat((lengths > 1) & (heavy | subset), lengths)
             run = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)[good]
             kept = kept[good]
-            node, size, place = node[kept], size[kept], place[kept]
+            node, size, place, lead = node[kept], size[kept], place[kept], lead[kept]
 
         def one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array(np.array([0, len(values)], np.int32)), pa.array(values, kind))
 
         signs = table["signs"].combine_chunks().flatten()
         signs = pa.ListArray.from_arrays(pa.array([0, len(signs)], pa.int32()), signs)
-        return pa.table({"block": pa.array([block], pa.int32()), "docs": one(flat("docs"), pa.int64()), "known": one(flat("known").astype(bool), pa.bool_()), "signs": signs, "runs": one(run, pa.int32()), "nodes": one(node, pa.int64()), "sizes": one(size, pa.int32()), "places": one(place, pa.int32())})
+        return pa.table({"block": pa.array([block], pa.int32()), "docs": one(flat("docs"), pa.int64()), "known": one(flat("known").astype(bool), pa.bool_()), "signs": signs, "runs": one(run, pa.int32()), "nodes": one(node, pa.int64()), "sizes": one(size, pa.int32()), "places": one(place, pa.int32()), "leads": one(lead, pa.int16())})
 
-    kind = "block int, docs array<long>, known array<boolean>, signs array<binary>, runs array<int>, nodes array<long>, sizes array<int>, places array<int>"
+    kind = "block int, docs array<long>, known array<boolean>, signs array<binary>, runs array<int>, nodes array<long>, sizes array<int>, places array<int>, leads array<short>"
     return posted.groupBy("block").applyInArrow(gather, kind)
 
 
@@ -301,19 +303,20 @@ def enough(pairs: DataFrame) -> DataFrame:
 
 
 def central_pairs(shared: DataFrame) -> DataFrame:
-    """In each list, the node whose shingle stands nearest the front of its set, with every other one it may link to.
+    """In each list, the node with the least share of rare shingles, with every other one that it may link to.
 
-    Pairs that share too few lists in this way are left to :func:`crossing_pairs`.
+    Of a group of changed copies that is the least changed one, the same in most of their lists.  Pairs that share too
+    few lists in this way are left to :func:`crossing_pairs`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                run, node, size, place = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("runs", "nodes", "sizes", "places"))
+                run, node, size, place, rare = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("runs", "nodes", "sizes", "places", "leads"))
                 if not len(run):
                     continue
                 size = size.astype(np.int64)
-                lead = np.lexsort((node, np.maximum(place, 0) / size, run))
+                lead = np.lexsort((node, rare, run))
                 starts = np.flatnonzero(np.append(True, run[lead][1:] != run[lead][:-1]))
                 lengths = np.diff(np.append(starts, len(run)))
                 hub = np.repeat(lead[starts], lengths)
@@ -331,7 +334,7 @@ def central_pairs(shared: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(v) for v in (node[first], node[second], size[first], size[second], n)], names=["u", "v", "a", "b", "n"])
 
     kind = "u long, v long, a long, b long, n long"
-    return enough(shared.where("block >= 0").select("runs", "nodes", "sizes", "places").mapInArrow(run, kind))
+    return enough(shared.where("block >= 0").select("runs", "nodes", "sizes", "places", "leads").mapInArrow(run, kind))
 
 
 #: Nodes of a cell's side; longer lists are cut into cells.
@@ -510,7 +513,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, sets)])
                 yield pa.record_batch([pa.array(list(map(node_of, sets)), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
 
-    wanted = stage(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.hint("shuffle_hash"), "node").select("node", "doc_id"), "wanted")
+    wanted = stage(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.hint("shuffle_hash"), "node").select("node", "doc_id"), "wanted")
     ids = wanted.select("doc_id").distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
