@@ -134,7 +134,7 @@ def sample_facts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
 
     posted = part.mapInArrow(post, "block int, hashes array<long>, sizes array<int>")
     facts = stage(posted.groupBy("block").applyInArrow(count, "key long, value long, posts long"), "shingle-sample")
-    frequent = facts.where("posts < 0").orderBy(F.desc("value"), "key").limit(MAX_FREQUENT).orderBy("key").collect()
+    frequent = facts.where("posts < 0").orderBy(F.desc("value"), "key").limit(MAX_FREQUENT).collect()
     small = {r[0]: (r[1], r[2]) for r in facts.where("posts >= 0").groupBy("key").agg(F.sum("value"), F.sum("posts")).collect()}
     best, boundary, saved = 0.0, 0, 0.0
     for n in range(1, MAX_LIGHT + 1):
@@ -144,7 +144,9 @@ def sample_facts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         saved += sets * prefix_size(n) * (1 + SAMPLE * scanned / max(1, posts)) - enumerated
         if saved >= best:
             best, boundary = saved, n
-    return np.array([r[0] for r in frequent], np.int64).view(np.uint64), np.array([r[1] for r in frequent], np.int64), boundary, blocks
+    keys, seen = (np.array([r[k] for r in frequent], np.int64) for k in (0, 1))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], seen[order], boundary, blocks
 
 
 def first_shingles(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:

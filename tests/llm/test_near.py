@@ -100,3 +100,14 @@ def test_blocks_follow_the_text(spark, monkeypatch):
     monkeypatch.setattr(J, "SAMPLE", 1)
     rows = [(k, span(3 * (k % 50), 3 * (k % 50) + 60)) for k in range(90)]
     assert found(spark, rows, 2) == sure(rows)
+
+
+def test_frequent_shingles_are_found_in_order(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(J, "SAMPLE", 1)
+    df = spark.createDataFrame([(k, f"{span(0, 60)} z{k}") for k in range(9)], "doc_id long, text string")
+    frequent, counts, _, _ = J.sample_facts(df)
+    assert len(frequent) == 56 and set(counts.tolist()) == {9} and (frequent[1:] > frequent[:-1]).all()
+    own = np.sort(np.concatenate([frequent, np.array([1, 1 << 63], np.uint64)]))
+    assert set(J.first_shingles(own, frequent, counts)[0][:2].tolist()) == {1, 1 << 63}
