@@ -43,7 +43,7 @@ BOILER_WEIGHT = 0.02
 _RAW = "script|style|noscript|template|textarea|iframe|select|title"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_CONTAINER = frozenset("article body div main section td blockquote center html".split())
+_CONTAINER = frozenset("article body div form main section td blockquote center html".split())
 _LIST = _CONTAINER | {"ul", "ol", "dl", "table"}
 _LEFT_OUT = frozenset("nav header footer aside menu button dialog head fieldset label input".split())
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())

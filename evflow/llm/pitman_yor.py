@@ -16,19 +16,23 @@ each restaurant's total tables.  Those of classes and above are 4161 numbers, wh
 rounds and sent to all.  Those of words grow with the text: each belongs by its hash to one of as many parts as there
 are blocks; blocks tell the parts their tables, the parts sum them and tell the blocks that have the context.  Strengths
 s are drawn between rounds, too: by auxiliary variables, for the words' restaurants from a grid.  Discounts d come from
-how many words have one and two customers.  The probability of a word is the mean over the last sweeps.  For over 64
-customers of a word in a context, later ones are seated in runs.
+how many words have one and two customers.  A round goes on from the seating that the round before has left.  The
+probability of a word is the mean over the last rounds' seatings, each with the totals of that same seating, so the
+probabilities of all next words add up to one.  A word of over 512 customers and many tables in a
+context is seated in runs, which gives too many tables.
 
 Documents are worked on in chunks of some megabytes, which ask the blocks for the words and contexts that they hold; the
 answers go back to the chunk.  Chunks, blocks and parts are files of the shared folder; what is shuffled are requests,
 answers and totals.
 
 Cases: a null or empty text is its end alone; without training documents all words are unknown and equally unlikely;
-a null doc_id trains; repeated rows train and are scored as often as they occur; other columns are left out.
+a null doc_id trains; repeated rows train and are scored as often as they occur; a very long text is a chunk of its
+own, which a task holds; an empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,8 +42,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evflow.llm.store import new_path, open_file, stage
+from evflow.llm.store import drop, new_path, open_file, stage
 from evflow.llm.text import hash64, slices, split_words, text_view
 
 PARENTS, CHILDREN = 64, 64
@@ -50,8 +55,10 @@ ADDERS = 16
 CLASS_SHIFT = 51
 #: Bytes of text of a chunk; one longer text is a chunk alone.
 CHUNK_BYTES = 8 << 20
+#: Tokens whose pairs make a block, about; more text makes more blocks.
+BLOCK_TOKENS = 4 << 20
 #: Customers of a word in a context up to which table counts are drawn exactly.
-EXACT = 64
+EXACT = 512
 _END = "\n"
 
 
@@ -150,10 +157,10 @@ def encode(docs: DataFrame, base: str) -> DataFrame:
                 docs, known = np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], bool)
                 classes = np.fromiter(map(context_of, vocab), np.int16, len(vocab))
                 save(f"{base}/chunk-{turn}", docs, known, lengths, tokens, hash64(vocab).view(np.int64), classes)
-                yield pa.record_batch([pa.array([turn], pa.int64())], names=["chunk"])
+                yield pa.record_batch([pa.array([turn], pa.int64()), pa.array([len(tokens)], pa.int64())], names=["chunk", "tokens"])
                 turn += 1
 
-    return stage(docs.mapInArrow(run, "chunk long"), "chunks")
+    return stage(docs.mapInArrow(run, "chunk long, tokens long"), "chunks")
 
 
 class Pairs(NamedTuple):
@@ -310,34 +317,51 @@ def stirling(discount: float) -> np.ndarray:
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)
     out[1, 1] = 0.0
     for c in range(1, EXACT):
-        for t in range(1, c + 2):
-            out[c + 1, t] = np.logaddexp(out[c, t - 1], out[c, t] + np.log(c - discount * t) if t <= c else -np.inf)
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = out[c, 1 : c + 1] + np.log(c - discount * t)
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c + 1, 1 : c + 2], out[c, : c + 1])
     return out
 
 
 def draw_tables(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Table counts of words with these customers; ``weight`` is what a new table has against a seat, for each."""
+    """Table counts of words with these customers; ``weight`` is what a new table has against a seat, for each.
+
+    Counts t of c customers have S(c, t) * weight^t as their likelihood.  Beyond ``EXACT`` customers the last row of S
+    serves, whose share of t moves with c by (1 - a / c^discount)^(t - 1) to the next order; where as many tables as
+    ``EXACT``^discount are likely, that order is not enough, and customers are seated in runs.
+    """
     tables = np.minimum(customers, 1).astype(np.int64)
     logs = stirling(round(discount, 6))
-    small = np.minimum(customers, EXACT)
     log_weight = np.log(np.maximum(weight, 1e-300))
-    order = np.argsort(small, kind="stable")
-    cuts = np.searchsorted(small[order], np.arange(EXACT + 2))
-    for c in range(2, EXACT + 1):
-        rows = order[cuts[c] : cuts[c + 1]]
-        for part in np.array_split(rows, max(1, len(rows) // 20_000)):
+
+    def draw(rows: np.ndarray, c: int, bend: np.ndarray | None = None) -> None:
+        t = np.arange(1, c + 1)
+        for part in np.array_split(np.arange(len(rows)), max(1, len(rows) * c // 1_000_000)):
             if len(part):
-                t = np.arange(1, c + 1)
-                logp = logs[c, 1 : c + 1] + log_weight[part, None] * t
+                own = rows[part]
+                slope = log_weight[own] if bend is None else log_weight[own] + bend[part]
+                logp = logs[c, 1 : c + 1] + slope[:, None] * t
                 p = np.cumsum(np.exp(logp - logp.max(1, keepdims=True)), 1)
-                tables[part] = 1 + (p < rng.random((len(part), 1)) * p[:, -1:]).sum(1)
-    rest = np.flatnonzero(customers > EXACT)
-    seated = np.full(len(rest), EXACT, np.int64)
+                tables[own] = 1 + (p < rng.random((len(own), 1)) * p[:, -1:]).sum(1)
+
+    small = np.where(customers > EXACT, 0, customers)
+    order = np.argsort(small, kind="stable")
+    cuts = np.searchsorted(small[order], np.arange(EXACT + 2))
+    for c in np.flatnonzero(np.diff(cuts)).tolist():
+        if c > 1:
+            draw(order[cuts[c] : cuts[c + 1]], c)
+    large = customers > EXACT
+    few = weight <= discount * EXACT**discount
+    rows = np.flatnonzero(large & few)
+    a = math.gamma(-discount) / (2 * math.gamma(-2 * discount)) if len(rows) and 2 * discount != 1 else 0.0
+    draw(rows, EXACT, np.log1p(-a * customers[rows].astype(float) ** -discount) - np.log1p(-a * EXACT**-discount))
+    rest = np.flatnonzero(large & ~few)
+    seated = np.minimum(customers[rest], 1)
     while len(rest):
         run = np.minimum(customers[rest] - seated, np.maximum(1, seated // 16))
         new = weight[rest] / (seated - discount * tables[rest] + weight[rest])
         tables[rest] += rng.binomial(run, np.clip(new, 0, 1))
-        seated += run
+        seated = seated + run
         more = seated < customers[rest]
         rest, seated = rest[more], seated[more]
     return tables
@@ -417,6 +441,17 @@ class WordSeating:
         self.above.counts = self.class_counts()
         self.above.sweep(s, rng)
 
+    def drawn(self) -> list[np.ndarray]:
+        """All table counts, for :meth:`restore`."""
+        return [x.astype(np.int32) for x in (self.tables, self.above.tables, self.above.upper_tables, self.above.root_tables)]
+
+    def restore(self, tables: np.ndarray, above: np.ndarray, upper: np.ndarray, root: np.ndarray) -> None:
+        """Take back a seating."""
+        self.tables, self.above.tables, self.above.upper_tables = (x.astype(np.int64) for x in (tables, above, upper))
+        self.above.counts = self.class_counts()
+        self.above.count_up()
+        self.above.root_tables = root.astype(np.int64)
+
     def totals(self) -> np.ndarray:
         """Those of the restaurants above, and of all words' restaurants together."""
         own = [x.sum() for x in (self.counts, self.tables, self.counts == 1, self.counts == 2)]
@@ -432,19 +467,26 @@ def block_of(base: str, block: int) -> tuple[WordSeating, list[np.ndarray], np.n
     return WordSeating(word[kept], context[kept], total[kept], classes, int(n_words[0])), asked, word, context, classes, sizes
 
 
-def seat(heard: DataFrame, base: str, state: State, low: Low, parts: int, sweeps: int, first: bool, seed: int) -> DataFrame:
-    """Each block's tables after some sweeps: rows for the parts of its contexts, and the totals of the restaurants above."""
+def seat(heard: DataFrame, base: str, state: State, low: Low, parts: int, sweeps: int, turn: int, seed: int) -> DataFrame:
+    """Each block's tables after some sweeps: rows for the parts of its contexts, and the totals of the restaurants above.
+
+    The chain goes on from the seating of round ``turn``; the next one, and the totals heard of this one, are files.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         _, found = in_turn(table, "part")
-        if first:
-            save(f"{base}/customers-{block}", np.concatenate([f[0] for f in found]))
         total = np.concatenate([f[-1] for f in found])
         seating, *_, classes, sizes = block_of(base, block)
+        if turn:
+            seating.restore(*load(f"{base}/tables-{turn}-{block}"))
+            save(f"{base}/total-{turn}-{block}", total)
+        else:
+            save(f"{base}/customers-{block}", np.concatenate([f[0] for f in found]))
         rng = np.random.default_rng([seed, block])
         for _ in range(sweeps):
             seating.sweep(state, low, total, rng)
+        save(f"{base}/tables-{turn + 1}-{block}", *seating.drawn())
         tables = np.bincount(seating.context, seating.tables, len(classes)).astype(np.int32)
         cut = np.concatenate([[0], np.cumsum(sizes)])
         told = [(k, block, pack(tables[cut[k] : cut[k + 1]])) for k in np.flatnonzero(sizes).tolist()]
@@ -482,17 +524,19 @@ def next_state(totals: np.ndarray, before: State | None, seed: int) -> State:
 ANSWER = "chunk long, block long, data binary"
 
 
-def answers(heard: DataFrame, base: str, state: State, low: Low, parts: int, burn: int, samples: int, first: bool, seed: int) -> DataFrame:
-    """For each request: log10 of the mean predictive probability of its pairs, and its words' training counts."""
+def answers(heard: DataFrame, base: str, draws: list[tuple[int, State, Low]], parts: int) -> DataFrame:
+    """For each request: log10 of the mean predictive probability of its pairs, and its words' training counts.
+
+    ``draws`` are rounds with their state, in order; ``heard`` are the totals of the last.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         _, found = in_turn(table, "part")
-        total = np.concatenate([f[-1] for f in found])
+        last = np.concatenate([f[-1] for f in found])
         seating, (chunks, n_words, n_pairs, asked, back), w, context, classes, _ = block_of(base, block)
-        customers = np.concatenate([f[0] for f in found]) if first else load(f"{base}/customers-{block}")[0]
-        s, above = state, seating.above
-        rng = np.random.default_rng([seed, block])
+        customers = load(f"{base}/customers-{block}")[0]
+        above = seating.above
         g = classes[context]
         h = g // CHILDREN
 
@@ -510,15 +554,14 @@ def answers(heard: DataFrame, base: str, state: State, low: Low, parts: int, bur
             return np.where(there, values[at], 0) if len(values) else np.zeros(len(at))
 
         mean = np.zeros(len(w))
-        for turn in range(burn + samples):
-            seating.sweep(s, low, total, rng)
-            if turn < burn:
-                continue
+        for turn, s, low in draws:
+            seating.restore(*load(f"{base}/tables-{turn}-{block}"))
+            total = last if turn == draws[-1][0] else load(f"{base}/total-{turn}-{block}")[0]
             root = above.root_p(s)[w]
             p1 = (taken(above.upper_counts, at1, in1) - s.discount[1] * taken(above.upper_tables, at1, in1) + (s.strength[1] + s.discount[1] * s.tables[1][h]) * root) / (s.strength[1] + s.customers[1][h])
             p2 = (taken(above.counts, at2, in2) - s.discount[2] * taken(above.tables, at2, in2) + (s.strength[2] + s.discount[2] * s.tables[2][g]) * p1) / (s.strength[2] + s.customers[2][g])
             mean += (taken(seating.counts, at3, in3) - low.discount * taken(seating.tables, at3, in3) + (low.strength + low.discount * total[context]) * p2) / (low.strength + customers[context])
-        logp = np.log10(np.maximum(mean / samples, 1e-300)).astype(np.float32)[back]
+        logp = np.log10(np.maximum(mean / len(draws), 1e-300)).astype(np.float32)[back]
         known = np.bincount(seating.word, seating.counts, above.n_words).astype(np.int64)[asked]
         end_w, end_p = np.cumsum(n_words), np.cumsum(n_pairs)
         return rows(("chunk", "block"), [(c, block, pack(logp[j - m : j], known[i - n : i])) for c, i, n, j, m in zip(chunks.tolist(), end_w, n_words, end_p, n_pairs, strict=True)])
@@ -529,23 +572,30 @@ def answers(heard: DataFrame, base: str, state: State, low: Low, parts: int, bur
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, rounds: int = 2, sweeps: int = 3, burn: int = 3, samples: int = 4, seed: int = 1) -> DataFrame:
+def score(docs: DataFrame, rounds: int = 3, sweeps: int = 3, samples: int = 2, seed: int = 1) -> DataFrame:
     """Learn from the documents that are not held out, and score all.
 
-    ``rounds`` is how often the restaurants' totals are summed, ``sweeps`` the Gibbs sweeps in each, ``burn`` and
-    ``samples`` the last sweeps before and in the mean.
+    ``rounds`` is how often the restaurants' totals are summed, ``sweeps`` the Gibbs sweeps in each, and ``samples`` the
+    last rounds whose seatings are in the mean.
     """
-    n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not 1 <= samples <= rounds:
+        raise ValueError("samples are rounds")
     base = new_path(docs.sparkSession, "pitman-yor")
-    told = blocks_of(requests(encode(text_view(docs), base), base, n_blocks), base, n_blocks)
+    chunks = encode(text_view(docs), base)
+    n_tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_tokens // BLOCK_TOKENS))
+    told = blocks_of(requests(chunks, base, n_blocks), base, n_blocks)
     heard = contexts_of(told, base, n_blocks, True, 0.5)
     totals = totals_of(heard)
     state, (trained, _, ones, twos) = next_state(totals[:-1], None, seed), totals[-1].tolist()
     low = Low(float(np.clip(ones / max(1.0, ones + 2 * twos), 0.05, 0.95)), 1.0)
+    draws = []
     for k in range(rounds):
-        told = seat(heard, base, state, low, n_blocks, sweeps, k == 0, seed + k)
-        heard = contexts_of(told, base, n_blocks, False, low.discount)
+        told = seat(heard, base, state, low, n_blocks, sweeps, k, seed + k)
+        before, heard = heard, contexts_of(told, base, n_blocks, False, low.discount)
+        drop(before)
         state, low = next_state(totals_of(heard)[:-1], state, seed + k), low._replace(strength=low_strength(heard, seed + k))
+        draws.append((k + 1, state, low))
     words = state.words
 
     def run(table: pa.Table) -> pa.Table:
@@ -570,7 +620,7 @@ def score(docs: DataFrame, rounds: int = 2, sweeps: int = 3, burn: int = 3, samp
             }
         )
 
-    return answers(heard, base, state, low, n_blocks, burn, samples, rounds == 0, seed + rounds).groupBy("chunk").applyInArrow(run, SCORE)
+    return answers(heard, base, draws[-samples:], n_blocks).groupBy("chunk").applyInArrow(run, SCORE)
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

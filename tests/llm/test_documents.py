@@ -100,7 +100,7 @@ def test_hosts_beyond_the_bound_are_joined(spark, monkeypatch):
     rows = [(k, f"http://h{k % 3}.example/{k}", PAGE.format(n=k)) for k in range(9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = sorted(map(tuple, H.extract(df).collect()))
-    monkeypatch.setattr(H, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, H.extract(df).collect())) == want
 
 
@@ -108,3 +108,42 @@ def test_long_page(spark):
     rows = [(1, "http://c.example/", "<article>" + "<p>some words of text</p>" * 20_000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert H.extract(df).first().n_chars == 20_000 * 18 + 19_999 * 2
+
+
+def test_names_outside_class_id_and_role_are_no_boilerplate():
+    article = "<p>An article of some words here.</p>"
+    tags = ['div style="overflow:hidden"', 'article style="overflow: hidden"', 'div aria-hidden="false"', 'div data-id="menu"', 'div data-grid="header"', 'div class="search-results"', "form"]
+    for tag in tags:
+        html = f"<body><nav>Home</nav><{tag}>{article}<div class=sidebar>No</div><aside>No</aside></{tag.split()[0]}><footer>No</footer></body>"
+        assert H.main_text(html, None) == "An article of some words here.", tag
+    assert H.main_text("<p>a <math><mi>x</mi></math> <object>y</object> <svg><text>z</text></svg></p>", None) == "a x y z"
+
+
+def test_time_grows_with_length_alone():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        page = "<body><i><ul>" + "<font>" * n + "text " + "<p>x</p></i><li>y" * n
+        begun = time.process_time()
+        assert H.main_text(page, None).startswith("text")
+        took.append(time.process_time() - begun)
+    assert took[1] < 25 * max(took[0], 0.05)
+
+
+def test_winning_paths_equal_plain_counts(spark):
+    from collections import Counter
+
+    r = random.Random(8)
+    rows = [(f"h{r.randrange(4)}", r.randrange(5), float(r.randrange(3))) for _ in range(200)]
+    got = {x.host: (x.path, x.votes) for x in H.winning_paths(spark.createDataFrame(rows, "host string, path long, score double").repartition(3)).collect()}
+    votes, score = Counter((h, p) for h, p, _ in rows), Counter()
+    for h, p, s in rows:
+        score[h, p] += s
+    for h in {h for h, _, _ in rows}:
+        best = max((votes[h, p], score[h, p], p) for p in range(5) if votes[h, p])
+        assert got[h] == (best[2], best[0])
+
+
+def test_no_pages(spark):
+    assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

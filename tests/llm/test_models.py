@@ -111,22 +111,39 @@ def test_table_counts_follow_their_distribution():
 
 
 def test_language_model_probabilities_sum_to_one(spark):
+    """Through scores alone: texts of up to two words give a matrix that is similar to that of next-word probabilities.
+
+    With E the text's end, M[E, w] = 1, M[w, E] = P("w") and M[u, w] = P("u w") / P("w") are p(w | u) up to a change of
+    scale of each word, so the largest eigenvalue is one where the probabilities after each word are of sum one.
+    """
     r = random.Random(4)
     docs = [(k, " ".join(r.choice(WORDS[:12]) for _ in range(40))) for k in range(60)]
-    words = sorted({w for _, t in docs for w in t.split()})
-    probes = [(10_000 + k, f"{words[0]} {w}") for k, w in enumerate([*words, "neverseen"])]
-    base = [(20_000, words[0])]
-    ids = {d for d, _ in docs if not P.held_out(d)}
-    keep = [(i, t) for i, t in docs if i in ids]
+    keep = [(i, t) for i, t in docs if not P.held_out(i)]
+    words = [*sorted({w for _, t in keep for w in t.split()}), "neverseen"]
+    probes = ["", *words, *(f"{u} {w}" for u in words for w in words)]
     held = [i for i in range(10_000, 60_000) if P.held_out(i)]
-    rows = [*keep, *((held[k], t) for k, (_, t) in enumerate(probes)), (held[len(probes)], base[0][1])]
-    got = {x.doc_id: x for x in P.score(spark.createDataFrame(rows, "doc_id long, text string"), seed=3).collect()}
-    trained = {w for _, t in keep for w in t.split()}
-    # p(first) p(w | first) p(end | w) over all w, against p(first) p(end | first): the middle word's share alone
-    assert all(got[i].n_known == got[i].n_tokens for i in ids)
-    assert trained == set(words)
-    probe = got[held[len(probes) - 1]]
-    assert (probe.n_tokens, probe.n_known) == (3, 2) and probe.held_out
+    rows = [*keep, *zip(held, probes, strict=False)]
+    got = {x.doc_id: x for x in P.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), seed=3).collect()}
+    assert all(got[i].n_known == got[i].n_tokens for i, _ in keep)
+    p = {t: 10 ** got[i].score for i, t in zip(held, probes, strict=False)}
+    m = np.array([[p[""], *[1.0] * len(words)], *([p[u], *(p[f"{u} {w}"] / p[w] for w in words)] for u in words)])
+    assert abs(np.linalg.eigvals(m)).max() == pytest.approx(1, abs=1e-5)
+
+
+def test_large_groups_follow_their_distribution():
+    """Beyond the exact rows, against rows of the recursion carried on."""
+    for c, d, weight, error in ((700, 0.6, 3.0, 0.03), (1500, 0.8, 0.5, 0.03), (1500, 0.5, 9.0, 0.03), (1500, 0.3, 50.0, 0.6)):  # the last in runs
+        row = np.full(c + 2, -np.inf)
+        row[1] = 0
+        for n in range(1, c):
+            t = np.arange(1, n + 2)
+            stay = np.where(t <= n, row[1 : n + 2] + np.log(np.maximum(n - d * t, 1e-9)), -np.inf)
+            row[1 : n + 2] = np.logaddexp(row[: n + 1], stay)
+        t = np.arange(1, c + 1)
+        p = np.exp(row[1 : c + 1] + t * np.log(weight) - (row[1 : c + 1] + t * np.log(weight)).max())
+        mean = (t * p).sum() / p.sum()
+        drawn = P.draw_tables(np.full(3000, c), np.full(3000, weight), d, np.random.default_rng(1))
+        assert abs(drawn.mean() / mean - 1) < error, (c, d, weight, mean, drawn.mean())
 
 
 def test_language_model_against_plain_counts(spark, hard, none):
