@@ -44,23 +44,22 @@ def relative_to(child: dict[str, Column], parent: dict[str, Column]) -> dict[str
     return {"pt_rel": share, "pt_rel_log": log_positive(share), "deta": child["eta"] - parent["eta"], "dphi": wrap_angle(child["phi"], parent["phi"])}
 
 
-#: One-hot flags by |particle id|; fixed values.
-PARTICLE_KINDS = {"electron": 11, "muon": 13, "photon": 22, "charged_hadron": 211, "neutral_hadron": 130}
-#: Kinds that carry a charge, and so have a flag for each sign.
-CHARGED_KINDS = ("electron", "muon", "charged_hadron")
+# A candidate's particle id of each flag, and the sign of its charge (0: any).
+PARTICLE_FLAGS = {
+    "isPhoton": (3, 0),
+    "isElectronPlus": (1, 1),
+    "isElectronMinus": (1, -1),
+    "isMuonPlus": (4, 1),
+    "isMuonMinus": (4, -1),
+    "isNeutralHadron": (2, 0),
+    "isChargedHadronPlus": (0, 1),
+    "isChargedHadronMinus": (0, -1),
+}
 
 
 def particle_flags(kind: Column, charge: Column) -> dict[str, Column]:
-    """Eight 0/1 flags of a particle's kind, by charge sign where it has one."""
-    flags = {}
-    for name, code in PARTICLE_KINDS.items():
-        same = F.abs(kind) == code
-        if name in CHARGED_KINDS:
-            flags[f"is_{name}_plus"] = same & (charge > 0)
-            flags[f"is_{name}_minus"] = same & (charge < 0)
-        else:
-            flags[f"is_{name}"] = same
-    return {k: v.cast("float") for k, v in flags.items()}
+    """Eight 0/1 flags of a candidate's kind, by charge sign where it has one."""
+    return {name: ((kind == code) & (F.signum(charge) == sign) if sign else kind == code).cast("float") for name, (code, sign) in PARTICLE_FLAGS.items()}
 
 
 def twos_complement(bits: Column, width: int) -> Column:

@@ -44,10 +44,23 @@ def p4(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(S.log_positive(F.col("c_acctbal")), 6).alias("a"), F.round(S.log_floor(F.col("c_acctbal")), 6).alias("b"))
 
 
-@query("p5_particle_flags", "WITH x AS (SELECT p_partkey, (ARRAY[11, 13, 22, 211, 130])[1 + p_partkey % 5] AS kind, (p_size % 3 - 1) AS q FROM part) SELECT p_partkey, " + ", ".join(f"(CASE WHEN kind = {k} AND q {op} 0 THEN 1 ELSE 0 END)::FLOAT AS is_{n}_{s}" for n, k in (("electron", 11), ("muon", 13), ("charged_hadron", 211)) for s, op in (("plus", ">"), ("minus", "<"))) + ", (CASE WHEN kind = 22 THEN 1 ELSE 0 END)::FLOAT AS is_photon, (CASE WHEN kind = 130 THEN 1 ELSE 0 END)::FLOAT AS is_neutral_hadron FROM x")
+_P5 = """
+SELECT p_partkey,
+  (CASE WHEN kind = 3 THEN 1 ELSE 0 END)::FLOAT AS isPhoton,
+  (CASE WHEN kind = 1 AND q > 0 THEN 1 ELSE 0 END)::FLOAT AS isElectronPlus,
+  (CASE WHEN kind = 1 AND q < 0 THEN 1 ELSE 0 END)::FLOAT AS isElectronMinus,
+  (CASE WHEN kind = 4 AND q > 0 THEN 1 ELSE 0 END)::FLOAT AS isMuonPlus,
+  (CASE WHEN kind = 4 AND q < 0 THEN 1 ELSE 0 END)::FLOAT AS isMuonMinus,
+  (CASE WHEN kind = 2 THEN 1 ELSE 0 END)::FLOAT AS isNeutralHadron,
+  (CASE WHEN kind = 0 AND q > 0 THEN 1 ELSE 0 END)::FLOAT AS isChargedHadronPlus,
+  (CASE WHEN kind = 0 AND q < 0 THEN 1 ELSE 0 END)::FLOAT AS isChargedHadronMinus
+FROM (SELECT p_partkey, p_partkey % 5 AS kind, p_size % 3 - 1 AS q FROM part)
+"""
+
+
+@query("p5_particle_flags", _P5)
 def p5(spark, d):
-    kind = F.get(F.array(*map(F.lit, (11, 13, 22, 211, 130))), (F.col("p_partkey") % 5).cast("int"))
-    flags = S.particle_flags(kind, F.col("p_size") % 3 - 1)
+    flags = S.particle_flags(F.col("p_partkey") % 5, F.col("p_size") % 3 - 1)
     return table(spark, d, "part").select("p_partkey", *[v.alias(k) for k, v in flags.items()])
 
 

@@ -249,3 +249,18 @@ def test_auc_by_length_holds_every_labelled_document(spark, tmp_path):
     got = QUERIES["e15_auc_by_length"](spark, str(tmp_path)).collect()
     assert sum(x.n_pos + x.n_neg for x in got) == len(docs)
     assert {x.bin: x.n_pos + x.n_neg for x in got} == {0: 100, 1: 100, 2: 200, 3: 400, 4: 3200}
+
+
+def test_constituents_make_the_baseline_features(spark):
+    jets = spark.createDataFrame([(0, 0, 10.0, 0.5, 3.0), (0, 1, 0.0, 0.0, 0.0)], "event int, idx int, pt double, eta double, phi double")
+    links = spark.createDataFrame([(0, 0, 1, 0), (0, 0, 0, 1), (0, 1, 2, 0), (0, 0, 2, 5)], "event int, jetIdx int, candIdx int, slot int")
+    kinds = [(0, 0, 5.0, 0.4, -3.1, 1, -1), (0, 1, 2.0, 0.6, 2.9, 3, 0), (0, 2, 1.0, 0.0, 0.1, 0, 1)]
+    rows = [(*k, 0.1, 1.0, 2.0, 0.5, 4.0, 3.0) for k in kinds]
+    cands = spark.createDataFrame(rows, "event int, idx int, pt double, eta double, phi double, id int, charge int, mass double, z0 double, dxy double, puppiweight double, emid double, quality double")
+    names = B.feature_names(["baseline"])
+    got = {r.jetIdx: r for r in B.padded_features(B.constituents(jets, links, cands, ["event"], 3), ["event", "jetIdx"], names, 3).collect()}
+    first = {n: list(got[0][n]) for n in names}
+    assert first["pt"] == [2.0, 5.0, 0.0] and first["isfilled"] == [1.0, 1.0, 0.0]
+    assert first["isPhoton"] == [1.0, 0.0, 0.0] and first["isElectronMinus"] == [0.0, 1.0, 0.0] and first["isElectronPlus"] == [0.0] * 3
+    assert [round(x, 5) for x in first["pt_rel"]] == [0.2, 0.5, 0.0] and round(first["dphi"][1], 4) == round(-3.1 - 3.0 + 2 * 3.141592653589793, 4)
+    assert got[1]["pt_rel"][0] == 0.0 and got[1]["isChargedHadronPlus"][0] == 1.0
