@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evflow.functions.scalars import clamped_bin, edge_bin
+from pyspark.sql.types import StructType
+
+from evflow.functions.scalars import clamped_bin, edge_bin, normal_cdf
+from evflow.operators.selection import exact_split
+
+
+def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None, parts: int = 256) -> DataFrame:
+    """Rows with ``<name>_before`` for each column of ``sums``: its sum over the rows that come before in ``order``.
+
+    No two rows of a group may have the same place in the order.  Rows are dealt into ranges of about equal size by
+    approximate percentiles (of the first field, if the order is a struct), ranges are summed and only then are rows
+    added up within each, so that no task holds the whole column.  The numbers ordered by are numeric or times.
+    """
+    by = by or []
+    kind = df.schema[order].dataType
+    lead = F.col(f"{order}.{kind.fieldNames()[0]}" if isinstance(kind, StructType) else order).cast("double")
+    cuts = df.agg(F.percentile_approx(lead, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 4 * parts).alias("_cuts"))
+    place = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= lead)), F.lit(0))
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", place).drop("_cuts")
+    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    ranges = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_of_{k}" for k in [*by, "_range"]}
+    offsets = totals.select(*[F.col(k).alias(n) for k, n in names.items()], *[F.coalesce(F.sum(f"_sum_{c}").over(ranges), F.lit(0)).alias(f"_sum_{c}") for c in sums])
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    joined = dealt.join(offsets.hint("shuffle_hash"), same)
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select(*df.columns, *[(F.col(f"_sum_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sums])
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by average ranks, with class counts; null if a class is empty."""
     by = by or []
     ties = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("n"), F.sum(positive.cast("long")).alias("p"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ties.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running_sums(ties, score, ["n"], by).withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("p").alias("n_pos"), (F.sum("n") - F.sum("p")).alias("n_neg"), F.sum(F.col("p") * F.col("rank")).alias("r"))
     area = F.try_divide(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg"))
     return sums.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), area).alias("auc"))
@@ -59,8 +86,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """Rank of each row's value with ties at their mean; values are counted before they are ranked."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(column, (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
+    ranks = running_sums(counts, column, ["_n"]).select(column, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, column)
 
 
@@ -73,25 +99,53 @@ def ks_two_sample(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """Largest distance of two samples' distributions, and its asymptotic p-value."""
     both = left.select(value, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(right.select(value, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     counts = both.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    up = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = counts.agg(F.sum("_a").alias("n_left"), F.sum("_b").alias("n_right"))
-    steps = counts.select(F.sum("_a").over(up).alias("_fa"), F.sum("_b").over(up).alias("_fb")).crossJoin(F.broadcast(total))
+    upto = running_sums(counts, value, ["_a", "_b"])
+    steps = upto.select((F.col("_a_before") + F.col("_a")).alias("_fa"), (F.col("_b_before") + F.col("_b")).alias("_fb")).crossJoin(F.broadcast(total))
     d = steps.groupBy("n_left", "n_right").agg(F.max(F.abs(F.col("_fa") / F.col("n_left") - F.col("_fb") / F.col("n_right"))).alias("ks"))
     x = F.sqrt(F.col("n_left") * F.col("n_right") / (F.col("n_left") + F.col("n_right"))) * F.col("ks")
     terms = [(2 if k % 2 else -2) * F.exp(-2.0 * k * k * x * x) for k in range(1, 51)]
     return d.withColumn("p_value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), sum(terms[1:], terms[0]))))
 
 
-def ks_uniform(df: DataFrame, value: str) -> DataFrame:
-    """Largest distance of a sample's distribution from the even one on [0, 1]."""
+def two_sample_report(left: DataFrame, right: DataFrame, value: str, levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Both samples' counts, means, population deviations and quantiles in one row, with their KS distance and p-value."""
+    sides = [df.where(F.col(value).isNotNull()).agg(F.avg(value).alias(f"mean_{side}"), F.stddev_pop(value).alias(f"std_{side}"), F.percentile(value, F.array(*map(F.lit, levels))).alias(f"quantiles_{side}")) for df, side in ((left, "left"), (right, "right"))]
+    return ks_two_sample(left, right, value).crossJoin(F.broadcast(sides[0])).crossJoin(F.broadcast(sides[1]))
+
+
+def _ks(df: DataFrame, value: str, cdf: Column) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = counts.withColumn("_f", F.sum("_n").over(up)).crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("n"))))
-    x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(value)))
-    above, under = F.col("_f") / F.col("n") - x, x - (F.col("_f") - F.col("_n")) / F.col("n")
+    steps = running_sums(counts, value, ["_n"]).crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("n"))))
+    under = cdf - F.col("_n_before") / F.col("n")
+    above = (F.col("_n_before") + F.col("_n")) / F.col("n") - cdf
     return steps.groupBy("n").agg(F.max(F.greatest(above, under)).alias("ks"))
 
 
+def ks_uniform(df: DataFrame, value: str) -> DataFrame:
+    """Largest distance of a sample's distribution from the even one on [0, 1]."""
+    return _ks(df, value, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(value))))
+
+
+def ks_normal(df: DataFrame, value: str) -> DataFrame:
+    """Largest distance of a sample's distribution from the standard normal one."""
+    return _ks(df, value, normal_cdf(F.col(value)))
+
+
+def one_vs_rest(df: DataFrame, truth: str, scores: dict[object, str]) -> DataFrame:
+    """AUC of each class's score against all other classes, and their mean over the classes that have one."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col(c).cast("double").alias("score")) for k, c in scores.items()]))
+    areas = auc(df.select(truth, each.alias("_x")).select("_x.*", (F.col(truth) == F.col("_x.class")).alias("_pos")), "score", F.col("_pos"), ["class"])
+    return areas.withColumn("macro", F.avg("auc").over(Window.partitionBy()))
+
+
+def auc_over_seeds(df: DataFrame, score: str, positive: Column, keys: list[str], fraction: float, seeds: list[int]) -> DataFrame:
+    """Mean and population deviation of the AUC over the test rows of several splits."""
+    tests = [exact_split(df, keys, fraction, seed).where("is_test").withColumn("seed", F.lit(seed)) for seed in seeds]
+    areas = auc(reduce(DataFrame.unionByName, tests), score, positive, ["seed"])
+    return areas.agg(F.count("auc").alias("n_seeds"), F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
+
+
 def binned_stats(df: DataFrame, x: Column, value: str, edges: list[float]) -> DataFrame:
     """Mean, median, 16-84 band and count of a value in bins of x."""
     q = F.percentile(value, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
