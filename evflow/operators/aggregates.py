@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evflow.functions.scalars import null_sentinel
+from evflow.operators.evaluation import auc
 
 
 def hit_sums(hits: DataFrame, tracks: DataFrame, keys: list[str], gate_all: bool = False) -> DataFrame:
@@ -47,6 +48,13 @@ def jet_charge(children: DataFrame, parents: DataFrame, keys: list[str], charge:
     return parents.select(*keys).join(found, keys, "left").withColumn("jet_charge", F.coalesce("jet_charge", F.lit(0.0)))
 
 
+def charge_benchmark(df: DataFrame, charge: str, klass: str) -> DataFrame:
+    """Rows and mean charge of each charge class, with the AUC of the charge between classes 2 (positive) and 0."""
+    classes = df.groupBy(klass).agg(F.count(F.lit(1)).alias("n"), F.avg(charge).alias("mean_charge"))
+    area = auc(df.where(F.col(klass).isin(0, 2)), charge, F.col(klass) == 2).select(F.col("auc").alias("auc_charged"))
+    return classes.crossJoin(F.broadcast(area))
+
+
 def balance_weights(df: DataFrame, label: str, bin_: str | None, reference: object = 0) -> DataFrame:
     """Weight of each class (in each bin): rows of the reference class over its own; 1 where either is missing."""
     by = [bin_] if bin_ else []
@@ -143,6 +151,40 @@ def transverse_fit(points: DataFrame, windows: DataFrame, keys: list[str], x: st
     return fitted.withColumns({"scatter": scatter, "sigma_vx": F.when(good, F.sqrt(F.try_divide(F.col("cc"), det))), "sigma_vy": F.when(good, F.sqrt(F.try_divide(F.col("ss"), det)))}).drop("ss", "cc", "sc", "ds", "dc", "dd")
 
 
+def vertex_estimate(points: DataFrame, windows: DataFrame, keys: list[str], x: str, weight: Column, d0: str, phi: str, gate: float | None = None, isotropic: bool = False, least_condition: float = 1e-6) -> DataFrame:
+    """Vertex (vx, vy) of each event's window with its deviations, significances and the scatter of d0 about it.
+
+    ``gate`` gives no weight to tracks whose |d0| is above it.  The condition is the determinant of the normal matrix
+    over the product of its diagonal.  Least squares need two tracks of some weight and ``least_condition``; the
+    ``isotropic`` estimate takes angles as evenly spread and needs weight alone.  Deviations need three tracks.  What
+    can't be had is null, as is a significance whose deviation is 0.
+    """
+    inside = (F.col(x) >= F.col("edge_low")) & (F.col(x) < F.col("edge_high"))
+    heavy = weight if gate is None else F.when(F.abs(F.col(d0)) <= gate, weight).otherwise(F.lit(0.0))
+    joined = windows.join(points, keys, "left").withColumn("_w", F.when(inside, heavy))
+    s, c, w, d = F.sin(phi), F.cos(phi), F.col("_w"), F.col(d0)
+    products = {"sum_w": w, "_ss": w * s * s, "_cc": w * c * c, "_sc": w * s * c, "_ds": w * d * s, "_dc": w * d * c, "_dd": w * d * d}
+    sums = joined.groupBy(*keys).agg(F.count_if(w > 0).alias("n_window"), *[F.coalesce(F.sum(v), F.lit(0.0)).alias(n) for n, v in products.items()])
+    total, ss, cc, sc, ds, dc, dd = (F.col(n) for n in products)
+    weighty = total > 0
+    sums = sums.withColumn("condition", F.when(weighty, F.when((ss > 0) & (cc > 0), F.try_divide(ss * cc - sc * sc, ss * cc)).otherwise(F.lit(0.0))))
+    if isotropic:
+        solved = weighty
+        vx, vy, xx, yy = F.try_divide(2 * ds, total), F.try_divide(-2 * dc, total), F.try_divide(F.lit(2.0), total), F.try_divide(F.lit(2.0), total)
+    else:
+        det = ss * cc - sc * sc
+        solved = weighty & (F.col("n_window") >= 2) & (det > 0) & (F.col("condition") >= least_condition)
+        vx, vy, xx, yy = F.try_divide(cc * ds - sc * dc, det), F.try_divide(sc * ds - ss * dc, det), F.try_divide(cc, det), F.try_divide(ss, det)
+    found = sums.withColumns({"vx": F.when(solved, vx), "vy": F.when(solved, vy), "_xx": xx, "_yy": yy})
+    vx, vy = F.col("vx"), F.col("vy")
+    rest = F.greatest(F.lit(0.0), dd - 2 * vx * ds + 2 * vy * dc + vx * vx * ss + vy * vy * cc - 2 * vx * vy * sc)
+    found = found.withColumn("_rest", F.when(vx.isNotNull(), rest))
+    variance = F.when(F.col("n_window") >= 3, F.col("_rest") / (F.col("n_window") - 2))
+    found = found.withColumns({"scatter": F.sqrt(F.try_divide("_rest", "sum_w")), "sigma_vx": F.sqrt(variance * F.col("_xx")), "sigma_vy": F.sqrt(variance * F.col("_yy"))})
+    found = found.withColumns({"vx_sig": F.try_divide("vx", "sigma_vx"), "vy_sig": F.try_divide("vy", "sigma_vy")})
+    return found.select(*keys, "n_window", "sum_w", "condition", "vx", "vy", "scatter", "sigma_vx", "sigma_vy", "vx_sig", "vy_sig")
+
+
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, population deviation, median and 16-84 band of the finite values."""
     kept = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))

@@ -67,6 +67,59 @@ def ablation(df: DataFrame, sets: dict[str, list[str]], keys: list[str], seeds:
     return paired_deltas(scores, "name", "seed", "auc", base)
 
 
+def model_matrix(cells: dict[tuple[str, str], tuple[DataFrame, list[str]]], keys: list[str], label: str = "y", shared: str = "A", **options: Any) -> DataFrame:
+    """AUC and fake rates of each (tier, config) cell of feature tables with their features' names.
+
+    A config whose tables are absent is not among the cells.  The ``shared`` tier doesn't depend on the config: it is
+    fitted once, on the first config's table, and reported as config ``*``.
+    """
+    rows, done = [], False
+    for (tier, config), (table, features) in cells.items():
+        if tier == shared and done:
+            continue
+        done = done or tier == shared
+        report = train_and_report(table, features, keys, label, **options)
+        rates = {str(k): v for k, v in report["fake_rates"].items()}
+        rows.append((tier, "*" if tier == shared else config, len(features), report["n_pos"], report["n_neg"], report["auc"], rates))
+    spark = next(iter(cells.values()))[0].sparkSession
+    return spark.createDataFrame(rows, "tier string, config string, n_features int, n_pos long, n_neg long, auc double, fake_rates map<string,double>")
+
+
+def log_loss(df: DataFrame, score: str, label: str) -> float:
+    """Mean negative log-likelihood of labels of 0 and 1; scores are kept 1e-15 off both ends."""
+    kept = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(score)))
+    return df.agg(F.avg(-F.ln(F.when(F.col(label) == 1, kept).otherwise(1 - kept)))).first()[0]
+
+
+def best_seed(df: DataFrame, features: list[str], keys: list[str], seeds: list[int], label: str = "y", fraction: float = 0.25, **options: Any) -> tuple[PipelineModel, DataFrame]:
+    """One model a seed on its own split: the model with the least loss on its test rows, and all seeds' losses."""
+    runs = []
+    for seed in seeds:
+        split = exact_split(df, keys, fraction, seed)
+        model = fit_trees(split.where("not is_test"), features, label, seed=seed, **options)
+        runs.append((log_loss(with_score(model, split.where("is_test"), "_p"), "_p", label), seed, model))
+    least = min(runs, key=lambda run: run[:2])
+    table = df.sparkSession.createDataFrame([(seed, loss, seed == least[1]) for loss, seed, _ in runs], "seed int, loss double, best boolean")
+    return least[2], table
+
+
+def stacked_scores(df: DataFrame, features: list[str], columns: dict[str, Column], consumers: dict[str, list[str]], keys: list[str], label: str = "y", fraction: float = 0.25, seed: int = 0, **options: Any) -> DataFrame:
+    """AUC on the test rows of models that see a first model's score and some coded columns.
+
+    The scorer takes ``features`` and is fitted on the training rows alone; each consumer takes ``score`` and the named
+    ``columns``, fitted on the same rows.
+    """
+    split = exact_split(df, keys, fraction, seed)
+    scorer = fit_trees(split.where("not is_test"), features, label, seed=seed, **options)
+    scored = with_score(scorer, split).withColumns({n: c.cast("double") for n, c in columns.items()})
+    rows = []
+    for name, wanted in consumers.items():
+        consumer = fit_trees(scored.where("not is_test"), ["score", *wanted], label, seed=seed, **options)
+        area = auc(with_score(consumer, scored.where("is_test"), "_p"), "_p", F.col(label) == 1).first()
+        rows.append((name, 1 + len(wanted), area["n_pos"], area["n_neg"], area["auc"]))
+    return df.sparkSession.createDataFrame(rows, "consumer string, n_inputs int, n_pos long, n_neg long, auc double")
+
+
 def tree_score(model: dict[str, Any], features: list[Column]) -> Column:
     """Score of trees given as arrays, summed in their order in single precision.
 

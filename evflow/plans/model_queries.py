@@ -167,7 +167,14 @@ def k5(spark, d):
     return kept.select("o_orderkey", F.when(F.col("o_totalprice") > 300000, "large").otherwise("small").alias("archetype"))
 
 
-@query("k8_augmented_constituents")
+def even_sql(key: str, stream: str) -> str:
+    return f"((('0x' || substr(md5({key} || '|{stream}'), 1, 8))::BIGINT + 1) / 4294967296.0)"
+
+
+LINE = "(l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR || '/' || l_partkey::VARCHAR)"
+
+
+@query("k8_augmented_constituents", f"SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 + 0.05 * sqrt(-2 * ln({even_sql(LINE, 'smear/r')})) * cos(2 * pi() * {even_sql(LINE, 'smear/a')})), 4) AS price FROM lineitem WHERE {even_sql(LINE, 'drop')} > 0.1")
 def k8(spark, d):
     """Lines of which a tenth is dropped and the rest smeared, by a hash of their keys."""
     key = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey")

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evflow.functions import scalars as S
+from evflow.operators import aggregates as A
+from evflow.operators import builders as B
 from evflow.operators import evaluation as E
+from evflow.operators import modelling as M
+from evflow.plans.aggregate_queries import TRACKS, windows
 from evflow.plans.catalog import query, table
 from evflow.plans.evaluation_queries import SCORED, auc_sql, rounded, scored
+from evflow.plans.model_queries import learnable
 
 ONE_VS_REST = """SELECT class, score, l_returnflag = class AS pos FROM (SELECT l_returnflag, l_quantity AS "A", l_discount * 100 AS "N", l_tax * 100 AS "R" FROM lineitem) UNPIVOT (score FOR class IN ("A", "N", "R"))"""
 
@@ -58,3 +65,88 @@ def e11(spark, d):
     moments = lines.agg(F.avg("l_extendedprice").alias("mu"), F.stddev_pop("l_extendedprice").alias("sd"))
     values = lines.crossJoin(F.broadcast(moments)).select(((F.col("l_extendedprice") - F.col("mu")) / F.col("sd")).alias("v"))
     return rounded(E.ks_normal(values, "v"), "ks")
+
+
+@query("a5_charge_of_flags", "WITH c AS (SELECT l_orderkey AS jet, CASE WHEN l_linenumber % 5 IN (0, 1, 4) THEN l_suppkey % 3 - 1 ELSE 0 END AS q, l_extendedprice AS pt FROM lineitem) SELECT o_orderkey AS jet, round(coalesce(v, 0), 6) AS jet_charge FROM orders LEFT JOIN (SELECT jet, sum(q * power(pt, 0.5)) / sum(power(pt, 0.5)) AS v FROM c GROUP BY 1) ON jet = o_orderkey")
+def a5(spark, d):
+    """Charges come back from the flags of hadrons, electrons and muons."""
+    kinds = S.particle_flags(F.col("l_linenumber") % 5, F.col("l_suppkey") % 3 - 1)
+    kids = table(spark, d, "lineitem").withColumns(kinds).select(F.col("l_orderkey").alias("jet"), S.charge_of_flags().alias("q"), F.col("l_extendedprice").alias("pt"))
+    jets = table(spark, d, "orders").select(F.col("o_orderkey").alias("jet"))
+    return A.jet_charge(kids, jets, ["jet"], "q", "pt", 0.5, False).select("jet", F.round("jet_charge", 6).alias("jet_charge"))
+
+
+CHARGES = "c AS (SELECT l_orderkey % 3 AS klass, round(sum((l_suppkey % 3 - 1) * l_extendedprice) / sum(l_extendedprice), 6) AS score FROM lineitem GROUP BY l_orderkey)"
+
+
+@query("a6_charge_benchmark", f"WITH {CHARGES}, s AS (SELECT * FROM c WHERE klass <> 1), a AS (WITH {auc_sql('', 's', 'klass = 2')}) SELECT klass AS class, count(*) AS n, round(avg(score), 5) AS mean_charge, any_value(auc) AS auc_charged FROM c, a GROUP BY 1")
+def a6(spark, d):
+    kids = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("jet"), (F.col("l_suppkey") % 3 - 1).alias("q"), F.col("l_extendedprice").alias("pt"))
+    charges = A.jet_charge(kids, kids.select("jet").distinct(), ["jet"], "q", "pt", 1.0).select((F.col("jet") % 3).alias("class"), F.round("jet_charge", 6).alias("q"))
+    return A.charge_benchmark(charges, "q", "class").select("class", "n", F.round("mean_charge", 5).alias("mean_charge"), F.round("auc_charged", 6).alias("auc_charged"))
+
+
+def vertex_sql(gate: float) -> str:
+    """Sums, solution and residuals of each window; residuals are added up track by track."""
+    return f"""{TRACKS}, p AS (SELECT win.event, CASE WHEN abs(d0) <= {gate} THEN least(pt, 30) ELSE 0 END AS w, sin(phi) AS s, cos(phi) AS c, d0 AS d FROM win JOIN t ON t.event = win.event AND z >= lo AND z < hi),
+ n AS (SELECT event, count(CASE WHEN w > 0 THEN 1 END) AS n, sum(w) AS sw, sum(w * s * s) AS ss, sum(w * c * c) AS cc, sum(w * s * c) AS sc, sum(w * d * s) AS ds, sum(w * d * c) AS dc FROM p GROUP BY 1),
+ q AS (SELECT *, ss * cc - sc * sc AS det, CASE WHEN sw > 0 THEN CASE WHEN ss > 0 AND cc > 0 THEN (ss * cc - sc * sc) / (ss * cc) ELSE 0 END END AS cond FROM n),
+ v AS (SELECT *, CASE WHEN n >= 2 AND det > 0 AND cond >= 1e-3 THEN (cc * ds - sc * dc) / det END AS vx, CASE WHEN n >= 2 AND det > 0 AND cond >= 1e-3 THEN (sc * ds - ss * dc) / det END AS vy FROM q),
+ r AS (SELECT v.event, sum(w * power(d - vx * s + vy * c, 2)) AS rest FROM v JOIN p USING (event) GROUP BY 1),
+ f AS (SELECT v.*, sqrt(rest / sw) AS scatter, CASE WHEN n >= 3 THEN sqrt(rest / (n - 2) * cc / det) END AS sx, CASE WHEN n >= 3 THEN sqrt(rest / (n - 2) * ss / det) END AS sy FROM v JOIN r USING (event)),
+ e AS (SELECT win.event, coalesce(n, 0) AS n_window, coalesce(sw, 0) AS sum_w, cond, vx, vy, CASE WHEN vx IS NOT NULL THEN scatter END AS scatter, CASE WHEN vx IS NOT NULL THEN sx END AS sx, CASE WHEN vy IS NOT NULL THEN sy END AS sy FROM win LEFT JOIN f USING (event))"""
+
+
+def vertices(spark, d):
+    points, found = windows(spark, d)
+    return points, found.select("event", "edge_low", "edge_high"), F.least(F.col("pt"), F.lit(30.0))
+
+
+@query("a11_vertex_estimate", f"WITH {vertex_sql(0.31)} SELECT event, n_window, round(sum_w, 4) AS sum_w, round(cond, 6) AS condition, round(vx, 4) AS vx, round(vy, 4) AS vy, round(scatter, 4) AS scatter, round(sx, 4) AS sigma_vx, round(sy, 4) AS sigma_vy FROM e")
+def a11(spark, d):
+    points, found, weight = vertices(spark, d)
+    fit = A.vertex_estimate(points, found, ["event"], "z", weight, "d0", "phi", gate=0.31, least_condition=1e-3)
+    return fit.select("event", "n_window", F.round("condition", 6).alias("condition"), *[F.round(c, 4).alias(c) for c in ("sum_w", "vx", "vy", "scatter", "sigma_vx", "sigma_vy")])
+
+
+@query("a12_four_vertex_features", f"WITH {vertex_sql(10.0)} SELECT event, round(coalesce(vx, 0)::FLOAT, 3) AS vtx_dx, round(coalesce(vy, 0)::FLOAT, 3) AS vtx_dy, CASE WHEN sx > 1e-5 THEN round(vx / sx, 1) ELSE 0 END AS vtx_dxsig, CASE WHEN sy > 1e-5 THEN round(vy / sy, 1) ELSE 0 END AS vtx_dysig FROM e")
+def a12(spark, d):
+    """Significances above 10,000, whose deviation is next to nothing, are given as 0 here: rounding decides them."""
+    points, found, weight = vertices(spark, d)
+    features = B.vertex_features(points, found, ["event"], "z", weight, "d0", "phi", sanitise=True, gate=10.0, least_condition=1e-3)
+    fit = A.vertex_estimate(points, found, ["event"], "z", weight, "d0", "phi", gate=10.0, least_condition=1e-3).select("event", "sigma_vx", "sigma_vy")
+    sure = {f"vtx_d{c}sig": F.when(F.col(f"sigma_v{c}") > 1e-5, F.round(F.col(f"vtx_d{c}sig").cast("double"), 1)).otherwise(F.lit(0.0)) for c in "xy"}
+    return features.join(fit, "event").select("event", F.round("vtx_dx", 3).alias("vtx_dx"), F.round("vtx_dy", 3).alias("vtx_dy"), *[c.alias(n) for n, c in sure.items()])
+
+
+@query("b10_vertexing_table", """WITH r AS (SELECT o_custkey AS event, l_quantity AS q, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS slot FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ a AS (SELECT event, count(*) AS n, max(CASE WHEN slot = 0 THEN q END) AS q0, max(CASE WHEN slot = 3 THEN q END) AS q3 FROM r GROUP BY 1), s AS (SELECT o_custkey AS event, arg_min(o_totalprice, o_orderkey) AS z FROM orders GROUP BY 1)
+SELECT c_custkey AS event, coalesce(least(n, 4), 0)::BIGINT AS n_filled, coalesce(q0, 0)::DOUBLE AS first, coalesce(q3, 0)::DOUBLE AS fourth, c_acctbal AS true_z, s.z AS stock_z0 FROM customer LEFT JOIN a ON a.event = c_custkey LEFT JOIN s ON s.event = c_custkey""")
+def b10(spark, d):
+    people, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    lines = table(spark, d, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    slot = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    tracks = lines.select(F.col("o_custkey").alias("event"), slot.alias("slot"), F.col("l_quantity").alias("pt"))
+    events = people.select(F.col("c_custkey").alias("event"))
+    truth = people.select(F.col("c_custkey").alias("event"), F.col("c_acctbal").alias("z"))
+    stock = orders.select(F.col("o_custkey").alias("event"), F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("z0"))
+    found = B.vertexing_table(tracks, truth, stock, events, ["event"], ["pt"], 4)
+    filled = F.aggregate("mask", F.lit(0).cast("long"), lambda n, x: n + x.cast("long"))
+    return found.select("event", filled.alias("n_filled"), F.col("pt")[0].cast("double").alias("first"), F.col("pt")[3].cast("double").alias("fourth"), "true_z", "stock_z0")
+
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("m8_best_seed")
+def m8(spark, d):
+    """Losses of models on three splits; models differ by engine, so there is no SQL."""
+    return M.best_seed(learnable(spark, d), FEATURES, ["k", "n", "p"], SEEDS, rounds=3)[1]
+
+
+@query("m9_stacked_scores")
+def m9(spark, d):
+    """A scorer's output, alone and with coded columns, as input of further models."""
+    columns = {"q_price": S.quantise_chi2(F.col("l_extendedprice") / 1000), "q_quantity": S.quantise_count(F.col("l_quantity"), 3)}
+    consumers = {"TS0": [], "TS1": ["q_price"], "TS1b": ["q_quantity"], "TS2": ["q_price", "q_quantity"]}
+    return M.stacked_scores(learnable(spark, d), ["l_quantity", "l_discount"], columns, consumers, ["k", "n", "p"], rounds=3)

@@ -264,3 +264,78 @@ def test_constituents_make_the_baseline_features(spark):
     assert first["isPhoton"] == [1.0, 0.0, 0.0] and first["isElectronMinus"] == [0.0, 1.0, 0.0] and first["isElectronPlus"] == [0.0] * 3
     assert [round(x, 5) for x in first["pt_rel"]] == [0.2, 0.5, 0.0] and round(first["dphi"][1], 4) == round(-3.1 - 3.0 + 2 * 3.141592653589793, 4)
     assert got[1]["pt_rel"][0] == 0.0 and got[1]["isChargedHadronPlus"][0] == 1.0
+
+
+def test_running_sums_by_ranges(spark):
+    r = random.Random(5)
+    rows = [(g, v, r.randrange(1, 9)) for g in ("a", None) for v in r.sample(range(1000), 200)]
+    df = spark.createDataFrame(rows, "g string, v int, n int")
+    for parts in (2, 7):
+        for row in E.running_sums(df, "v", ["n"], ["g"], parts).collect():
+            assert row.n_before == sum(n for g, v, n in rows if g == row.g and v < row.v)
+    assert E.running_sums(df.where("v < 0"), "v", ["n"]).count() == 0
+
+
+def test_normal_distribution(spark):
+    xs = [-7.0, -6.0, -2.5, -0.3, 0.0, 1.0, 4.0, 6.0, 9.0]
+    assert column(spark, xs, S.normal_cdf, "double") == pytest.approx([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in xs], abs=2e-9)
+
+
+def estimate(spark, rows, **options):
+    points = spark.createDataFrame(rows, "event long, z double, pt double, phi double, d0 double")
+    windows = spark.createDataFrame([(1, -1.0, 1.0), (2, -1.0, 1.0)], "event long, edge_low double, edge_high double")
+    return {x.event: x for x in A.vertex_estimate(points, windows, ["event"], "z", F.least(F.col("pt"), F.lit(50.0)), "d0", "phi", **options).collect()}
+
+
+def test_vertex_estimate(spark):
+    r = random.Random(2)
+    rows = [(1, r.uniform(-0.9, 0.9), r.uniform(2, 90), p, 0.3 * math.sin(p) + 0.1 * math.cos(p) + r.gauss(0, 0.01)) for p in (r.uniform(-3, 3) for _ in range(12))] + [(1, 5.0, 9.0, 0.0, 9.0)]
+    found = estimate(spark, rows)
+    one, empty = found[1], found[2]
+    kept = [(min(pt, 50), math.sin(p), math.cos(p), d) for _, z, pt, p, d in rows if -1 <= z < 1]
+    rest = sum(w * (d - one.vx * s + one.vy * c) ** 2 for w, s, c, d in kept)
+    assert one.n_window == 12 and one.vx == pytest.approx(0.3, abs=0.02) and one.vy == pytest.approx(-0.1, abs=0.02)
+    assert one.scatter == pytest.approx(math.sqrt(rest / sum(w for w, *_ in kept)), rel=1e-6)
+    for step in (1e-4, -1e-4):
+        assert sum(w * (d - (one.vx + step) * s + one.vy * c) ** 2 for w, s, c, d in kept) > rest
+    assert one.vx_sig == pytest.approx(one.vx / one.sigma_vx)
+    assert empty.n_window == 0 and empty.sum_w == 0 and empty.vx is None and empty.condition is None
+    even = estimate(spark, rows, isotropic=True)[1]
+    assert even.vx == pytest.approx(2 * sum(w * d * s for w, s, c, d in kept) / sum(w for w, *_ in kept))
+    gated = estimate(spark, [(1, 0.0, 5.0, 0.2, 1.0), (1, 0.0, 5.0, 1.2, 2.0), (2, 0.0, 5.0, 0.2, 1.0)], gate=1.0)
+    assert gated[1].n_window == 1 and gated[1].vx is None and gated[1].sum_w == 5
+
+
+def test_vertex_features_need_impact_parameters(spark):
+    points = spark.createDataFrame([(1, 0.0, 5.0, 0.2, 0.0)], "event long, z double, pt double, phi double, d0 double")
+    windows = spark.createDataFrame([(1, -1.0, 1.0)], "event long, edge_low double, edge_high double")
+    with pytest.raises(ValueError):
+        B.vertex_features(points, windows, ["event"], "z", F.col("pt"), "d0", "phi")
+
+
+def test_refit_scores(spark):
+    ref, var, hits = tracks(spark, 6)
+    leaf = {"feature": [B.CONTRACT_V1.index("seedTrkMVA1"), -2, -2], "threshold": [0.5, 0, 0], "children_left": [1, -1, -1], "children_right": [2, -1, -1], "value": [0, -1.0, 1.5]}
+    model = {"splitting_convention": "<=", "init_predict": [0.5], "norm": 1.0, "trees": [[leaf]]}
+    cands = spark.createDataFrame([(0, 0, 1), (0, 1, 4), (0, 2, -1)], "event long, idx long, trk long")
+    got = {r.idx: r.refit_bdt_score for r in B.refit_scores(cands, ref, var, hits, ["event"], "trk", model).collect()}
+    assert got == {0: pytest.approx(1 / (1 + math.exp(-2.0))), 1: 0.0, 2: 0.0}
+
+
+def test_study_sets(spark):
+    ref, var, hits = tracks(spark, 4)
+    wide = hits.select("event", "trackIdx", "layer", *[F.col("layer").cast("double").alias(c) for c in B.STUDY_COLUMNS["fullL"]])
+    vector = B.contract_vector(ref, var, hits, ["event"])
+    table, sets = B.study_sets(vector, wide, B.track_quality(ref), ["event"], [1, 2, 3])
+    assert {k: len(v) for k, v in sets.items()} == {"spec17": 17, "spec17_guard": 17, "spec17+pullL": 29, "spec17+occL": 20, "spec17+chi2L": 23, "spec17+fullL": 47, "perlayer_subst": 41, "spec17+tierA": 24}
+    row = table.select(*dict.fromkeys(n for names in sets.values() for n in names)).first()
+    assert row.resX_L2 == 2 and row.resX_L3 == 0 and row.sumPullY2_log == pytest.approx(math.log(5))
+    assert table.count() == vector.count()
+
+
+def test_model_matrix(spark):
+    ref, var, hits = tracks(spark, 60)
+    cells = {(t, c): B.refit_tiers(ref, var, hits, ["event"], t) for t in "AB" for c in ("x", "y")}
+    rows = M.model_matrix(cells, ["event", "idx"], rounds=1).collect()
+    assert [(r.tier, r.config) for r in rows] == [("A", "*"), ("B", "x"), ("B", "y")]
+    assert all(0 <= r.auc <= 1 and set(r.fake_rates) == {"0.95", "0.97", "0.99"} for r in rows)
