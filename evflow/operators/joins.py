@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,23 @@ from evflow.functions.scalars import clamped_bin, delta_r2
 def nearest_match(objects: DataFrame, targets: DataFrame, keys: list[str], place: str, target_place: str, radius: float) -> DataFrame:
     """For each object the closest target of its parent within ``radius`` in (eta, phi), else -1; equals: the first.
 
-    Both tables have eta and phi; the result has the keys, ``place``, match and dr2.
+    Both tables have eta and phi; the result has the keys, ``place``, match and dr2.  Targets are copied to the cells of
+    the radius' width around their own, so that only objects near them meet them.
     """
-    right = targets.select(*keys, F.col(target_place).alias("_t"), F.col("eta").alias("_eta"), F.col("phi").alias("_phi"))
-    near = objects.join(right, keys).withColumn("_d", delta_r2(F.col("eta"), F.col("phi"), F.col("_eta"), F.col("_phi"))).where(F.col("_d") < radius * radius)
+    width, turns = radius * (1 + 1e-9), max(1, math.floor(2 * math.pi / radius / (1 + 1e-9)))
+
+    def cells(eta: Column, phi: Column) -> tuple[Column, Column]:
+        return F.floor(eta / width), F.floor(F.pmod(phi / (2 * math.pi), F.lit(1.0)) * turns)
+
+    def around(cell: Column) -> Column:
+        return F.sequence(cell - 1, cell + 1)
+
+    eta_cell, phi_cell = cells(F.col("eta"), F.col("phi"))
+    left = objects.withColumns({"_eta_cell": eta_cell, "_phi_cell": F.pmod(phi_cell, F.lit(turns))})
+    right = targets.where("eta is not null and phi is not null").select(*keys, F.col(target_place).alias("_t"), F.col("eta").alias("_eta"), F.col("phi").alias("_phi"), F.explode(around(eta_cell)).alias("_eta_cell"), phi_cell.alias("_middle"))
+    right = right.withColumn("_phi_cell", F.explode(F.array_distinct(F.transform(around(F.col("_middle")), lambda c: F.pmod(c, F.lit(turns)))))).drop("_middle")
+    near = left.join(right.hint("merge"), [*keys, "_eta_cell", "_phi_cell"])
+    near = near.withColumn("_d", delta_r2(F.col("eta"), F.col("phi"), F.col("_eta"), F.col("_phi"))).where(F.col("_d") < radius * radius)
     best = near.groupBy(*keys, place).agg(F.min(F.struct("_d", "_t")).alias("_b"))
     joined = objects.select(*keys, place).join(best, [*keys, place], "left")
     return joined.select(*keys, place, F.coalesce(F.col("_b._t"), F.lit(-1)).alias("match"), F.col("_b._d").alias("dr2"))

@@ -339,3 +339,18 @@ def test_model_matrix(spark):
     rows = M.model_matrix(cells, ["event", "idx"], rounds=1).collect()
     assert [(r.tier, r.config) for r in rows] == [("A", "*"), ("B", "x"), ("B", "y")]
     assert all(0 <= r.auc <= 1 and set(r.fake_rates) == {"0.95", "0.97", "0.99"} for r in rows)
+
+
+@pytest.mark.parametrize("radius", [0.4, 2.5, 7.0])
+def test_nearest_match_meets_every_near_pair(spark, radius):
+    r = random.Random(9)
+    place = lambda: (r.uniform(-3, 3), r.choice([-math.pi, math.pi, r.uniform(-math.pi, math.pi)]))
+    objects = [(e, k, *place()) for e in range(3) for k in range(40)]
+    targets = [(e, k, *place()) for e in range(2) for k in range(30)] + [(0, 90, None, 0.0)]
+    found = J.nearest_match(spark.createDataFrame(objects, "e int, idx int, eta double, phi double"), spark.createDataFrame(targets, "e int, t int, eta double, phi double"), ["e"], "idx", "t", radius)
+    got = {(x.e, x.idx): x.match for x in found.collect()}
+    for e, k, eta, phi in objects:
+        near = [((eta - b) ** 2 + (math.pi - abs(math.pi - abs(phi - c))) ** 2, t) for f, t, b, c in targets if f == e and b is not None]
+        near = [x for x in near if x[0] < radius * radius]
+        assert got[e, k] == (min(near)[1] if near else -1)
+    assert len(got) == len(objects)
