@@ -205,9 +205,9 @@ def e8(spark, d):
 @query("t1_incremental_map", "SELECT (user_id % 10)::INTEGER AS a, hour(ts)::INTEGER AS b, count(value) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def t1(spark, d):
     """Files of events come one by one; the stream keeps count and sums of each cell."""
-    path, name = new_path(spark, "stream"), f"cells_{abs(hash(d)) % 10_000_000}"
+    path, store = new_path(spark, "stream"), new_path(spark, "stream-cells")
     rows = table(spark, d, "events").select((F.col("user_id") % 10).cast("int").alias("a"), F.hour("ts").alias("b"), "value")
     rows.repartition(4).write.parquet(path)
-    run = T.start_map(T.stream_cells(spark, path, "a int, b int, value double", "a", "b", "value"), new_path(spark, "stream-state"), name)
+    run = T.start_map(T.stream_cells(spark, path, "a int, b int, value double", "a", "b", "value"), new_path(spark, "stream-state"), store)
     run.awaitTermination()
-    return spark.table(name).select("a", "b", "n", F.round("total", 4).alias("total"))
+    return T.current_map(spark, store).select("a", "b", "n", F.round("total", 4).alias("total"))

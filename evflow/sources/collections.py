@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,12 +73,21 @@ def unify_sums(df: DataFrame, sums: dict[str, tuple[str, str]]) -> DataFrame:
     return df
 
 
+@cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='evflow-')}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, which all executors share."""
+    """A fresh path in the folder of spark.checkpoint.dir, which all executors share.
+
+    Where that is unset, a local session takes a temporary folder and any other fails.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='evflow-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/evflow/{name}-{uuid.uuid4().hex}"
 
 

@@ -15,9 +15,20 @@ def stream_cells(spark: SparkSession, path: str, schema: str, a: str, b: str, va
     return rows.groupBy(a, b).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"))
 
 
-def start_map(cells: DataFrame, checkpoint: str, name: str) -> StreamingQuery:
-    """Run the stream over what is there into a table in memory, with the state of each cell as it stands."""
-    return cells.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_map(cells: DataFrame, checkpoint: str, store: str) -> StreamingQuery:
+    """Run the stream over what is there; each batch writes the state of all cells to a folder of its own in ``store``."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return cells.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_map(spark: SparkSession, store: str) -> DataFrame:
+    """The cells as the last batch left them."""
+    batches = spark.read.parquet(store)
+    last = batches.agg(F.max("batch")).first()[0]
+    return batches.where(F.col("batch") == last).drop("batch")
 
 
 def refresh_exact(spark: SparkSession, path: str, schema: str, store: str, checkpoint: str, a: str, b: str, value: str) -> StreamingQuery:
