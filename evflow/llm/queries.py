@@ -11,6 +11,7 @@ from evflow.llm.packing import op8_packing
 from evflow.llm.pitman_yor import op5_pitman_yor
 from evflow.llm.quality import op10_quality
 from evflow.llm.records import op2_records
+from evflow.llm.repeats import op13_repeats
 from evflow.llm.toxicity import op6_toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op13_repeats": op13_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_hamming": OP1_SQL, "op7_jaccard": OP7_SQL}
