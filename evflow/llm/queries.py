@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evflow.llm.align import op12_alignment
 from evflow.llm.decontaminate import op3_decontaminate
 from evflow.llm.hamming import OP1_SQL, op1_hamming
 from evflow.llm.html import op4_html
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op12_alignment": op12_alignment,
     "op13_repeats": op13_repeats,
 }
 
