@@ -14,6 +14,7 @@ from evflow.llm.quality import op10_quality
 from evflow.llm.records import op2_records
 from evflow.llm.repeats import op13_repeats
 from evflow.llm.toxicity import op6_toxicity
+from evflow.llm.trie import OP11_SQL, op11_trie
 
 QUERIES = {
     "op1_hamming": op1_hamming,
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op11_trie": op11_trie,
     "op12_alignment": op12_alignment,
     "op13_repeats": op13_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_hamming": OP1_SQL, "op7_jaccard": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_hamming": OP1_SQL, "op7_jaccard": OP7_SQL, "op11_trie": OP11_SQL}
