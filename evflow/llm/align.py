@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,7 +39,9 @@ from evflow.llm.store import open_file, stage
 from evflow.llm.text import slices
 
 #: Units that a worker remembers, and pairs that it counts before it hands them on.
-UNITS, HELD = 300_000, 4_000_000
+UNITS, HELD = 500_000, 4_000_000
+#: Characters that are encoded at once, and links from which a group's are made of its different ids.
+BATCH, WIDE = 100_000, 4096
 BUCKETS, SUMS = 256, 8
 #: What a unit may not begin after: white space of any kind that a pattern may mean, and the sign that stands for it.
 _SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎​    　﻿▁" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -46,18 +49,10 @@ _OTHER = re.compile("[" + _SPACE.replace(" ", "").replace("\n", "") + "]")
 _PLAIN = re.compile("[ \n]*[^ \n]+|[ \n]+")
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?=[ \n])")
 _PIECE_SPACE = "▁"
-
-
-class Links(NamedTuple):
-    """Tokens, groups and links of a unit: pairs of different ids with how often each is linked."""
-
-    sound: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    text: str
-    pairs: np.ndarray
-    times: np.ndarray
+#: Fixed value: how a byte-level vocabulary cuts text before its merges.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Text of signs whose kind all pattern libraries agree on.
+_KNOWN = re.compile("[ \n!-~\xa1-\u024f]*")
 
 
 def units_of(text: str) -> list[str]:
@@ -71,6 +66,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(seen)))}
 
 
+class Grown:
+    """Rows of numbers that are added to."""
+
+    def __init__(self, width: int):
+        self.held, self.size = np.empty((1024, width), np.int64), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.size + len(rows) > len(self.held):
+            self.held = np.concatenate([self.held[: self.size], np.empty((max(len(rows), self.size), self.held.shape[1]), np.int64)])
+        self.held[self.size : self.size + len(rows)] = rows
+        self.size += len(rows)
+
+    def rows(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
 class Aligner:
     """Both tokenizers, and the units that this worker has aligned."""
 
@@ -94,61 +108,126 @@ class Aligner:
                 self.bytes_b.append(b"" if self.b.is_control(k) else p.replace(_PIECE_SPACE, " ").encode())
                 if not self.b.is_control(k) and ("\n" in p or re.search(f"[^{_SPACE}]{_PIECE_SPACE}", p)):
                     raise ValueError(f"a piece goes over the start of a word: {p!r}")
+        self.fast = self._ranked(json.loads(self.a.to_str())["model"])
         self.lead = self.b.encode("\n")
         if b"".join(self.bytes_b[k] for k in self.lead) != b" \n":
             raise ValueError("the pieces don't begin with a space of their own")
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in v]) for v in (self.bytes_a, self.bytes_b))
+        names = [[np.array([f"{k}{end}" for k in range(n)], object) for end in ends] for n, ends in ((size_a, ",|"), (self.size_b, ",;"))]
+        self.names_a, self.names_b = names
+        self.clear()
+
+    def _ranked(self, model: dict):
+        """The first tokenizer by ranks, which is faster: its merges must come in the order of the ids they make."""
+        import tiktoken
+
+        if model["ignore_merges"] or any(model["vocab"].get("".join(m)) != k for k, m in enumerate((m.split(" ") if isinstance(m, str) else m for m in model["merges"]), 256)):
+            raise ValueError("the first tokenizer's merges aren't in the order of its ids")
+        ranks = {b: k for k, b in enumerate(self.bytes_a[: 256 + len(model["merges"])])}
+        return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def clear(self) -> None:
+        """Forget all units."""
         self.known: dict[str, int] = {}
-        self.links: list[Links] = []
+        self.texts: list[str] = []
+        self.sums = Grown(4)
+        self.ends = Grown(1)
+        self.links = Grown(2)
 
     def places(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text, the places of its units in ``links``; none for an empty text or one that doesn't fit."""
+        """For each text, the places of its units; none for an empty text or one that doesn't fit."""
         if len(self.known) > UNITS:
-            self.known.clear()
-            self.links.clear()
+            self.clear()
         known = self.known
         cut = [units_of(" " + t) if t else [] for t in texts]
         new = list({u: None for units in cut for u in units if u not in known})
-        for at in range(0, len(new), 10_000):
-            self._align(new[at : at + 10_000])
+        at = 0
+        while at < len(new):
+            stop, size = at, 0
+            while stop < len(new) and size < BATCH:
+                size += len(new[stop])
+                stop += 1
+            self._align(new[at:stop])
+            at = stop
+        sound = self.sums.rows()[:, 3]
         out = []
         for units in cut:
-            at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-            out.append(at if all(self.links[k].sound for k in set(at.tolist())) else at[:0])
+            own = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+            out.append(own if sound[own].all() else own[:0])
         return out
 
+    def pairs_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of different ids of several units, one after the other, how often each is linked, and how many a unit has."""
+        ends = np.concatenate([[0], self.ends.rows()[:, 0]])
+        n = np.diff(ends)[places]
+        at = np.repeat(ends[places] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        found = self.links.rows()[at]
+        return found[:, 0], found[:, 1], n
+
     def _align(self, units: list[str]) -> None:
-        found_a = self.a.encode_batch_fast(units, add_special_tokens=False)
-        found_b = self.b.encode(["\n" + u for u in units], num_threads=1)
-        for unit, a, b in zip(units, found_a, found_b, strict=True):
-            self.known[unit] = len(self.links)
-            self.links.append(self._link(unit.encode("utf-8", "surrogatepass"), a.ids, b[len(self.lead) :]))
-
-    def _link(self, raw: bytes, a: list[int], b: list[int]) -> Links:
-        """Groups and links of a unit."""
-        none = np.zeros(0, np.int64)
-        bytes_a, bytes_b = [self.bytes_a[k] for k in a], [self.bytes_b[k] for k in b]
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-            return Links(False, 0, 0, 0, "", none, none)
-        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, codes, times, i, j = [], [], [], 0, 0
-        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
-            if p - i == 1 == q - j:
-                codes.append([a[i] * self.size_b + b[j]])
-                times.append([1])
-            else:
-                left, m = np.unique(a[i:p], return_counts=True)
-                right, n = np.unique(b[j:q], return_counts=True)
-                codes.append((left[:, None] * self.size_b + right).ravel())
-                times.append((m[:, None] * n).ravel())
-            i, j = p, q
-        if len(codes) == 1:
-            pairs, total = np.array(codes[0], np.int64), np.array(times[0], np.int64)
-        else:
-            pairs, back = np.unique(np.concatenate(codes).astype(np.int64), return_inverse=True)
-            total = np.bincount(back, np.concatenate(times)).astype(np.int64)
-        return Links(True, len(a), len(b), len(groups), ";".join(groups), pairs, total)
+        """Encode units in one go: a token never crosses from one into the next."""
+        whole = [u for u in units if u[-1] not in _SPACE]
+        plain = [_KNOWN.fullmatch(u) is not None for u in whole]
+        for group in ([u for u, p in zip(whole, plain, strict=True) if p], [u for u, p in zip(whole, plain, strict=True) if not p], *[[u] for u in units if u[-1] in _SPACE]):
+            if group:
+                text = "".join(group)
+                fast = _KNOWN.fullmatch(text)
+                a = np.array(self.fast.encode_ordinary(text) if fast else self.a.encode(text, add_special_tokens=False).ids, np.int64)
+                b = np.array(self.b.encode("\n" + text)[len(self.lead) :], np.int64)
+                raw = text.encode("utf-8", "surrogatepass")
+                fits = b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+                if fits:
+                    self._link(group, a, b)
+                elif len(group) == 1:
+                    self._add(group, [""], np.zeros((1, 4), np.int64), np.zeros(1, np.int64), np.zeros((0, 2), np.int64))
+                else:
+                    half = len(group) // 2
+                    self._align(group[:half])
+                    self._align(group[half:])
+
+    def _add(self, units: list[str], texts: list[str], sums: np.ndarray, counts: np.ndarray, links: np.ndarray) -> None:
+        base = len(self.texts)
+        self.known.update(zip(units, range(base, base + len(units)), strict=True))
+        self.texts += texts
+        self.sums.add(sums)
+        self.ends.add(len(self.links) + np.cumsum(counts)[:, None])
+        self.links.add(links)
+
+    def _link(self, units: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Groups and links of units whose tokens follow each other."""
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        stops = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in units])
+        common = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        first_a, first_b = np.searchsorted(group_a, np.arange(len(common))), np.searchsorted(group_b, np.arange(len(common)))
+        n_a, n_b = np.diff(np.append(first_a, len(a))), np.diff(np.append(first_b, len(b)))
+        unit = np.searchsorted(stops, common)
+        sums = np.ones((len(units), 4), np.int64)
+        for k, x in enumerate((n_a, n_b, np.ones(len(common), np.int64))):
+            sums[:, k] = np.bincount(unit, x, len(units))
+        # The text: each group's first ids and then its second ones, each with the sign that follows it.
+        order = np.empty(len(a) + len(b), object)
+        order[np.arange(len(a)) + first_b[group_a]] = np.where(np.append(group_a[1:] == group_a[:-1], False), self.names_a[0][a], self.names_a[1][a])
+        order[np.arange(len(b)) + first_a[group_b] + n_a[group_b]] = np.where(np.append(group_b[1:] == group_b[:-1], False), self.names_b[0][b], self.names_b[1][b])
+        cuts = np.concatenate([[0], np.cumsum(sums[:, 0] + sums[:, 1])]).tolist()
+        pieces = order.tolist()
+        texts = ["".join(pieces[i:j])[:-1] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        # Links: of groups with few of them at once, of others from their different ids.
+        wide = n_a * n_b > WIDE
+        times = np.where(wide, 0, n_b)[group_a]
+        left = np.repeat(np.arange(len(a)), times)
+        right = np.repeat(first_b[group_a] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        codes, of, n = a[left] * self.size_b + b[right], unit[group_a[left]], np.ones(len(left), np.int64)
+        for g in np.flatnonzero(wide).tolist():
+            x, m = np.unique(a[first_a[g] : first_a[g] + n_a[g]], return_counts=True)
+            y, k = np.unique(b[first_b[g] : first_b[g] + n_b[g]], return_counts=True)
+            codes = np.concatenate([codes, (x[:, None] * self.size_b + y).ravel()])
+            n = np.concatenate([n, (m[:, None] * k).ravel()])
+            of = np.concatenate([of, np.full(len(x) * len(y), unit[g])])
+        span = len(self.sizes_a) * self.size_b
+        keys, back = np.unique(of * span + codes, return_inverse=True)
+        links = np.stack([keys % span, np.bincount(back, n, len(keys)).astype(np.int64)], axis=1)
+        self._add(units, texts, sums, np.bincount(keys // span, minlength=len(units)), links)
 
 
 @functools.cache
@@ -198,15 +277,12 @@ def partial_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                found, docs_of = [], []
-                for row, at in enumerate(aligner.places(part.column("text").to_pylist())):
-                    if len(at):
-                        found += (own := [aligner.links[k].pairs for k in np.unique(at).tolist()])
-                        docs_of.append((row, sum(map(len, own))))
-                if not found:
+                places = [np.unique(at) for at in aligner.places(part.column("text").to_pylist())]
+                pairs, _, n = aligner.pairs_of(np.concatenate(places))
+                if not len(pairs):
                     continue
-                row = np.repeat(*np.array(docs_of).T)
-                keys, local = np.unique(np.concatenate(found), return_inverse=True)
+                row = np.repeat(np.repeat(np.arange(len(places)), [len(at) for at in places]), n)
+                keys, local = np.unique(pairs, return_inverse=True)
                 once = np.unique(row * len(keys) + local) % len(keys)
                 codes.append(keys)
                 counts.append(np.bincount(once, minlength=len(keys)))
@@ -335,8 +411,8 @@ class Resident(NamedTuple):
 
 
 @functools.lru_cache(maxsize=1)
-def _resident(uri: str) -> tuple[Resident, dict]:
-    """The counts in a staged table, and what its units come to, as far as they are known."""
+def _resident(uri: str) -> Resident:
+    """The counts in a staged table."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -345,12 +421,12 @@ def _resident(uri: str) -> tuple[Resident, dict]:
     found = [pq.ParquetFile(open_file(f"{uri}/{f.rpartition('/')[2]}", "rb")).read(["keys", "counts", "best"]) for f in files]
     keys, counts, best = ([t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for t in found if t.num_rows] for c in ("keys", "counts", "best"))
     if not keys:
-        return Resident(PerfectHash.build(np.zeros(0, np.int64)), np.zeros(0, np.int64), np.zeros(0, bool)), {}
+        return Resident(PerfectHash.build(np.zeros(0, np.int64)), np.zeros(0, np.int64), np.zeros(0, bool))
     keys, counts, best = map(np.concatenate, (keys, counts, best))
     built = PerfectHash.build(keys)
     at = np.empty(len(keys), np.int64)
     at[built.find(keys)] = np.arange(len(keys))
-    return Resident(built, counts[at], best[at]), {}
+    return Resident(built, counts[at], best[at])
 
 
 def _frequent(table: DataFrame, resident: int) -> DataFrame:
@@ -380,36 +456,31 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, resident: int =
     uri = known.staged_at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, (pairs, _) = _aligners(*paths), _resident(uri)
-        task, row, sums, sums_of = TaskContext.get().partitionId() << 40, 0, np.zeros((0, 6), np.int64), []
-        missing: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        aligner, pairs = _aligners(*paths), _resident(uri)
+        task, row, more, version = TaskContext.get().partitionId() << 40, 0, None, None
         for batch in batches:
             for part in slices(batch):
                 places = aligner.places(part.column("text").to_pylist())
-                links = aligner.links
-                if sums_of is not links or len(sums) > len(links):
-                    sums, sums_of, missing = np.zeros((0, 6), np.int64), links, {}
-                if len(sums) < len(links):
-                    new = links[len(sums) :]
-                    size = np.array([len(x.pairs) for x in new])
-                    at = pairs.hash.find(np.concatenate([x.pairs for x in new]))
-                    times, of = np.concatenate([x.times for x in new]), np.repeat(np.arange(len(new)), size)
-                    total = np.zeros((len(new), 6), np.int64)
-                    total[:, :3] = [(x.n_a, x.n_b, x.n_groups) for x in new]
-                    total[:, 3] = np.bincount(of, times, len(new))
-                    got = np.flatnonzero(at >= 0)
-                    np.add.at(total[:, 4], of[got], times[got] * pairs.best[at[got]])
-                    np.add.at(total[:, 5], of[got], times[got] * pairs.counts[at[got]])
-                    for k in np.unique(of[at < 0]).tolist():
-                        lost = at[of == k] < 0
-                        missing[len(sums) + k] = (new[k].pairs[lost], new[k].times[lost])
-                    sums = np.concatenate([sums, total])
+                if aligner.known is not version:
+                    version, more = aligner.known, Grown(4)
+                new = np.arange(len(more), len(aligner.texts))
+                if len(new):
+                    codes, times, width = aligner.pairs_of(new)
+                    at, of = pairs.hash.find(codes), np.repeat(np.arange(len(new)), width)
+                    got, lost = at >= 0, at < 0
+                    worth = [times, times * got * pairs.best[at], times * got * pairs.counts[at]] if len(pairs.counts) else [times, times * 0, times * 0]
+                    more.add(np.stack([*(np.bincount(of, w, len(new)) for w in worth), np.bincount(of, lost, len(new))], axis=1).astype(np.int64))
+                sums = np.concatenate([aligner.sums.rows()[:, :3], more.rows()], axis=1)
                 rows, texts_of, keys, counts = [], [], [], []
                 for where in places:
-                    rows.append(sums[where].sum(axis=0))
-                    texts_of.append(";".join([links[k].text for k in where.tolist()]))
-                    lost = [missing[k] for k in where.tolist() if k in missing] if missing else []
-                    left = _summed(*zip(*lost, strict=True)) if lost else (np.zeros(0, np.int64),) * 2
+                    total = sums[where].sum(axis=0)
+                    rows.append(total[:6])
+                    texts_of.append(";".join(map(aligner.texts.__getitem__, where.tolist())))
+                    left = [np.zeros(0, np.int64)] * 2
+                    if total[6]:
+                        codes, times, _ = aligner.pairs_of(where)
+                        lost = pairs.hash.find(codes) < 0
+                        left = _summed([codes[lost]], [times[lost]])
                     keys.append(left[0])
                     counts.append(left[1])
                 values = np.array(rows).reshape(-1, 6)

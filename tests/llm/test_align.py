@@ -83,7 +83,7 @@ def test_every_sign_alone():
     every = [f"ab{chr(k)} {chr(k)}\n{chr(k)}{chr(k)} c{chr(k)}d" for k in [*range(1, 0x3100), 0xFEFF, 0xFFFD, *range(0x1F600, 0x1F610)]]
     aligner = A.Aligner(*A.default_tokenizers())
     for own, groups in zip(aligner.places(every), plain(every), strict=True):
-        text = ";".join(aligner.links[k].text for k in own.tolist())
+        text = ";".join(aligner.texts[k] for k in own.tolist())
         assert text == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
 
 
@@ -91,10 +91,17 @@ def test_small_memories_change_nothing(spark, monkeypatch):
     texts = [t for t in texts_of(2) if t][:60]
     monkeypatch.setattr(A, "UNITS", 20)
     monkeypatch.setattr(A, "HELD", 50)
+    monkeypatch.setattr(A, "BATCH", 30)
+    monkeypatch.setattr(A, "WIDE", 2)
     aligner = A.Aligner(*A.default_tokenizers())
     for t, groups in zip(texts, plain(texts), strict=True):
         own = aligner.places([t])[0]
-        assert sum(aligner.links[k].n_groups for k in own.tolist()) == len(groups)
+        codes, times, _ = aligner.pairs_of(own)
+        got = Counter()
+        for code, n in zip(codes.tolist(), times.tolist(), strict=True):
+            got[divmod(code, aligner.size_b)] += n
+        assert got == Counter((x, y) for g in groups for x in g[0] for y in g[1])
+        assert aligner.sums.rows()[own, 2].sum() == len(groups)
 
 
 def test_hard_rows_and_empty_table(spark, hard, none):
