@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evflow.functions.scalars import null_sentinel
 from evflow.operators.evaluation import auc
+from evflow.operators.ranking import join_groups, quantiles
 
 
 def hit_sums(hits: DataFrame, tracks: DataFrame, keys: list[str], gate_all: bool = False) -> DataFrame:
@@ -188,16 +189,18 @@ def vertex_estimate(points: DataFrame, windows: DataFrame, keys: list[str], x: s
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Count, mean, population deviation, median and 16-84 band of the finite values."""
     kept = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
-    found = df.groupBy(*(by or [])).agg(F.count(kept).alias("n"), F.avg(kept).alias("mean"), F.stddev_pop(kept).alias("std"), F.percentile(kept, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("_q"))
-    return found.select(*(by or []), "n", "mean", "std", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q16"), F.col("_q")[2].alias("q84"))
+    by = by or []
+    moments = df.groupBy(*by).agg(F.count(kept).alias("n"), F.avg(kept).alias("mean"), F.stddev_pop(kept).alias("std"))
+    found = join_groups(moments, quantiles(df, kept, [0.16, 0.5, 0.84], by).select(*by, F.col("quantiles").alias("_q")), by)
+    return found.select(*by, "n", "mean", "std", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q16"), F.col("_q")[2].alias("q84"))
 
 
 def residual_map(df: DataFrame, a: str, b: str, value: str, bins_a: int, bins_b: int, least: int = 25, floor: float = 1e-4) -> DataFrame:
     """Median and half 16-84 width of a residual in each cell of a grid; cells with few rows take the whole sample's."""
-    q = F.percentile(value, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
-    spread = F.greatest(F.lit(floor), (F.col("_q")[2] - F.col("_q")[0]) / 2)
-    cells = df.groupBy(a, b).agg(F.count(value).alias("n"), q.alias("_q")).select(a, b, "n", F.col("_q")[1].alias("_bias"), spread.alias("_sigma"))
-    pooled = df.agg(q.alias("_q")).select(F.col("_q")[1].alias("_all_bias"), spread.alias("_all_sigma"))
+    levels = [0.16, 0.5, 0.84]
+    spread = F.greatest(F.lit(floor), (F.col("quantiles")[2] - F.col("quantiles")[0]) / 2)
+    cells = quantiles(df, F.col(value), levels, [a, b]).select(a, b, "n", F.col("quantiles")[1].alias("_bias"), spread.alias("_sigma"))
+    pooled = quantiles(df, F.col(value), levels).select(F.col("quantiles")[1].alias("_all_bias"), spread.alias("_all_sigma"))
     spark = df.sparkSession
     grid = spark.range(bins_a).select(F.col("id").cast("int").alias(a)).crossJoin(spark.range(bins_b).select(F.col("id").cast("int").alias(b)))
     full = grid.join(cells, [a, b], "left").crossJoin(F.broadcast(pooled)).withColumn("n", F.coalesce("n", F.lit(0)))
@@ -213,13 +216,14 @@ def outside_share(df: DataFrame, axes: dict[str, tuple[float, float]]) -> DataFr
 def sign_check(df: DataFrame, truth: str, predicted: str, residual: str) -> DataFrame:
     """Median distance of the stored residual from truth - predicted, and from its opposite; the first must be the less."""
     diff = F.col(truth) - F.col(predicted)
-    return df.agg(F.percentile(F.abs(diff - F.col(residual)), 0.5).alias("as_is"), F.percentile(F.abs(diff + F.col(residual)), 0.5).alias("flipped"))
+    both = [quantiles(df, F.abs(x), [0.5]).select(F.col("quantiles")[0].alias(c)) for c, x in (("as_is", diff - F.col(residual)), ("flipped", diff + F.col(residual)))]
+    return both[0].crossJoin(F.broadcast(both[1]))
 
 
 def tail_report(df: DataFrame, value: str, threshold: float) -> DataFrame:
     """Largest value, number above a threshold, and upper percentiles."""
-    q = F.percentile(value, F.array(F.lit(0.99), F.lit(0.999)))
-    return df.agg(F.max(value).alias("largest"), F.count_if(F.col(value) > threshold).alias("n_above"), q.alias("_q")).select("largest", "n_above", F.col("_q")[0].alias("q99"), F.col("_q")[1].alias("q999"))
+    tops = quantiles(df, F.col(value), [0.99, 0.999]).select(F.col("quantiles")[0].alias("q99"), F.col("quantiles")[1].alias("q999"))
+    return df.agg(F.max(value).alias("largest"), F.count_if(F.col(value) > threshold).alias("n_above")).crossJoin(F.broadcast(tops))
 
 
 def multiplicity(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -245,4 +249,5 @@ def resolution_table(df: DataFrame, configs: dict[str, str], truth: str, scale:
     """Median |value - truth| times ``scale`` of each named column, over rows that have a truth."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("config"), F.col(c).cast("double").alias("value")) for k, c in configs.items()]))
     long = df.where(F.col(truth).isNotNull()).select(truth, pairs.alias("x")).where("x.value is not null")
-    return long.groupBy("x.config").agg((F.percentile(F.abs(F.col("x.value") - F.col(truth)), 0.5) * scale).alias("median_error"), F.count(F.lit(1)).alias("n"))
+    found = quantiles(long.select("x.config", F.abs(F.col("x.value") - F.col(truth)).alias("_error")), F.col("_error"), [0.5], ["config"])
+    return found.select("config", (F.col("quantiles")[0] * scale).alias("median_error"), "n")

@@ -7,33 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
-
 from evflow.functions.scalars import clamped_bin, edge_bin, normal_cdf
+from evflow.operators.ranking import average_ranks, join_groups, quantiles, running_sums  # noqa: F401
 from evflow.operators.selection import exact_split
-
-
-def running_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None, parts: int = 256) -> DataFrame:
-    """Rows with ``<name>_before`` for each column of ``sums``: its sum over the rows that come before in ``order``.
-
-    No two rows of a group may have the same place in the order.  Rows are dealt into ranges of about equal size by
-    approximate percentiles (of the first field, if the order is a struct), ranges are summed and only then are rows
-    added up within each, so that no task holds the whole column.  The numbers ordered by are numeric or times.
-    """
-    by = by or []
-    kind = df.schema[order].dataType
-    lead = F.col(f"{order}.{kind.fieldNames()[0]}" if isinstance(kind, StructType) else order).cast("double")
-    cuts = df.agg(F.percentile_approx(lead, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 4 * parts).alias("_cuts"))
-    place = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= lead)), F.lit(0))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", place).drop("_cuts")
-    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in sums])
-    ranges = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    names = {k: f"_of_{k}" for k in [*by, "_range"]}
-    offsets = totals.select(*[F.col(k).alias(n) for k, n in names.items()], *[F.coalesce(F.sum(f"_sum_{c}").over(ranges), F.lit(0)).alias(f"_sum_{c}") for c in sums])
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    joined = dealt.join(offsets.hint("shuffle_hash"), same)
-    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select(*df.columns, *[(F.col(f"_sum_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sums])
+from evflow.sources.collections import staged
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
@@ -49,7 +26,7 @@ def auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None
 def fake_rates(df: DataFrame, score: str, positive: Column, efficiencies: tuple[float, ...] = (0.95, 0.97, 0.99)) -> DataFrame:
     """Share of negatives at or above the score that keeps each share of positives."""
     tagged = df.withColumn("_pos", positive)
-    cuts = tagged.agg(F.percentile(F.when(F.col("_pos"), F.col(score)), F.array(*[F.lit(1 - e) for e in efficiencies])).alias("_c"))
+    cuts = quantiles(tagged, F.when(F.col("_pos"), F.col(score)), [1 - e for e in efficiencies]).select(F.col("quantiles").alias("_c"))
     rows = cuts.select(F.explode(F.arrays_zip(F.array(*map(F.lit, efficiencies)).alias("efficiency"), F.col("_c").alias("threshold"))).alias("x")).select("x.*")
     crossed = tagged.where(~F.col("_pos")).crossJoin(F.broadcast(rows))
     return crossed.groupBy("efficiency", "threshold").agg(F.avg((F.col(score) >= F.col("threshold")).cast("double")).alias("fake_rate"))
@@ -78,30 +55,34 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Mean absolute and squared error, bias, R2, and median and half 16-84 width of the response."""
     error = F.col(predicted) - F.col(truth)
     response = F.try_divide(F.col(predicted), F.col(truth))
-    q = F.percentile(response, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
-    sums = df.agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), F.var_pop(truth).alias("_v"), q.alias("_q"))
+    sums = df.agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), F.var_pop(truth).alias("_v"))
+    sums = sums.crossJoin(F.broadcast(quantiles(df, response, [0.16, 0.5, 0.84]).select(F.col("quantiles").alias("_q"))))
     return sums.select("mae", "rmse", "bias", (1 - F.col("rmse") * F.col("rmse") / F.col("_v")).alias("r2"), F.col("_q")[1].alias("response_median"), ((F.col("_q")[2] - F.col("_q")[0]) / 2).alias("response_width"))
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Rank of each row's value with ties at their mean; values are counted before they are ranked."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_sums(counts, column, ["_n"]).select(column, (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, column)
-
-
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks."""
-    return average_ranks(average_ranks(df.select(a, b), a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
+    """Rank correlation with average ranks, over the rows that have both values.
+
+    Rows are counted by pair of values first; ranks are taken from their mean, which is known, before they are multiplied.
+    """
+    both = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    pairs = staged(both.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    for side in ("_a", "_b"):
+        counts = pairs.groupBy(side).agg(F.sum("_n").alias("_m"))
+        ranks = running_sums(counts, side, ["_m"]).select(side, (F.col("_m_before") + (F.col("_m") + 1) / 2).alias(f"_r{side}"))
+        pairs = pairs.join(ranks.hint("merge"), side)
+    middle = pairs.agg(((F.sum("_n") + 1) / 2).alias("_middle"))
+    x, y = F.col("_r_a") - F.col("_middle"), F.col("_r_b") - F.col("_middle")
+    sums = pairs.crossJoin(F.broadcast(middle)).agg(*[F.sum(F.col("_n") * t).alias(c) for c, t in (("xy", x * y), ("xx", x * x), ("yy", y * y))])
+    return sums.select(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
 
 
 def ks_two_sample(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """Largest distance of two samples' distributions, and its asymptotic p-value."""
     both = left.select(value, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(right.select(value, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     counts = both.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    total = counts.agg(F.sum("_a").alias("n_left"), F.sum("_b").alias("n_right"))
-    upto = running_sums(counts, value, ["_a", "_b"])
-    steps = upto.select((F.col("_a_before") + F.col("_a")).alias("_fa"), (F.col("_b_before") + F.col("_b")).alias("_fb")).crossJoin(F.broadcast(total))
+    upto = running_sums(counts, value, ["_a", "_b"]).select((F.col("_a_before") + F.col("_a")).alias("_fa"), (F.col("_b_before") + F.col("_b")).alias("_fb"))
+    steps = upto.crossJoin(F.broadcast(upto.agg(F.max("_fa").alias("n_left"), F.max("_fb").alias("n_right"))))
     d = steps.groupBy("n_left", "n_right").agg(F.max(F.abs(F.col("_fa") / F.col("n_left") - F.col("_fb") / F.col("n_right"))).alias("ks"))
     x = F.sqrt(F.col("n_left") * F.col("n_right") / (F.col("n_left") + F.col("n_right"))) * F.col("ks")
     terms = [(2 if k % 2 else -2) * F.exp(-2.0 * k * k * x * x) for k in range(1, 51)]
@@ -110,13 +91,17 @@ def ks_two_sample(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
 
 def two_sample_report(left: DataFrame, right: DataFrame, value: str, levels: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Both samples' counts, means, population deviations and quantiles in one row, with their KS distance and p-value."""
-    sides = [df.where(F.col(value).isNotNull()).agg(F.avg(value).alias(f"mean_{side}"), F.stddev_pop(value).alias(f"std_{side}"), F.percentile(value, F.array(*map(F.lit, levels))).alias(f"quantiles_{side}")) for df, side in ((left, "left"), (right, "right"))]
+    sides = []
+    for df, side in ((left, "left"), (right, "right")):
+        moments = df.where(F.col(value).isNotNull()).agg(F.avg(value).alias(f"mean_{side}"), F.stddev_pop(value).alias(f"std_{side}"))
+        sides.append(moments.crossJoin(F.broadcast(quantiles(df, F.col(value), list(levels)).select(F.col("quantiles").alias(f"quantiles_{side}")))))
     return ks_two_sample(left, right, value).crossJoin(F.broadcast(sides[0])).crossJoin(F.broadcast(sides[1]))
 
 
 def _ks(df: DataFrame, value: str, cdf: Column) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    steps = running_sums(counts, value, ["_n"]).crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("n"))))
+    upto = running_sums(counts, value, ["_n"])
+    steps = upto.crossJoin(F.broadcast(upto.agg(F.max(F.col("_n_before") + F.col("_n")).alias("n"))))
     under = cdf - F.col("_n_before") / F.col("n")
     above = (F.col("_n_before") + F.col("_n")) / F.col("n") - cdf
     return steps.groupBy("n").agg(F.max(F.greatest(above, under)).alias("ks"))
@@ -148,8 +133,9 @@ def auc_over_seeds(df: DataFrame, score: str, positive: Column, keys: list[str],
 
 def binned_stats(df: DataFrame, x: Column, value: str, edges: list[float]) -> DataFrame:
     """Mean, median, 16-84 band and count of a value in bins of x."""
-    q = F.percentile(value, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
-    found = df.withColumn("bin", edge_bin(x, edges)).where("bin is not null").groupBy("bin").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("_q"))
+    binned = df.withColumn("bin", edge_bin(x, edges)).where("bin is not null")
+    means = binned.groupBy("bin").agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    found = join_groups(means, quantiles(binned, F.col(value), [0.16, 0.5, 0.84], ["bin"]).select("bin", F.col("quantiles").alias("_q")), ["bin"])
     return found.select("bin", "n", "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q16"), F.col("_q")[2].alias("q84"))
 
 

@@ -122,7 +122,8 @@ def e7(spark, d):
 @query("e18_grid_slice", "SELECT hour(ts)::INTEGER AS x, round(avg(value), 6) AS mean, round(quantile_cont(value::DOUBLE, 0.5), 6) AS median, count(*) AS n FROM events WHERE event_type = 'click' AND value BETWEEN 1 AND 50 GROUP BY 1")
 def e18(spark, d):
     rows = table(spark, d, "events").where((F.col("event_type") == "click") & S.in_range(F.col("value"), 1, 50))
-    return rows.groupBy(F.hour("ts").alias("x")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("median"), F.count(F.lit(1)).alias("n"))
+    found = A.summary(rows.withColumn("x", F.hour("ts")), "value", ["x"])
+    return found.select("x", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "n")
 
 
 @query("e19_envelope", "SELECT event_type, round(avg(value) - 2 * stddev_pop(value), 6) AS low, round(avg(value) + 2 * stddev_pop(value), 6) AS high FROM events GROUP BY 1")

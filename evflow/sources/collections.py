@@ -91,6 +91,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/evflow/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it is computed once, and its lineage ends here."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dump_predictions(df: DataFrame, path: str, probabilities: str, truth: Column, kinematics: list[str], cell: str, seed: str, classes: int) -> None:
     """Write probabilities, labels (an array is a one-hot label) and kinematics, parted by cell and seed."""
     label = arg_max(truth) if isinstance(df.select(truth).schema[0].dataType, T.ArrayType) else truth.cast("int")
