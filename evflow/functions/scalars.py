@@ -138,8 +138,8 @@ def quantise_count(x: Column, bits: int) -> Column:
 
 
 def quantise_log10(x: Column, scale: float = 3000.0) -> Column:
-    """16-bit code of a positive number's logarithm."""
-    return F.rint(F.log10(F.greatest(x, F.lit(1e-10))) * scale).cast("smallint")
+    """16-bit code of a positive number's logarithm; numbers are kept within 1e-9 and 1e9."""
+    return F.rint(F.log10(F.least(F.greatest(x, F.lit(1e-9)), F.lit(1e9))) * scale).cast("smallint")
 
 
 def dequantise_log10(code: Column, scale: float = 3000.0) -> Column:
@@ -147,6 +147,19 @@ def dequantise_log10(code: Column, scale: float = 3000.0) -> Column:
     return F.pow(F.lit(10.0), code / F.lit(scale))
 
 
+def softmax(logits: Column) -> Column:
+    """Shares of an array of logits, taken from the largest so that none overflows."""
+    parts = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits)))
+    return F.transform(parts, lambda x: x / F.aggregate(parts, F.lit(0.0), lambda s, y: s + y))
+
+
+def log_softmax(logits: Column) -> Column:
+    """Logarithms of :func:`softmax`."""
+    top = F.array_max(logits).cast("double")
+    total = F.aggregate(logits, F.lit(0.0), lambda s, y: s + F.exp(y.cast("double") - top))
+    return F.transform(logits, lambda x: x.cast("double") - top - F.ln(total))
+
+
 def sigmoid(x: Column) -> Column:
     """Logistic function."""
     return 1 / (1 + F.exp(-x))

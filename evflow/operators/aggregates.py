@@ -33,6 +33,12 @@ def hit_sums(hits: DataFrame, tracks: DataFrame, keys: list[str], gate_all: bool
     return tracks.select(*keys).join(found, keys, "left").fillna(0, names)
 
 
+def sum_clipped_chi2(hits: DataFrame, tracks: DataFrame, keys: list[str], name: str = "sum_chi2_rphi") -> DataFrame:
+    """Sum of each track's hits' r-phi increments of chi2, each 0 at least; 0 for tracks without hits."""
+    sums = hits.groupBy(*keys).agg(F.sum(F.greatest(F.col("chi2IncRPhi").cast("double"), F.lit(0.0))).alias(name))
+    return tracks.join(sums, keys, "left").select(*tracks.columns, F.coalesce(name, F.lit(0.0)).alias(name))
+
+
 def layer_columns(hits: DataFrame, keys: list[str], layer: str, layers: list[int], values: list[str]) -> DataFrame:
     """First value of each layer as a column, with a flag for layers that have a hit."""
     wide = hits.groupBy(*keys).pivot(layer, layers).agg(*[F.min(v).alias(v) for v in values], F.count(F.lit(1)).alias("crossed"))
@@ -231,13 +237,6 @@ def multiplicity(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).groupBy("n_rows").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def merged_edges(df: DataFrame, edges: str, tolerance: float) -> DataFrame:
-    """Ascending distinct edges of all rows; an edge within ``tolerance`` of the one before it goes."""
-    flat = df.select(F.explode(edges).alias("edge")).distinct()
-    before = F.lag("edge").over(Window.orderBy("edge"))
-    return flat.select("edge", (F.col("edge") - before).alias("_gap")).where(F.col("_gap").isNull() | (F.col("_gap") > tolerance)).select("edge")
-
-
 def guard(df: DataFrame, **tests: Column) -> None:
     """Raise with the names of tests that don't hold for the whole table."""
     found = df.agg(*[t.alias(k) for k, t in tests.items()]).first().asDict()

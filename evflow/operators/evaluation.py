@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evflow.functions.scalars import clamped_bin, edge_bin, normal_cdf
+from evflow.functions.scalars import clamped_bin, edge_bin, log_softmax, normal_cdf, sigmoid, softmax
 from evflow.operators.ranking import average_ranks, join_groups, quantiles, running_sums  # noqa: F401
 from evflow.operators.selection import exact_split
 from evflow.sources.collections import staged
@@ -198,3 +198,73 @@ def rows_that_differ(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
 def acceptance(df: DataFrame, value: str, expected: str, tolerance: str) -> DataFrame:
     """Whether each value is within its tolerance of what is expected."""
     return df.withColumn("passed", F.abs(F.col(value) - F.col(expected)) <= F.col(tolerance))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    """Sum of the products of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def head_loss(df: DataFrame, truth: str, predicted: str, loss: str = "categorical_crossentropy", from_logits: bool = True, by: list[str] | None = None) -> DataFrame:
+    """Mean loss of a model's output: cross-entropy of arrays (one-hot truth; logits, or shares that are brought to a sum
+    of one and kept 1e-7 off both ends), or mse, mae and logcosh of numbers."""
+    y, p = F.col(truth), F.col(predicted)
+    if loss == "categorical_crossentropy":
+        total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x.cast("double"))
+        shares = F.transform(p, lambda x: F.ln(F.least(F.greatest(x / total, F.lit(1e-7)), F.lit(1 - 1e-7))))
+        each = -_dot(y, log_softmax(p) if from_logits else shares)
+    elif loss == "mse":
+        each = (p - y) * (p - y)
+    elif loss == "mae":
+        each = F.abs(p - y)
+    elif loss == "logcosh":
+        x = F.abs(p - y)
+        each = x + F.log1p(F.exp(-2 * x)) - F.ln(F.lit(2.0))
+    else:
+        raise ValueError(f"unknown loss {loss!r}")
+    return df.groupBy(*(by or [])).agg(F.avg(each).alias("loss"))
+
+
+def pt_bias(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
+    """Size of the mean of predicted / true - 1; rows with a true value of 0 are left out."""
+    return df.groupBy(*(by or [])).agg(F.abs(F.avg(F.try_divide(F.col(predicted).cast("double"), F.col(truth)) - 1)).alias("pt_bias"))
+
+
+def soft_efficiency(df: DataFrame, truth: str, logits: str, selected: list[int], scored: list[int], threshold: float = 0.5, temperature: float = 0.05) -> DataFrame:
+    """Mean, over the rows of the selected true classes (one-hot), of a sigmoid of the scored classes' share above a threshold."""
+    shares = softmax(F.col(logits))
+    share = sum((F.get(shares, F.lit(k)) for k in scored[1:]), F.get(shares, F.lit(scored[0])))
+    chosen = sum((F.get(F.col(truth), F.lit(k)) for k in selected[1:]), F.get(F.col(truth), F.lit(selected[0]))).cast("double")
+    soft = sigmoid((share - threshold) / temperature)
+    return df.agg((F.sum(soft * chosen) / (F.sum(chosen) + 1e-7)).alias("soft_efficiency"))
+
+
+def compare_vertices(df: DataFrame, true: str, stock: str | None, new: str | None, window: float = 0.15) -> DataFrame:
+    """Mean and population deviation of the old and the new position's residuals, their share within a window, and the
+    deviation of one from the other."""
+    out = []
+    for name, column in (("stock", stock), ("new", new)):
+        if column:
+            residual = F.col(column) - F.col(true)
+            out += [F.avg(residual).alias(f"{name}_res_mean"), F.stddev_pop(residual).alias(f"{name}_res_std"), F.avg((F.abs(residual) < window).cast("double")).alias(f"{name}_efficiency")]
+    if stock and new:
+        out.append(F.stddev_pop(F.col(stock) - F.col(new)).alias("stock_vs_new_std"))
+    return df.agg(*out)
+
+
+def association_auc(df: DataFrame, truth: str, predicted: str, mask: str | None = None) -> DataFrame:
+    """Area under the ROC curve of the association of tracks, over those that ``mask`` (above 0) keeps."""
+    return auc(df.where(F.col(mask) > 0) if mask else df, predicted, F.col(truth) > 0)
+
+
+def pick_quality(df: DataFrame, found: str, first: str, second: str, ratio: str, width: float, by: list[str] | None = None) -> DataFrame:
+    """Of picks between two true positions: share that lies between them, share that isn't at the harder one, and residuals.
+
+    The second is the harder one where ``ratio`` is above 1.  Between is half a width off both, right within 1.5 widths.
+    """
+    hard = F.when(F.col(ratio) > 1, F.col(second)).otherwise(F.col(first))
+    rows = df.withColumn("_res", F.col(found) - hard)
+    between = (F.col(found) > F.least(first, second) + 0.5 * width) & (F.col(found) < F.greatest(first, second) - 0.5 * width)
+    shares = rows.groupBy(*(by or [])).agg(F.avg(between.cast("double")).alias("midpoint_rate"), F.avg((F.abs("_res") >= 1.5 * width).cast("double")).alias("wrong_rate"), F.avg("_res").alias("res_mean"), F.stddev_pop("_res").alias("res_std"))
+    q68 = quantiles(rows, F.abs("_res"), [0.68], by).select(*(by or []), F.col("quantiles")[0].alias("res_q68"))
+    return join_groups(shares, q68, by or [])

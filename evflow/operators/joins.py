@@ -61,3 +61,15 @@ def pair_loss(pairs: DataFrame, batch: str, is_positive: Column, temperature: fl
     scaled = pairs.withColumn("_s", F.col("dot") / temperature).withColumn("_p", is_positive)
     sums = scaled.groupBy(batch, "left_key").agg(F.log(F.sum(F.exp("_s"))).alias("_all"), F.max(F.when(F.col("_p"), F.col("_s"))).alias("_pos"))
     return sums.select(batch, "left_key", (F.col("_all") - F.col("_pos")).alias("loss"))
+
+
+def same_rows(left: DataFrame, right: DataFrame, names: dict[str, str], most: int) -> DataFrame:
+    """All rows of ``left`` with the columns of the row of ``right`` that has the same values, null ones too.
+
+    ``right`` goes to every task if it has up to ``most`` rows (they are counted), else both sides are shuffled.
+    """
+    few = right.limit(most + 1).count() <= most
+    if not names:
+        return left.crossJoin(F.broadcast(right))
+    hinted = F.broadcast(right) if few else right.hint("merge")
+    return left.join(hinted, [left[a].eqNullSafe(right[b]) for a, b in names.items()], "left").drop(*names.values())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evflow.operators import aggregates as A
+from evflow.operators import grids as G
 from evflow.operators import joins as J
 from evflow.operators import nested as N
 from evflow.plans.catalog import query, table
@@ -190,10 +191,10 @@ def a21(spark, d):
     return A.resolution_table(rows, {"price": "p", "disc": "q"}, "l_quantity").select("config", F.round("median_error", 2).alias("median_error"), "n")
 
 
-@query("a22_u3_merged_edges", "WITH e AS (SELECT DISTINCT unnest([p_size::DOUBLE, p_size + 0.5, p_retailprice]) AS edge FROM part), g AS (SELECT edge, edge - lag(edge) OVER (ORDER BY edge) AS gap FROM e) SELECT edge FROM g WHERE gap IS NULL OR gap > 0.15")
+@query("a22_u3_merged_edges", "WITH e AS (SELECT DISTINCT unnest([p_size::DOUBLE, p_size + 0.5, p_retailprice]) AS edge FROM part), g AS (SELECT edge, edge - lag(edge) OVER (ORDER BY edge) AS gap FROM e) SELECT edge FROM g WHERE gap IS NULL OR gap > 0.001 * (1 + abs(edge))")
 def a22(spark, d):
     rows = table(spark, d, "part").select(F.array(F.col("p_size").cast("double"), F.col("p_size") + 0.5, "p_retailprice").alias("edges"))
-    return A.merged_edges(rows, "edges", 0.15)
+    return G.merged_edges(rows, "edges", 0.001)
 
 
 @query("j3_nearest_match", """WITH o AS (SELECT o_custkey % 25 AS event, o_orderkey AS idx, o_totalprice / 100000 - 2.5 AS eta, (o_orderkey % 628) / 100.0 - 3.14 AS phi FROM orders),

@@ -112,7 +112,7 @@ def p15(spark, d):
     return items(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", S.quantise_chi2(F.col("l_quantity")).alias("chi2"), S.quantise_count(F.col("l_linenumber"), 2).alias("occ"))
 
 
-@query("p16_log10_codes", "WITH x AS (SELECT o_orderkey, round_even(log10(greatest(o_totalprice, 1e-10)) * 3000, 0)::SMALLINT AS code FROM orders) SELECT o_orderkey, code, round(pow(10.0, code / 3000.0), 4) AS back FROM x")
+@query("p16_log10_codes", "WITH x AS (SELECT o_orderkey, round_even(log10(least(greatest(o_totalprice, 1e-9), 1e9)) * 3000, 0)::SMALLINT AS code FROM orders) SELECT o_orderkey, code, round(pow(10.0, code / 3000.0), 4) AS back FROM x")
 def p16(spark, d):
     code = S.quantise_log10(F.col("o_totalprice"))
     return orders(spark, d).select("o_orderkey", code.alias("code"), F.round(S.dequantise_log10(code), 4).alias("back"))

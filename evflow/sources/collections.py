@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,6 +107,40 @@ def dump_predictions(df: DataFrame, path: str, probabilities: str, truth: Column
     df.select(F.col(probabilities).alias("class_probs"), label.alias("y_true"), *kinematics, cell, seed).write.partitionBy(cell, seed).parquet(path)
 
 
+def union_dumps(spark: SparkSession, folder: str, classes: list[str], charges: list[str], kinematics: list[str], views: list[str], variants: list[str]) -> tuple[DataFrame, DataFrame]:
+    """All prediction tables ``<view>__<variant>__s<seed>.parquet`` of a folder as one, and its groups.
+
+    Rows: group, row (its number in the whole), prob_<class>, prob_<charge class>, label, charge_label and the kinematics
+    in single precision; what a table lacks is -1.  Groups: id, cell, view, variant, seed, has_charge, n_rows and
+    row_offset, in the given orders of views and variants (others last), then by seed and cell.  A table whose number of
+    classes, or whose class_labels, aren't those asked for is an error.  Rows are numbered by their places in the files,
+    without a sort: only files are put in order.
+    """
+    read = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(folder)
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)__s(\d+)\.parquet(/|$)", 0)
+    kinds = {"class_probs": "array<float>", "charge_probs": "array<float>", "y_true": "float", "charge_true": "float", "class_labels": "array<string>"}
+    own = [(F.col(c) if c in read.columns else F.lit(None)).cast(kinds.get(c, "float")).alias(c) for c in (*kinds, *kinematics)]
+    rows = read.select(*own, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"), key.alias("_key")).where("_key <> ''")
+    names = {"cell": F.regexp_extract("_key", r"/(.+)__s\d+", 1), "seed": F.regexp_extract("_key", r"__s(\d+)\.parquet", 1).cast("int")}
+    wrong = F.count_if((F.size("class_probs") != len(classes)) | (F.size("charge_probs") != len(charges)))
+    labels = F.array(*map(F.lit, classes))
+    other = F.count_if(F.col("class_labels") != labels)
+    files = rows.groupBy("_file", "_key").agg(F.count(F.lit(1)).alias("_n"), wrong.alias("_wrong"), other.alias("_other"), F.max(F.col("charge_probs").isNotNull()).alias("_charge"))
+    files = staged(files.withColumns(names), "files")
+    if bad := files.where("_wrong > 0 OR _other > 0").limit(1).collect():
+        raise ValueError(f"{bad[0]['_file']}: its classes aren't those asked for")
+    files = files.withColumns({"view": F.substring_index("cell", "__", 1), "variant": F.regexp_replace("cell", "^.*?__", "")})
+    order = [F.coalesce(F.array_position(F.array(*map(F.lit, given)), F.col(c)), F.lit(0)) for given, c in ((views, "view"), (variants, "variant"))]
+    placed = files.withColumns({f"_{k}": F.when(o == 0, len(given) + 1).otherwise(o) for k, o, given in zip("vw", order, (views, variants), strict=True)})
+    upto = Window.orderBy("_v", "_w", "seed", "cell", "_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumns({"_offset": F.sum("_n").over(upto) - F.col("_n"), "group": F.concat("cell", F.lit("__s"), "seed")})
+    groups = placed.groupBy(F.col("group").alias("id"), "cell", "view", "variant", "seed").agg(F.max("_charge").alias("has_charge"), F.sum("_n").alias("n_rows"), F.min("_offset").alias("row_offset"))
+    numbered = rows.join(F.broadcast(placed.select("_file", "group", "_offset")), "_file")
+    probs = [F.coalesce(F.get(F.col(c), F.lit(k)).cast("float"), F.lit(-1.0).cast("float")).alias(f"prob_{n}") for c, given in (("class_probs", classes), ("charge_probs", charges)) for k, n in enumerate(given)]
+    rest = [F.coalesce(F.col(c).cast("float"), F.lit(-1.0).cast("float")).alias(n) for c, n in (("y_true", "label"), ("charge_true", "charge_label"), *((k, k) for k in kinematics))]
+    return numbered.select("group", (F.col("_offset") + F.col("_at")).alias("row"), *probs, *rest), groups
+
+
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions of all cells and seeds, with these as columns."""
     return spark.read.parquet(path)
