@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evflow.operators.evaluation import auc, fake_rates, paired_deltas
 from evflow.operators.selection import exact_split
+from evflow.sources.collections import staged
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -48,11 +53,30 @@ def with_score(model: PipelineModel, df: DataFrame, name: str = "score") -> Data
     return scored.select(*df.columns, name)
 
 
-def train_and_report(df: DataFrame, features: list[str], keys: list[str], label: str = "y", fraction: float = 0.25, seed: int = 0, **options: Any) -> dict[str, Any]:
-    """Split, fit and test one cell: the model, its AUC, fake rates at fixed efficiencies and row counts."""
-    split = exact_split(df, keys, fraction, seed).withColumn("_stop", F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])) % 10 == 0)
+def in_parallel(spark: SparkSession, jobs: list[Callable[[], Any]], workers: int = 4) -> list[Any]:
+    """Results of several jobs in their order; up to ``workers`` of them run at a time, each in a scheduler pool of its own.
+
+    Small fits leave most of a cluster idle one after the other.  The pools share it evenly where the scheduler is FAIR.
+    """
+
+    def run(k: int, job: Callable[[], Any]) -> Any:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{k % workers}")
+        return job()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(workers, len(jobs)))) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(run), k, job) for k, job in enumerate(jobs)]
+        return [w.result() for w in waiting]
+
+
+def with_stop(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``_stop``: the tenth of them, by a hash of their keys, that ends the rounds of boosting."""
+    return df.withColumn("_stop", F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])) % 10 == 0)
+
+
+def report_on_split(split: DataFrame, features: list[str], label: str = "y", seed: int = 0, **options: Any) -> dict[str, Any]:
+    """Fit and test one cell on rows with is_test and _stop: the model, its AUC, fake rates at fixed efficiencies and row counts."""
     model = fit_trees(split.where("not is_test"), features, label, validation="_stop", seed=seed, **options)
-    scored = with_score(model, split.where("is_test"))
+    scored = staged(with_score(model, split.where("is_test")).select(label, "score"), "scores")
     positive = F.col(label) == 1
     area = auc(scored, "score", positive).first()
     rates = {r["efficiency"]: r["fake_rate"] for r in fake_rates(scored, "score", positive).collect()}
@@ -60,28 +84,49 @@ def train_and_report(df: DataFrame, features: list[str], keys: list[str], label:
     return {"model": model, "auc": area["auc"], "n_pos": area["n_pos"], "n_neg": area["n_neg"], "fake_rates": rates, "gains": gains}
 
 
-def ablation(df: DataFrame, sets: dict[str, list[str]], keys: list[str], seeds: list[int], base: str, label: str = "y", **options: Any) -> DataFrame:
-    """AUC of several feature sets over the same splits, as differences from a base set."""
-    rows = [(name, seed, train_and_report(df, features, keys, label, seed=seed, **options)["auc"]) for name, features in sets.items() for seed in seeds]
+def train_and_report(df: DataFrame, features: list[str], keys: list[str], label: str = "y", fraction: float = 0.25, seed: int = 0, **options: Any) -> dict[str, Any]:
+    """Split, fit and test one cell."""
+    split = with_stop(exact_split(df, keys, fraction, seed), keys)
+    return report_on_split(split, features, label, seed, **options)
+
+
+def shared_splits(df: DataFrame, keys: list[str], seeds: list[int], fraction: float = 0.25) -> dict[int, DataFrame]:
+    """The table, written once, with the split of each seed: written once, too, and read by all cells of that seed."""
+    table = staged(with_stop(df, keys), "cells")
+    return {seed: staged(exact_split(table, keys, fraction, seed), "split") for seed in seeds}
+
+
+def ablation(df: DataFrame, sets: dict[str, list[str]], keys: list[str], seeds: list[int], base: str, label: str = "y", fraction: float = 0.25, workers: int = 4, **options: Any) -> DataFrame:
+    """AUC of several feature sets over the same splits, as differences from a base set.
+
+    ``df`` is computed once; its cells, one a set and seed, are fitted ``workers`` at a time.
+    """
+    wanted = list(dict.fromkeys([*keys, label, *(f for own in sets.values() for f in own)]))
+    splits = shared_splits(df.select(*wanted), keys, seeds, fraction)
+    cells = [(name, seed) for name in sets for seed in seeds]
+    reports = in_parallel(df.sparkSession, [partial(report_on_split, splits[seed], sets[name], label, seed, **options) for name, seed in cells], workers)
+    rows = [(name, seed, report["auc"]) for (name, seed), report in zip(cells, reports, strict=True)]
     scores = df.sparkSession.createDataFrame(rows, "name string, seed int, auc double")
     return paired_deltas(scores, "name", "seed", "auc", base)
 
 
-def model_matrix(cells: dict[tuple[str, str], tuple[DataFrame, list[str]]], keys: list[str], label: str = "y", shared: str = "A", **options: Any) -> DataFrame:
+def model_matrix(cells: dict[tuple[str, str], tuple[DataFrame, list[str]]], keys: list[str], label: str = "y", shared: str = "A", fraction: float = 0.25, seed: int = 0, workers: int = 4, **options: Any) -> DataFrame:
     """AUC and fake rates of each (tier, config) cell of feature tables with their features' names.
 
     A config whose tables are absent is not among the cells.  The ``shared`` tier doesn't depend on the config: it is
-    fitted once, on the first config's table, and reported as config ``*``.
+    fitted once, on the first config's table, and reported as config ``*``.  A table that several cells have is split and
+    written once; cells are fitted ``workers`` at a time.
     """
-    rows, done = [], False
+    wanted, splits = [], {}
     for (tier, config), (table, features) in cells.items():
-        if tier == shared and done:
+        if tier == shared and any(t == shared for t, _, _, _ in wanted):
             continue
-        done = done or tier == shared
-        report = train_and_report(table, features, keys, label, **options)
-        rates = {str(k): v for k, v in report["fake_rates"].items()}
-        rows.append((tier, "*" if tier == shared else config, len(features), report["n_pos"], report["n_neg"], report["auc"], rates))
+        if id(table) not in splits:
+            splits[id(table)] = shared_splits(table, keys, [seed], fraction)[seed]
+        wanted.append((tier, "*" if tier == shared else config, splits[id(table)], features))
     spark = next(iter(cells.values()))[0].sparkSession
+    reports = in_parallel(spark, [partial(report_on_split, split, features, label, seed, **options) for _, _, split, features in wanted], workers)
+    rows = [(tier, config, len(features), r["n_pos"], r["n_neg"], r["auc"], {str(k): v for k, v in r["fake_rates"].items()}) for (tier, config, _, features), r in zip(wanted, reports, strict=True)]
     return spark.createDataFrame(rows, "tier string, config string, n_features int, n_pos long, n_neg long, auc double, fake_rates map<string,double>")
 
 
@@ -91,13 +136,15 @@ def log_loss(df: DataFrame, score: str, label: str) -> float:
     return df.agg(F.avg(-F.ln(F.when(F.col(label) == 1, kept).otherwise(1 - kept)))).first()[0]
 
 
-def best_seed(df: DataFrame, features: list[str], keys: list[str], seeds: list[int], label: str = "y", fraction: float = 0.25, **options: Any) -> tuple[PipelineModel, DataFrame]:
+def best_seed(df: DataFrame, features: list[str], keys: list[str], seeds: list[int], label: str = "y", fraction: float = 0.25, workers: int = 4, **options: Any) -> tuple[PipelineModel, DataFrame]:
     """One model a seed on its own split: the model with the least loss on its test rows, and all seeds' losses."""
-    runs = []
-    for seed in seeds:
-        split = exact_split(df, keys, fraction, seed)
-        model = fit_trees(split.where("not is_test"), features, label, seed=seed, **options)
-        runs.append((log_loss(with_score(model, split.where("is_test"), "_p"), "_p", label), seed, model))
+    splits = shared_splits(df.select(*dict.fromkeys([*keys, label, *features])), keys, seeds, fraction)
+
+    def run(seed: int) -> tuple[float, int, PipelineModel]:
+        model = fit_trees(splits[seed].where("not is_test"), features, label, seed=seed, **options)
+        return log_loss(with_score(model, splits[seed].where("is_test"), "_p"), "_p", label), seed, model
+
+    runs = in_parallel(df.sparkSession, [partial(run, seed) for seed in seeds], workers)
     least = min(runs, key=lambda run: run[:2])
     table = df.sparkSession.createDataFrame([(seed, loss, seed == least[1]) for loss, seed, _ in runs], "seed int, loss double, best boolean")
     return least[2], table

@@ -150,3 +150,27 @@ def m9(spark, d):
     columns = {"q_price": S.quantise_chi2(F.col("l_extendedprice") / 1000), "q_quantity": S.quantise_count(F.col("l_quantity"), 3)}
     consumers = {"TS0": [], "TS1": ["q_price"], "TS1b": ["q_quantity"], "TS2": ["q_price", "q_quantity"]}
     return M.stacked_scores(learnable(spark, d), ["l_quantity", "l_discount"], columns, consumers, ["k", "n", "p"], rounds=3)
+
+
+def sizes_sql(seed: int) -> str:
+    """Test rows of each class of an exact split by keys."""
+    return f"""(SELECT count(CASE WHEN y = 1 THEN 1 END) AS n_pos, count(CASE WHEN y = 0 THEN 1 END) AS n_neg FROM (SELECT y, row_number() OVER (ORDER BY md5(k || '|' || n || '|' || p || '|{seed}'), k, n, p) <= floor(count(*) OVER () * 0.25) AS is_test FROM l) WHERE is_test)"""
+
+
+LEARNABLE = "l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CASE WHEN l_partkey % 10 = 0 THEN l_partkey % 2 ELSE (l_extendedprice > l_quantity * 1500)::BIGINT END AS y FROM lineitem)"
+
+
+@query("m2_model_matrix", f"WITH {LEARNABLE} SELECT tier, config, n_features::INTEGER AS n_features, n_pos, n_neg, true AS has_auc FROM (VALUES ('A', '*', 1), ('B', '1100', 2), ('B', '1111', 2), ('C', '1100', 3)) v(tier, config, n_features), {sizes_sql(0)}")
+def m2(spark, d):
+    """Cells of three tiers and two configurations, one of which has no table of the third; the areas differ by engine."""
+    rows, names = learnable(spark, d), ["l_discount", "l_quantity", "l_extendedprice"]
+    other = rows.withColumn("l_extendedprice", F.col("l_extendedprice") * 2)
+    cells = {("A", "1100"): (rows, names[:1]), ("A", "1111"): (other, names[:1]), ("B", "1100"): (rows, names[:2]), ("B", "1111"): (other, names[:2]), ("C", "1100"): (rows, names)}
+    return M.model_matrix(cells, ["k", "n", "p"], rounds=2).select("tier", "config", "n_features", "n_pos", "n_neg", F.col("auc").between(0.0, 1.0).alias("has_auc"))
+
+
+@query("m10_ablation")
+def m10(spark, d):
+    """Feature sets against the discount alone over two splits; models differ by engine, so there is no SQL."""
+    sets = {"base": ["l_discount"], "quantity": ["l_discount", "l_quantity"], "all": FEATURES}
+    return M.ablation(learnable(spark, d), sets, ["k", "n", "p"], SEEDS[:2], "base", rounds=2)

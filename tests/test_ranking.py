@@ -59,3 +59,21 @@ def test_running_sums_of_structs_with_equal_first_fields(spark):
     df = spark.createDataFrame(random.Random(2).sample(data, len(data)), "g int, o struct<a:int,b:int>, n int").repartition(3)
     for r in R.running_sums(df, "o", ["n"], ["g"]).collect():
         assert r.n_before == r.o.b * (r.o.b - 1) // 2
+
+
+def test_ablation_computes_its_table_once(spark):
+    from evflow.operators import modelling as M
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, float(k % 7), float(k % 5), int(k % 7 > 3)) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, good double, bad double, y int").mapInArrow(count, "k int, good double, bad double, y int")
+    found = {r.name: r for r in M.ablation(df, {"base": ["bad"], "more": ["bad", "good"]}, ["k"], [1, 2], "base", rounds=2).collect()}
+    assert seen.value == 400
+    assert found["more"].improved == 2
+    assert found["more"].min_delta > 0.2
