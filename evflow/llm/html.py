@@ -10,6 +10,12 @@ or with no text there, uses its own best container.  Within a container, element
 left out; navigation, header, footer, aside and the like are left out everywhere by tag, and form controls, scripts and
 styles with them.
 
+Names alone drop little within the container: those of menus, adverts, sidebars, comments and the like count on blocks
+that hold others, never on paragraphs, headings or inline elements.  A block whose name may as well be the article's (a
+header, form, notice, search, legal text...) is kept if it has a heading and few links, or long prose and hardly any
+links.  If nothing but named blocks has prose, all are kept.  Where one article element alone on the page has prose, a
+twentieth of the page's at least, it is the page's vote, however long reader comments beside it are.
+
 A page is read in one pass whose time grows with its length alone: an open element knows its path's hash and its
 nearest enclosing block and list, which count what is open in them, so no tag walks over elements that it doesn't close.
 
@@ -23,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -40,19 +47,25 @@ SALTS = 64
 BOILER_WEIGHT = 0.02
 
 # HTML's elements by kind.
-_RAW = "script|style|noscript|template|textarea|iframe|select|title"
+_RAW = "script|style|noscript|template|textarea|iframe|title"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = frozenset("article body div form main section td blockquote center html".split())
 _LIST = _CONTAINER | {"ul", "ol", "dl", "table"}
-_LEFT_OUT = frozenset("nav header footer aside menu button dialog head fieldset label input".split())
+_LEFT_OUT = frozenset("nav header footer aside menu button dialog head fieldset label input select option optgroup datalist".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NAMED = frozenset("div section form ul ol dl table tbody tr td th center details dir figure blockquote li".split())
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _BOILER_WORD = "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead header topbar toolbar comment comments respond reply replies disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget search pagination pager copyright legal disclaimer skip form"
 
+#: Those of them that parts of an article have in their names as well.
+_EITHER_WORD = "banner side footer foot masthead header notice notices alert legal copyright disclaimer search form widget skip head"
+
 _BOILER_CLASS = frozenset(_BOILER_WORD.split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)[^>]*>?", re.I | re.S)
+_EITHER_CLASS = frozenset(_EITHER_WORD.split())
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-z][^\s/>]*)[^>]*>?", re.I | re.S)
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _READ = frozenset(("class", "id", "role", "hidden"))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -68,7 +81,7 @@ class Node:
     and ``opened`` and ``listed`` what is open in them by tag.
     """
 
-    __slots__ = ("at", "boiler", "container", "inside", "left_out", "link", "listed", "lists", "opened", "parent", "path", "scope", "tag")
+    __slots__ = ("article", "at", "boiler", "container", "inside", "left_out", "link", "listed", "lists", "named", "opened", "parent", "path", "scope", "sure", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None, wanted: int | None):
         found = {}
@@ -81,30 +94,40 @@ class Node:
         self.opened: dict[str, int] | None = None
         self.listed: dict[str, int] | None = None
         if parent is None:
+            self.named = self.article = None
+            self.sure = False
             self.at, self.boiler, self.left_out, self.link, self.path, self.inside = 0, 0, False, False, 0, 0 if wanted == 0 else None
             self.container = self.scope = self.lists = self
             return
         self.at = parent.at + 1
         name = tag + "".join(f".{_DIGITS.sub('N', c)}" for c in sorted(classes)) if classes else tag
         self.path = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), seed=parent.path & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
-        self.boiler = parent.boiler + names_boilerplate(tag, classes, found)
+        says = names_boilerplate(tag, classes, found)
+        self.boiler, self.sure = parent.boiler + (says > 0), says > 1
+        self.article = parent.article or (self if tag == "article" else None)
         self.left_out = parent.left_out or tag in _LEFT_OUT
         self.link = tag == "a" or parent.link
         self.container = self if tag in _CONTAINER else parent.container
         self.scope = self if tag in _BLOCK and tag != "p" else parent.scope
         self.lists = self if tag in _LIST else parent.lists
         self.inside = parent.inside
+        self.named = parent.named
+        if self.inside is not None and self.named is None and says:
+            self.named = self
         if self.inside is None and wanted is not None and self.path == wanted:
             self.inside = self.boiler
 
 
-def names_boilerplate(tag: str, classes: list[str], attrs: dict[str, str]) -> bool:
-    """Whether an element says by role, class, id or otherwise that it is not the article."""
-    if tag == "form" or "hidden" in attrs or attrs.get("role", "").lower() in _BOILER_ROLE:
-        return True
-    if tag in ("body", "html", "article", "main"):
-        return False
-    return any(w.lower() in _BOILER_CLASS for n in (*classes, attrs.get("id", "")) for w in _PART.findall(n))
+def names_boilerplate(tag: str, classes: list[str], attrs: dict[str, str]) -> int:
+    """Whether an element says by role, class, id or otherwise that it is not the article: 0 no, 1 maybe, 2 yes."""
+    if "hidden" in attrs or attrs.get("role", "").lower() in _BOILER_ROLE:
+        return 2
+    if tag not in _NAMED:
+        return 0
+    words = {w.lower() for n in (*classes, attrs.get("id", "")) for w in _PART.findall(n)}
+    if not words.isdisjoint(_BOILER_CLASS - _EITHER_CLASS):
+        return 2
+    return int(tag == "form" or not words.isdisjoint(_EITHER_CLASS))
 
 
 class Stack:
@@ -153,6 +176,8 @@ class Stack:
         top = self.nodes[-1]
         if tag in _CLOSES_P and top.scope.opened and top.scope.opened.get("p"):
             self.cut(self.last(("p",)))
+        if tag in _BLOCK and (counts := self.nodes[-1].scope.opened) and counts.get("select"):
+            self.cut(self.last(("select",)))
         if siblings := _SIBLING.get(tag):
             lists = self.nodes[-1].lists
             if lists.listed and any(lists.listed.get(t) and lists is not self.nodes[-1] for t in siblings):
@@ -163,11 +188,17 @@ class Stack:
             self.push(tag, attrs)
 
 
-def blocks(html: str, wanted: int | None = None) -> Iterator[tuple[Node, str, int]]:
-    """Blocks of prose in page order: the container each stands in, its text and the characters of it in links.
+class Block(NamedTuple):
+    """A block of prose: the element and the container it stands in, its text and the characters of it in links."""
 
-    With a ``wanted`` path, only what stands in an element of that path and in no boilerplate within it.
-    """
+    node: Node
+    container: Node
+    text: str
+    linked: int
+
+
+def blocks(html: str, wanted: int | None = None) -> Iterator[Block]:
+    """Blocks of prose in page order; with a ``wanted`` path, only what stands in an element of that path."""
     stack = Stack(wanted)
     text: list[str] = []
     linked = 0
@@ -175,18 +206,18 @@ def blocks(html: str, wanted: int | None = None) -> Iterator[tuple[Node, str, in
 
     def read(piece: str, top: Node) -> None:
         nonlocal linked
-        if not top.left_out and top.boiler == (top.container.boiler if wanted is None else top.inside):
+        if not top.left_out and (top.boiler == top.container.boiler if wanted is None else top.inside is not None):
             text.append(piece)
             linked += top.link * len(piece)
 
-    def close() -> tuple[Node, str, int] | None:
+    def close() -> Block | None:
         nonlocal linked
         if not text:
             return None
         whole = _SPACE.sub(" ", unescape("".join(text))).strip()
         text.clear()
         inside, linked = linked, 0
-        return (stack.nodes[-1].container, whole, inside) if whole else None
+        return Block(stack.nodes[-1], stack.nodes[-1].container, whole, inside) if whole else None
 
     for m in _TOKEN.finditer(html):
         if m.start() > end:
@@ -210,17 +241,27 @@ def blocks(html: str, wanted: int | None = None) -> Iterator[tuple[Node, str, in
         yield done
 
 
-def best_path(found: list[tuple[Node, str, int]]) -> tuple[int, float] | None:
+def best_path(found: list[Block]) -> tuple[int, float] | None:
     """The page's best container by prose outside links, as its path's hash, with its score."""
     scores: dict[int, float] = {}
     nodes: dict[int, Node] = {}
-    for node, text, linked in found:
-        gain = float(max(0, len(text) - 2 * linked)) * BOILER_WEIGHT**node.boiler
+    articles: dict[int, tuple[Node, float]] = {}
+    prose = 0.0
+    for block in found:
+        node = block.container
+        gain = float(max(0, len(block.text) - 2 * block.linked)) * BOILER_WEIGHT**node.boiler
+        prose += gain
+        if (own := node.article) is not None and not own.boiler and gain:
+            articles[id(own)] = own, articles.get(id(own), (own, 0.0))[1] + gain
         for up in range(3):
             scores[node.path] = scores.get(node.path, 0.0) + gain / (1 << up)
             nodes.setdefault(node.path, node)
             if (node := node.parent) is None:
                 break
+    if len(articles) == 1:
+        own, gain = next(iter(articles.values()))
+        if gain >= prose / 20:
+            return own.path, gain
     best = max((p for p, s in scores.items() if s > 0), key=lambda p: (scores[p], nodes[p].at, p), default=None)
     if best is None:
         return None
@@ -231,13 +272,38 @@ def best_path(found: list[tuple[Node, str, int]]) -> tuple[int, float] | None:
     return kept.get("article", kept.get("main", best)), scores[best]
 
 
+def kept_texts(found: list[Block]) -> list[str]:
+    """Texts of the blocks without those that stand in boilerplate within the container."""
+    sums: dict[int, list[int]] = {}
+    free = False
+    for b in found:
+        heading = b.node.tag in _HEADING
+        if b.node.named is None:
+            free = free or not heading
+        else:
+            own = sums.setdefault(id(b.node.named), [0, 0, 0])
+            own[0] += len(b.text)
+            own[1] += b.linked
+            own[2] += heading
+
+    def stays(node: Node | None) -> bool:
+        if node is None:
+            return True
+        size, linked, headings = sums[id(node)]
+        return not node.sure and (headings > 0 and 3 * linked < size or size >= 400 and 10 * linked < size)
+
+    if not free and not any(stays(b.node.named) for b in found if b.node.tag not in _HEADING):
+        return [b.text for b in found]
+    return [b.text for b in found if stays(b.node.named)]
+
+
 def main_text(html: str | None, winner: int | None) -> str:
     """Text of the containers with the winning path, else of the page's best one; blocks are parted by an empty line."""
     if not html:
         return ""
-    kept = [t for _, t, _ in blocks(html, winner)] if winner is not None else []
+    kept = kept_texts(list(blocks(html, winner))) if winner is not None else []
     if not kept and (best := best_path(list(blocks(html)))):
-        kept = [t for _, t, _ in blocks(html, best[0])]
+        kept = kept_texts(list(blocks(html, best[0])))
     return "\n\n".join(kept)
 
 

@@ -147,3 +147,45 @@ def test_winning_paths_equal_plain_counts(spark):
 
 def test_no_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_articles_are_not_lost_by_tags_or_names():
+    said = "The story of a long day, told here."
+    for page in (
+        f"<body><title-bar>x</title-bar><article><p>{said}</p></article></body>",
+        f"<body><template-card></template-card><article><p>{said}</p></article></body>",
+        f"<body><select><option>a<option>b<div><article><p>{said}</p></article></div></body>",
+        f"<body><div><p class='comment-text'>{said}</p></div></body>",
+        f"<body><article><p>{said}</p></article><div class='user-opinions'>{'<p>I disagree with all of it, at length.</p>' * 5}</div></body>",
+        f"<body><div class='comment-list'><p>{said}</p></div></body>",
+    ):
+        assert H.main_text(page, None) == said, page
+    inner = "<h2 class='section-header'>One</h2><div class='entry-header'><h1>Two</h1></div><p class='side-note'>Three</p><p class='copyright-law'>Four</p><p>The <span class='form'>five</span> of <a class='search'>six</a>, here.</p>"
+    text = "One\n\nTwo\n\nThree\n\nFour\n\nThe five of six, here."
+    assert H.main_text(f"<body><article>{inner}<div class='ad-box'><p>buy</p></div><ul class='menu'><li><a>x</a></ul></article></body>", None) == text
+    long = "<p>" + "Prose of the article goes on and on. " * 15 + "</p>"
+    assert H.main_text(f"<body><article><p>{said}</p><div class='legal-text'>{long}</div><div class='notice'>Closed today.</div></article></body>", None).startswith(said + "\n\nProse")
+
+
+def test_random_pages_give_what_they_were_made_of():
+    r = random.Random(11)
+    words = "river stone light winter garden paper window music".split()
+
+    def prose(n):
+        return " ".join(r.choices(words, k=n)) + "."
+
+    outside = ["<nav><a href='/'>{}</a></nav>", "<div class='sidebar'><p>{}</p></div>", "<footer>{}</footer>", "<header><p>{}</p></header>", "<div class='comments'><p>{}</p></div>", "<form><input><label>{}</label></form>", "<script>{}</script>", "<x-card><aside>{}</aside></x-card>"]
+    within = ["<div class='ad'>{}</div>", "<ul class='share-links'><li><a href='#'>{}</a></ul>", "<style>{}</style>", "<!-- {} -->", "<select><option>{}"]
+    for _ in range(150):
+        want, page = [], "".join(r.choice(outside).format(prose(4)) for _ in range(r.randint(0, 4)))
+        wrap = r.choice(["<article>", "<main><div class='story'>", "<div class='post-7'>"])
+        page += wrap
+        for _ in range(r.randint(2, 6)):
+            if r.random() < 0.3:
+                page += r.choice(within).format(prose(3))
+            text = prose(r.randint(12, 30))
+            open_, close = r.choice([("<p>", "</p>"), ("<p>", ""), ("<h2>", "</h2>"), ("<div class='lead'><p>", "</div>"), ("<blockquote>", "</blockquote>")][: 3 if "post" in wrap else 5])
+            page += open_ + text.replace("stone", "<b>st&#111;ne</b>") + close
+            want.append(text)
+        page += "</div></article></main>" + "".join(r.choice(outside).format(prose(4)) for _ in range(r.randint(0, 3)))
+        assert H.main_text(f"<html><body>{page}</body></html>", None) == "\n\n".join(want), page
