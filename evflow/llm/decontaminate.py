@@ -6,15 +6,18 @@ all items are looked up in one pass over each text (Aho-Corasick), and each hit'
 bit-parallel edit distance, whose columns are whole numbers as wide as the item.  Both sides are compared in lower case
 with white space made one space.
 
-The items are sent to every executor: a benchmark is bounded, and ``MAX_BENCHMARK_CHARS`` is checked.
+The items are sent to every executor, up to ``SENT_CHARS`` characters of them at once: a larger benchmark is dealt to
+parts by a hash, and the documents are read once for each part.
 
 Cases: null or empty texts and items match nothing; an item too short for pieces of ``MIN_PIECE`` characters gets as many
-pieces as fit, and a smaller budget; repeated rows match alike; ties give the first end; other columns are left out.
+pieces as fit, and a smaller budget; repeated rows match alike; ties give the first end; other columns are left out; without
+documents there is no pair, without items every document stays.  A text is searched whole, whatever its length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import ahocorasick
@@ -22,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evflow.llm.store import stage
 from evflow.llm.text import keep_rows, slices, text_view
 
 #: Share of an item's characters that may be edited.
 BUDGET = 0.06
 #: Shorter pieces would hit too often by chance.
 MIN_PIECE = 8
-#: Bound of what is sent to every executor.
-MAX_BENCHMARK_CHARS = 64_000_000
+#: Characters of items that are sent to every executor at once; a larger benchmark takes several passes over the documents.
+SENT_CHARS = 4_000_000
 
 
 class Item(NamedTuple):
@@ -112,7 +116,10 @@ def matches(text: str, items: list[Item], search: ahocorasick.Automaton) -> list
             low = end + 1 - size - start - item.budget
             high = low + len(item.text) + 2 * item.budget
             own = spans.setdefault(k, [])
-            for span in own:
+            for span in reversed(own):  # hits come by their ends, so one far behind ends the search
+                if span[1] < low - 3 * (high - low):
+                    own.append([low, high, 1])
+                    break
                 if span[0] <= high and low <= span[1]:
                     span[0], span[1], span[2] = min(span[0], low), max(span[1], high), span[2] + 1
                     break
@@ -145,25 +152,34 @@ def loaded(rows: list[tuple[int, str]], budget: float) -> tuple[list[Item], ahoc
     return _loaded[key]
 
 
-def send(benchmark: DataFrame):
-    """The benchmark's items, sent to every executor once their size is checked."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"the benchmark has {size} characters; {MAX_BENCHMARK_CHARS} may be sent to every executor")
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct().orderBy("item_id", "text")
-    return benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.collect()])
+def sent_in_parts(benchmark: DataFrame, most: int | None = None) -> list:
+    """The benchmark's items in parts of about ``most`` characters (``SENT_CHARS``), each sent to every executor.
+
+    Items are dealt to parts by a hash; one item that is longer by itself is not cut.
+    """
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-size // (most or SENT_CHARS)) or 1
+    context = benchmark.sparkSession.sparkContext
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text") for k in range(n))
+    return [context.broadcast([(r[0], r[1]) for r in part.collect()]) for part in parts]
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item of the benchmark."""
-    sent = send(benchmark)
+    parts = sent_in_parts(benchmark)
+    kept = docs
+    for sent in parts:
 
-    def keep(part: pa.RecordBatch) -> list[bool]:
-        items, search = loaded(sent.value, budget)
-        texts = map(normalise, part.column("text").to_pylist())
-        return [not (items and text and matches(text, items, search)) for text in texts]
+        def keep(part: pa.RecordBatch, sent=sent) -> list[bool]:
+            items, search = loaded(sent.value, budget)
+            texts = map(normalise, part.column("text").to_pylist())
+            return [not (items and text and matches(text, items, search)) for text in texts]
 
-    return keep_rows(docs, keep)
+        kept = keep_rows(kept, keep)
+        if sent is not parts[-1]:
+            kept = stage(kept, "decontaminated")
+    return kept
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
@@ -171,21 +187,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) ->
 
     Also: distance, budget, end (characters of the normalised text up to the passage's end), hits (pieces found there).
     """
-    sent = send(benchmark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, search = loaded(sent.value, budget)
-        for batch in batches:
-            for part in slices(batch):
-                out = []
-                if items:
-                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                        if whole := normalise(text):
-                            out += [(doc, items[k].item_id, d, items[k].budget, end, hits) for k, d, end, hits in matches(whole, items, search)]
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "budget", "end", "hits"])
-
-    return docs.mapInArrow(run, "doc_id long, item_id long, distance long, budget long, end long, hits long")
+    kind = "doc_id long, item_id long, distance long, budget long, end long, hits long"
+
+    def found_in(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items, search = loaded(sent.value, budget)
+            for batch in batches:
+                for part in slices(batch):
+                    out = []
+                    if items:
+                        for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                            if whole := normalise(text):
+                                out += [(doc, items[k].item_id, d, items[k].budget, end, hits) for k, d, end, hits in matches(whole, items, search)]
+                    columns = list(zip(*out, strict=True)) or [()] * 6
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "budget", "end", "hits"])
+
+        return docs.mapInArrow(run, kind)
+
+    return reduce(DataFrame.unionByName, map(found_in, sent_in_parts(benchmark)))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

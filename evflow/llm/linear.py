@@ -47,10 +47,12 @@ def hashed(name: str) -> int:
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
     """Up to ``limit`` labelled documents (doc_id, text, grade), written out; a document's first label counts.
 
-    The chosen labels are at most ``limit`` rows, so they go to every executor.
+    The chosen labels are at most ``limit`` rows, so they go to every executor; of rows with one id, the one with the
+    first text counts, so that the sample has no more rows than that.
     """
     chosen = labels.groupBy("doc_id").agg(F.min("grade").alias("grade")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    return stage(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade"), "labelled-sample")
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    return stage(found.select("doc_id", "text", "grade"), "labelled-sample")
 
 
 #: From a column of texts to (row, feature, value) of their features, each pair once.

@@ -62,14 +62,39 @@ def test_every_passage_within_the_budget_is_found(spark):
     assert kept == {d for d, _ in docs} - {d for d, _, _ in want}
 
 
-def test_empty_benchmark_and_bound(spark, hard, none, monkeypatch):
+def test_empty_benchmark(spark, hard, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.find_leaks(hard, bench).count() == 0
     assert D.find_leaks(none, bench).count() == 0
     assert D.clean(hard, bench).count() == hard.count()
-    monkeypatch.setattr(D, "MAX_BENCHMARK_CHARS", 3)
-    with pytest.raises(ValueError):
-        D.find_leaks(hard, spark.createDataFrame([(1, "more than three")], "item_id long, text string"))
+
+
+def test_parts_of_a_benchmark_find_the_same(spark, monkeypatch):
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    items = [(k, prose(12)) for k in range(9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(n, f"{prose(9)} {edited(items[n % 9][1], n % 4, r)} {prose(9)}") for n in range(30)] + [(30, prose(20)), (31, items[0][1] * 40)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int").repartition(2)
+    found = lambda: (sorted(map(tuple, D.find_leaks(df, bench).collect())), sorted(map(tuple, D.clean(df, bench).collect())))
+    whole = found()
+    assert len(whole[0]) > 20
+    monkeypatch.setattr(D, "SENT_CHARS", 200)
+    assert len(D.sent_in_parts(bench)) > 2
+    assert found() == whole
+
+
+def test_hits_far_apart_are_looked_at_in_time():
+    import time
+
+    item = D.make_item(1, "one two three four five six seven eight nine ten")
+    search = D.automaton([item])
+    took = []
+    for n in (500, 5000):
+        begun = time.process_time()
+        assert D.matches(("one two three " + "x" * 400) * n, [item], search) == []
+        took.append(time.process_time() - begun)
+    assert took[1] < 30 * max(took[0], 0.02)
 
 
 def test_alignment_rises_and_covers():

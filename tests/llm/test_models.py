@@ -207,3 +207,12 @@ def test_words_seating_adds_up_to_the_classes():
     assert (seating.tables >= 1).all() and (seating.tables <= seating.counts).all()
     assert seating.above.counts.sum() == seating.tables.sum() == seating.totals()[-1, 1] == state.customers[2].sum()
     assert [state.customers[2][g] for g in (3, 70, 500)] == [seating.tables[classes[seating.context] == g].sum() for g in (3, 70, 500)]
+
+
+def test_sample_has_one_row_an_id(spark):
+    from evflow.llm import linear
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(2, "a"), (3, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, grade int")
+    assert sorted(map(tuple, linear.sample(docs, labels, 10).collect())) == [(1, "text 0", 0), (2, "a", 1)]
+    assert linear.sample(docs, labels, 1).count() == 1
