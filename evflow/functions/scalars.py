@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers below this mean "missing" in event files.
@@ -240,3 +240,13 @@ def hashed_normal(key: Column, stream: str) -> Column:
     """Normal number made from a key, by two even ones."""
     radius = F.sqrt(-2 * F.ln(hashed_uniform(key, f"{stream}/r")))
     return radius * F.cos(2 * F.pi() * hashed_uniform(key, f"{stream}/a"))
+
+
+def other_convention(df: DataFrame, names: dict[str, str], flipped: list[str] | None = None) -> DataFrame:
+    """Columns under the names of another convention (old: new; two may change places), the ``flipped`` new ones negated."""
+    if missing := [c for c in names if c not in df.columns]:
+        raise ValueError(f"no columns {missing}")
+    renamed = {c: names.get(c, c) for c in df.columns}
+    if len(set(renamed.values())) < len(renamed):
+        raise ValueError("two columns would have one name")
+    return df.select(*[(-F.col(c) if n in (flipped or []) else F.col(c)).alias(n) for c, n in renamed.items()])

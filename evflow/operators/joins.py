@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evflow.functions.scalars import clamped_bin, delta_r2
@@ -73,3 +73,15 @@ def same_rows(left: DataFrame, right: DataFrame, names: dict[str, str], most: in
         return left.crossJoin(F.broadcast(right))
     hinted = F.broadcast(right) if few else right.hint("merge")
     return left.join(hinted, [left[a].eqNullSafe(right[b]) for a, b in names.items()], "left").drop(*names.values())
+
+
+def positional_twins(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
+    """Rows of two tables that have the same place within their event, in each table's own order; ``place`` counts from 0.
+
+    Columns of the orders that aren't keys are left out of the result.
+    """
+    sides = []
+    for df, order in ((left, left_order), (right, right_order)):
+        placed = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+        sides.append(placed.drop(*[c for c in order if c not in keys]))
+    return sides[0].join(sides[1], [*keys, "place"])

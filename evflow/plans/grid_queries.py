@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evflow.functions import scalars as S
 from evflow.operators import aggregates as A
 from evflow.operators import evaluation as E
 from evflow.operators import forests as T
 from evflow.operators import grids as G
+from evflow.operators import joins as J
 from evflow.operators import trajectories as R
 from evflow.operators.modelling import parity, tree_score
 from evflow.plans.catalog import query, table
@@ -281,3 +283,32 @@ def a1_chi2(spark, d):
     hits = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("track"), (F.col("l_discount") - 0.05).alias("chi2IncRPhi"))
     tracks = table(spark, d, "orders").select(F.col("o_orderkey").alias("track"))
     return rounded(A.sum_clipped_chi2(hits, tracks, ["track"]), 6, "sum_chi2_rphi")
+
+
+# --- guards and joins on two tables -----------------------------------------------------------------------------------------
+
+
+@query("u2_parts_that_no_supplier_key_names", "SELECT p_partkey FROM part EXCEPT SELECT l_suppkey FROM lineitem")
+def u2(spark, d):
+    named = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("p_partkey")).distinct()
+    return table(spark, d, "part").select("p_partkey").distinct().join(named, "p_partkey", "left_anti")
+
+
+@query("a16_sign_with_noise", "WITH x AS (SELECT l_tax AS t, l_discount AS p, l_tax - l_discount + l_quantity / 10000 AS r FROM lineitem) SELECT round(quantile_cont(abs(t - p - r), 0.5), 6) AS as_is, round(quantile_cont(abs(t - p + r), 0.5), 6) AS flipped FROM x")
+def a16(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("res", F.col("l_tax") - F.col("l_discount") + F.col("l_quantity") / 10000)
+    return rounded(A.sign_check(rows, "l_tax", "l_discount", "res"), 6, "as_is", "flipped")
+
+
+@query("j2_twins_in_two_tables", "WITH a AS (SELECT o_custkey % 100 AS event, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS place, o_totalprice AS price FROM orders), b AS (SELECT c_custkey % 100 AS event, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey) - 1 AS place, c_acctbal AS balance FROM customer) SELECT event, place::INTEGER AS place, price, balance FROM a JOIN b USING (event, place)")
+def j2(spark, d):
+    """Two tables whose rows belong together by their place within the event."""
+    a = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("event"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    b = table(spark, d, "customer").select((F.col("c_custkey") % 100).alias("event"), F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
+    return J.positional_twins(a, b, ["event"], ["k"], ["k"]).select("event", "place", "price", "balance")
+
+
+@query("p25_other_convention", "SELECT l_orderkey, l_linenumber, l_partkey, l_tax AS alpha, l_discount AS beta, -l_tax AS residual_alpha, -l_discount AS residual_beta FROM lineitem")
+def p25(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_discount").alias("alpha"), F.col("l_tax").alias("beta"), F.col("l_discount").alias("residual_alpha"), F.col("l_tax").alias("residual_beta"))
+    return S.other_convention(rows, {"alpha": "beta", "beta": "alpha", "residual_alpha": "residual_beta", "residual_beta": "residual_alpha"}, ["residual_alpha", "residual_beta"])

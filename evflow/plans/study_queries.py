@@ -109,14 +109,13 @@ def a11(spark, d):
     return fit.select("event", "n_window", F.round("condition", 6).alias("condition"), *[F.round(c, 4).alias(c) for c in ("sum_w", "vx", "vy", "scatter", "sigma_vx", "sigma_vy")])
 
 
-@query("a12_four_vertex_features", f"WITH {vertex_sql(10.0)} SELECT event, round(coalesce(vx, 0)::FLOAT, 3) AS vtx_dx, round(coalesce(vy, 0)::FLOAT, 3) AS vtx_dy, CASE WHEN sx > 1e-5 THEN round(vx / sx, 1) ELSE 0 END AS vtx_dxsig, CASE WHEN sy > 1e-5 THEN round(vy / sy, 1) ELSE 0 END AS vtx_dysig FROM e")
+@query("a12_four_vertex_features", f"WITH {vertex_sql(10.0)} SELECT event, round(coalesce(vx, 0)::FLOAT, 3) AS vtx_dx, round(coalesce(vy, 0)::FLOAT, 3) AS vtx_dy, round(CASE WHEN vx <> 0 AND sx > 0 THEN sx ELSE 0 END, 3) AS deviation_x, round(CASE WHEN vy <> 0 AND sy > 0 THEN sy ELSE 0 END, 3) AS deviation_y FROM e")
 def a12(spark, d):
-    """Significances above 10,000, whose deviation is next to nothing, are given as 0 here: rounding decides them."""
+    """The significances are shown by the deviation that each stands for: of two tracks it is next to nothing."""
     points, found, weight = vertices(spark, d)
     features = B.vertex_features(points, found, ["event"], "z", weight, "d0", "phi", sanitise=True, gate=10.0, least_condition=1e-3)
-    fit = A.vertex_estimate(points, found, ["event"], "z", weight, "d0", "phi", gate=10.0, least_condition=1e-3).select("event", "sigma_vx", "sigma_vy")
-    sure = {f"vtx_d{c}sig": F.when(F.col(f"sigma_v{c}") > 1e-5, F.round(F.col(f"vtx_d{c}sig").cast("double"), 1)).otherwise(F.lit(0.0)) for c in "xy"}
-    return features.join(fit, "event").select("event", F.round("vtx_dx", 3).alias("vtx_dx"), F.round("vtx_dy", 3).alias("vtx_dy"), *[c.alias(n) for n, c in sure.items()])
+    of = {f"deviation_{c}": F.abs(F.coalesce(F.try_divide(F.col(f"vtx_d{c}").cast("double"), F.col(f"vtx_d{c}sig").cast("double")), F.lit(0.0))) for c in "xy"}
+    return features.select("event", F.round("vtx_dx", 3).alias("vtx_dx"), F.round("vtx_dy", 3).alias("vtx_dy"), *[F.round(c, 3).alias(n) for n, c in of.items()])
 
 
 @query("b10_vertexing_table", """WITH r AS (SELECT o_custkey AS event, l_quantity AS q, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS slot FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
