@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -216,3 +218,32 @@ def test_sample_has_one_row_an_id(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, grade int")
     assert sorted(map(tuple, linear.sample(docs, labels, 10).collect())) == [(1, "text 0", 0), (2, "a", 1)]
     assert linear.sample(docs, labels, 1).count() == 1
+
+
+def test_toxicity_scores_are_the_sums_of_their_words(spark, hard):
+    docs = spark.createDataFrame([(k, ("vile awful words here" if k % 2 else "kind gentle words there") + f" n{k % 7}") for k in range(80)], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, grade int"))
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    texts = [r.text for r in hard.collect()] + ["vile kind vile", "Vile\tWORDS n3", "none of them"]
+    for text, got in zip(texts, T.document_scores(pa.array(texts, pa.string()), model).tolist(), strict=True):
+        words = {w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w}
+        z = sum(weights.get(f, 0.0) for w in words for f in T.word_features(w)) + model.bias
+        assert got == pytest.approx(1 / (1 + math.exp(-z)))
+    assert T.score(docs.where("false"), model).count() == 0
+
+
+def test_quality_grades_follow_from_thresholds(spark, hard):
+    kinds = ["zz zz qq", "plain prose of some kind", "fine prose, well written and whole"]
+    docs = spark.createDataFrame([(k, f"{kinds[k % 3]} t{k % 5}") for k in range(90)], "doc_id long, text string")
+    model = Q.fit(docs, spark.createDataFrame([(k, k % 3) for k in range(90)], "doc_id long, grade int"))
+    table = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    texts = [r.text for r in hard.collect()] + kinds
+    expected, tail = Q.rate(pa.array(texts, pa.string()), model, 1)
+    for text, grade, share in zip(texts, expected.tolist(), tail.tolist(), strict=True):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        z = (sum(table.get(f, 0.0) for w in words for f in Q.word_features(w)) + table.get(Q._AGAIN, 0.0) * again) / len(words) if words else table.get(Q._EMPTY, 0.0)
+        above = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert share == pytest.approx(above[0])
+        assert grade == pytest.approx(sum(above))
+    assert [round(x) for x in expected[-3:]] == [0, 1, 2]
