@@ -106,14 +106,14 @@ REPLAY = """t AS (SELECT o_orderkey AS idx, o_totalprice / 100000 AS p, greatest
 
 @query(
     "b15_refit_trajectory",
-    f"""WITH {REPLAY} SELECT idx AS track, step::INTEGER AS step, CASE layer WHEN 0 THEN 'OT L1Track' ELSE 'after L' || layer END AS label, round(rz, 4) AS chi2_rz, round(cphi, 4) AS cum_rphi, (nd + md)::BIGINT AS ndof, round((chi2 + cz) / (nd + md), 6) AS reduced_chi2,
+    f"""WITH {REPLAY} SELECT idx AS track, step::INTEGER AS step, CASE layer WHEN 0 THEN 'OT L1Track' ELSE 'after L' || layer END AS label, round(rz, 4) AS chi2_rz, round(cphi, 4) AS cum_rphi, (nd + md)::BIGINT AS ndof, round((chi2 + cz) / (nd + md), 8) AS reduced_chi2,
  round(CASE WHEN step = last AND done AND step > 0 THEN rd - td WHEN step = 0 THEN sd - td END, 6) AS error_d0, round(CASE WHEN step = last AND done AND step > 0 AND abs(sz - tz) >= 1e-12 THEN 100 * (abs(rz2 - tz) - abs(sz - tz)) / abs(sz - tz) END, 3) AS change_z0, idx % 3 <> 0 AS prompt_only
  FROM w JOIN (SELECT idx, nd, chi2, sd, td, rd, done, sz, tz, rz AS rz2 FROM u) USING (idx)""",
 )
 def b15(spark, d):
     tracks, hits = replayed(spark, d)
     found = R.refit_trajectory(tracks, hits, ["event"], F.col("config"))
-    return found.select(F.col("trackIdx").alias("track"), "step", "label", F.round("chi2_rz", 4).alias("chi2_rz"), F.round("cum_rphi", 4).alias("cum_rphi"), "ndof", F.round("reduced_chi2", 6).alias("reduced_chi2"), F.round("error_d0", 6).alias("error_d0"), F.round("change_z0", 3).alias("change_z0"), "prompt_only")
+    return found.select(F.col("trackIdx").alias("track"), "step", "label", F.round("chi2_rz", 4).alias("chi2_rz"), F.round("cum_rphi", 4).alias("cum_rphi"), "ndof", F.round("reduced_chi2", 8).alias("reduced_chi2"), F.round("error_d0", 6).alias("error_d0"), F.round("change_z0", 3).alias("change_z0"), "prompt_only")
 
 
 # --- lookup on three axes -------------------------------------------------------------------------------------------------
