@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evflow.llm.store import drop, new_path, open_file, stage
+from evflow.llm.store import drop, new_path, open_file, remove, rename, stage
 from evflow.llm.text import hash64, slices, split_words, text_view
 
 PARENTS, CHILDREN = 64, 64
@@ -119,9 +119,14 @@ def unpack(data) -> list[np.ndarray]:
 
 
 def save(uri: str, *arrays: np.ndarray) -> None:
-    """Write arrays to a file of the shared folder; a task that is run again writes the same."""
-    with open_file(uri, "wb") as f:
+    """Write arrays to a file of the shared folder; a task that is run again writes the same.
+
+    The file has a name of the attempt's own until it is whole, so one that is killed never leaves a part of it.
+    """
+    own = f"{uri}.{TaskContext.get().taskAttemptId()}"
+    with open_file(own, "wb") as f:
         f.write(pack(*arrays))
+    rename(own, uri)
 
 
 def load(uri: str) -> list[np.ndarray]:
@@ -620,7 +625,11 @@ def score(docs: DataFrame, rounds: int = 3, sweeps: int = 3, samples: int = 2, s
             }
         )
 
-    return answers(heard, base, draws[-samples:], n_blocks).groupBy("chunk").applyInArrow(run, SCORE)
+    scored = stage(answers(heard, base, draws[-samples:], n_blocks).groupBy("chunk").applyInArrow(run, SCORE), "scored")
+    for table in (heard, chunks):
+        drop(table)
+    remove(base)
+    return scored
 
 
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,22 @@ def drop(table: DataFrame) -> None:
     where.delete_dir(path)
 
 
+def remove(uri: str) -> None:
+    """Delete a folder of the shared folder with all that is in it, if it is there."""
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri)
+    where.delete_dir_contents(path, missing_dir_ok=True)
+
+
+def rename(uri: str, to: str) -> None:
+    """Give a file that was written whole its final name, in place of one that is there."""
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(uri)
+    where.move(path, fs.FileSystem.from_uri(to)[1])
+
+
 def open_file(uri: str, mode: str):
     """Open a file of the shared folder within a task; ``mode`` is ``rb`` or ``wb``."""
     from pyarrow import fs

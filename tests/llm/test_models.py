@@ -247,3 +247,11 @@ def test_quality_grades_follow_from_thresholds(spark, hard):
         assert share == pytest.approx(above[0])
         assert grade == pytest.approx(sum(above))
     assert [round(x) for x in expected[-3:]] == [0, 1, 2]
+
+
+def test_language_model_leaves_no_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "new_path", lambda session, name: f"file://{tmp_path}/{name}")
+    docs = spark.createDataFrame([(k, f"a few words {k % 4} of text") for k in range(30)], "doc_id long, text string").repartition(2)
+    found = P.score(docs, rounds=2, sweeps=1, samples=1)
+    assert found.count() == 30
+    assert [p for p in tmp_path.rglob("*") if p.is_file()] == []
