@@ -123,3 +123,20 @@ def test_licenses_are_found(spark, hard):
     assert got[4].license is None
     assert got[5].license == "gpl-3.0" and got[5].licenses == ["all-rights-reserved", "gpl-3.0"]
     assert L.scan(hard.select("doc_id", "text")).where("license is not null").count() == 0
+
+
+def test_notices_one_after_another_in_time_that_grows_with_length():
+    import time
+
+    mit = next(t for t in L.make_templates(L.TEMPLATES) if t.name == "mit-text")
+    for gap in (0, 3, 40, 400):
+        words = (["other"] * gap + mit.words) * 9
+        share, first, last, n = L.coverage(words, mit, 0.8)
+        assert (share, n) == (1, 9)
+        assert words[first : last + 1] == mit.words
+    r, took = random.Random(2), []
+    for n in (4_000, 32_000):
+        begun = time.process_time()
+        assert L.coverage(r.choices(mit.words, k=n), mit, 0.8)[3] == 0
+        took.append(time.process_time() - begun)
+    assert took[1] < 24 * max(took[0], 0.02)
