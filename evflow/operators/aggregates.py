@@ -121,7 +121,7 @@ def peak_window(filled: DataFrame, events: DataFrame, keys: list[str], kernel: l
     spread = filled.where("w > 0").select(*keys, "w", "bin", F.explode(parts).alias("k")).withColumn("start", F.col("bin") - F.col("k.o"))
     sums = spread.where((F.col("start") >= 0) & (F.col("start") <= bins - width)).groupBy(*keys, "start").agg(F.round(F.sum(F.col("w") * F.col("k.c")), 9).alias("v"))
     best = sums.groupBy(*keys).agg(F.max_by("start", F.struct("v", -F.col("start"))).alias("start"))
-    return events.select(*keys).join(best, keys, "left").withColumn("start", F.coalesce("start", F.lit(0)))
+    return events.select(*keys).join(best.hint("merge"), keys, "left").withColumn("start", F.coalesce("start", F.lit(0)))
 
 
 def window_centroid(points: DataFrame, windows: DataFrame, keys: list[str], x: str, weight: Column, low: float, high: float, bins: int, width: int) -> DataFrame:
@@ -129,7 +129,7 @@ def window_centroid(points: DataFrame, windows: DataFrame, keys: list[str], x: s
     step = F.lit((high - low) / bins)
     edged = windows.withColumns({"edge_low": F.lit(low) + F.col("start") * step, "edge_high": F.lit(low) + (F.col("start") + width) * step})
     inside = (F.col(x) >= F.col("edge_low")) & (F.col(x) < F.col("edge_high"))
-    joined = edged.join(points, keys, "left").withColumn("_w", F.when(inside, weight))
+    joined = edged.join(points.hint("merge"), keys, "left").withColumn("_w", F.when(inside, weight))
     sums = joined.groupBy(*keys, "start", "edge_low", "edge_high").agg(F.sum(F.col("_w") * F.col(x)).alias("_s"), F.sum("_w").alias("_n"))
     return sums.select(*keys, "start", "edge_low", "edge_high", F.coalesce(F.try_divide("_s", "_n"), (F.col("edge_low") + F.col("edge_high")) / 2).alias("z0"))
 
@@ -142,7 +142,7 @@ def transverse_fit(points: DataFrame, windows: DataFrame, keys: list[str], x: st
     inside = (F.col(x) >= F.col("edge_low")) & (F.col(x) < F.col("edge_high"))
     if gate is not None:
         inside = inside & (F.abs(F.col(d0)) < gate)
-    joined = windows.join(points, keys, "left").withColumn("_w", F.when(inside, weight))
+    joined = windows.join(points.hint("merge"), keys, "left").withColumn("_w", F.when(inside, weight))
     s, c, w, d = F.sin(phi), F.cos(phi), F.col("_w"), F.col(d0)
     sums = joined.groupBy(*keys).agg(F.count("_w").alias("n_window"), F.sum(w).alias("sum_w"), F.sum(w * s * s).alias("ss"), F.sum(w * c * c).alias("cc"), F.sum(w * s * c).alias("sc"), F.sum(w * d * s).alias("ds"), F.sum(w * d * c).alias("dc"), F.sum(w * d * d).alias("dd"))
     det = F.col("ss") * F.col("cc") - F.col("sc") * F.col("sc")
@@ -168,7 +168,7 @@ def vertex_estimate(points: DataFrame, windows: DataFrame, keys: list[str], x: s
     """
     inside = (F.col(x) >= F.col("edge_low")) & (F.col(x) < F.col("edge_high"))
     heavy = weight if gate is None else F.when(F.abs(F.col(d0)) <= gate, weight).otherwise(F.lit(0.0))
-    joined = windows.join(points, keys, "left").withColumn("_w", F.when(inside, heavy))
+    joined = windows.join(points.hint("merge"), keys, "left").withColumn("_w", F.when(inside, heavy))
     s, c, w, d = F.sin(phi), F.cos(phi), F.col("_w"), F.col(d0)
     products = {"sum_w": w, "_ss": w * s * s, "_cc": w * c * c, "_sc": w * s * c, "_ds": w * d * s, "_dc": w * d * c, "_dd": w * d * d}
     sums = joined.groupBy(*keys).agg(F.count_if(w > 0).alias("n_window"), *[F.coalesce(F.sum(v), F.lit(0.0)).alias(n) for n, v in products.items()])
@@ -209,7 +209,7 @@ def residual_map(df: DataFrame, a: str, b: str, value: str, bins_a: int, bins_b:
     pooled = quantiles(df, F.col(value), levels).select(F.col("quantiles")[1].alias("_all_bias"), spread.alias("_all_sigma"))
     spark = df.sparkSession
     grid = spark.range(bins_a).select(F.col("id").cast("int").alias(a)).crossJoin(spark.range(bins_b).select(F.col("id").cast("int").alias(b)))
-    full = grid.join(cells, [a, b], "left").crossJoin(F.broadcast(pooled)).withColumn("n", F.coalesce("n", F.lit(0)))
+    full = grid.join(cells.hint("shuffle_hash"), [a, b], "left").crossJoin(F.broadcast(pooled)).withColumn("n", F.coalesce("n", F.lit(0)))
     enough = F.col("n") >= least
     return full.select(a, b, "n", F.when(enough, F.col("_bias")).otherwise(F.col("_all_bias")).alias("bias"), F.when(enough, F.col("_sigma")).otherwise(F.col("_all_sigma")).alias("sigma"))
 

@@ -32,7 +32,7 @@ def nearest_match(objects: DataFrame, targets: DataFrame, keys: list[str], place
     near = left.join(right.hint("merge"), [*keys, "_eta_cell", "_phi_cell"])
     near = near.withColumn("_d", delta_r2(F.col("eta"), F.col("phi"), F.col("_eta"), F.col("_phi"))).where(F.col("_d") < radius * radius)
     best = near.groupBy(*keys, place).agg(F.min(F.struct("_d", "_t")).alias("_b"))
-    joined = objects.select(*keys, place).join(best, [*keys, place], "left")
+    joined = objects.select(*keys, place).join(best.hint("merge"), [*keys, place], "left")
     return joined.select(*keys, place, F.coalesce(F.col("_b._t"), F.lit(-1)).alias("match"), F.col("_b._d").alias("dr2"))
 
 
@@ -42,10 +42,14 @@ def grid_table(axes: dict[str, int], spark) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), frames)
 
 
-def grid_lookup(df: DataFrame, axes: dict[str, tuple[Column, list[float]]], cells: DataFrame, values: list[str], category: list[str] | None = None) -> DataFrame:
-    """Values of the cell that each row falls into; numbers outside an axis use its first or last bin."""
+def grid_lookup(df: DataFrame, axes: dict[str, tuple[Column, list[float]]], cells: DataFrame, values: list[str], category: list[str] | None = None, most: int = 100_000) -> DataFrame:
+    """Values of the cell that each row falls into; numbers outside an axis use its first or last bin.
+
+    Cells go to every task as long as there are at most ``most`` of them, so that rows of a full cell stay spread.
+    """
     binned = df.withColumns({a: clamped_bin(x, edges) for a, (x, edges) in axes.items()})
-    return binned.join(cells.select(*axes, *(category or []), *values), [*axes, *(category or [])], "left")
+    by = [*axes, *(category or [])]
+    return same_rows(binned, cells.select(*[F.col(c).alias(f"_of_{c}") for c in by], *values), {c: f"_of_{c}" for c in by}, most)
 
 
 def pairs_in_batch(df: DataFrame, batch: str, key: str, vector: str) -> DataFrame:

@@ -158,7 +158,7 @@ def j2(spark, d):
 @query("j8_dense_grid", "WITH c AS (SELECT (user_id % 10)::INTEGER AS a, hour(ts)::INTEGER AS b, count(*) AS n FROM events GROUP BY 1, 2) SELECT i::INTEGER AS a, j::INTEGER AS b, coalesce(n, 0)::BIGINT AS n FROM generate_series(0, 9) g(i) CROSS JOIN generate_series(0, 23) h(j) LEFT JOIN c ON c.a = i AND c.b = j")
 def j8(spark, d):
     counts = table(spark, d, "events").groupBy((F.col("user_id") % 10).cast("int").alias("a"), F.hour("ts").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return J.grid_table({"a": 10, "b": 24}, spark).join(counts, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return J.grid_table({"a": 10, "b": 24}, spark).join(counts.hint("shuffle_hash"), ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @query("k5_explicit_keys", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'large' ELSE 'small' END AS archetype FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)")
