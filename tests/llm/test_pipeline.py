@@ -53,4 +53,4 @@ def test_entry_without_the_subpackage():
 def test_queries_are_registered():
     from evflow.llm.queries import QUERIES
 
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
