@@ -9,30 +9,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evflow.functions.scalars import clamped_bin, delta_r2
+from evflow.sources.collections import staged
 
 
-def nearest_match(objects: DataFrame, targets: DataFrame, keys: list[str], place: str, target_place: str, radius: float) -> DataFrame:
+def nearest_match(objects: DataFrame, targets: DataFrame, keys: list[str], place: str, target_place: str, radius: float, most: int = 4) -> DataFrame:
     """For each object the closest target of its parent within ``radius`` in (eta, phi), else -1; equals: the first.
 
-    Both tables have eta and phi; the result has the keys, ``place``, match and dr2.  Targets are copied to the cells of
-    the radius' width around their own, so that only objects near them meet them.
+    Both tables have eta and phi; the result has the keys, ``place``, match and dr2.  Cells are narrow at first, so that
+    the fullest has about ``most`` places of targets, and twice as wide in each pass, up to ``radius``.  Every cell lists
+    the targets of the 3 x 3 cells around it: an object meets one list, and is done if a target is nearer than the
+    width, for no target outside the list can be.  Only the others go on to the next pass.  Targets of one parent at
+    one place count once, by their first.
     """
-    width, turns = radius * (1 + 1e-9), max(1, math.floor(2 * math.pi / radius / (1 + 1e-9)))
+    spots = targets.where("eta is not null and phi is not null").groupBy(*keys, "eta", "phi").agg(F.min(target_place).alias("_t"))
 
-    def cells(eta: Column, phi: Column) -> tuple[Column, Column]:
-        return F.floor(eta / width), F.floor(F.pmod(phi / (2 * math.pi), F.lit(1.0)) * turns)
+    def cells(width: float) -> tuple[Column, Column, int]:
+        wide, turns = width * (1 + 1e-9), max(1, math.floor(2 * math.pi / width / (1 + 1e-9)))
+        return F.floor(F.col("eta") / wide), F.pmod(F.floor(F.pmod(F.col("phi") / (2 * math.pi), F.lit(1.0)) * turns), F.lit(turns)), turns
 
     def around(cell: Column) -> Column:
         return F.sequence(cell - 1, cell + 1)
 
-    eta_cell, phi_cell = cells(F.col("eta"), F.col("phi"))
-    left = objects.withColumns({"_eta_cell": eta_cell, "_phi_cell": F.pmod(phi_cell, F.lit(turns))})
-    right = targets.where("eta is not null and phi is not null").select(*keys, F.col(target_place).alias("_t"), F.col("eta").alias("_eta"), F.col("phi").alias("_phi"), F.explode(around(eta_cell)).alias("_eta_cell"), phi_cell.alias("_middle"))
-    right = right.withColumn("_phi_cell", F.explode(F.array_distinct(F.transform(around(F.col("_middle")), lambda c: F.pmod(c, F.lit(turns)))))).drop("_middle")
-    near = left.join(right.hint("merge"), [*keys, "_eta_cell", "_phi_cell"])
-    near = near.withColumn("_d", delta_r2(F.col("eta"), F.col("phi"), F.col("_eta"), F.col("_phi"))).where(F.col("_d") < radius * radius)
-    best = near.groupBy(*keys, place).agg(F.min(F.struct("_d", "_t")).alias("_b"))
-    joined = objects.select(*keys, place).join(best.hint("merge"), [*keys, place], "left")
+    def ring(cell: Column, turns: int) -> Column:
+        return F.array_distinct(F.transform(around(cell), lambda c: F.pmod(c, F.lit(turns))))
+
+    eta_cell, phi_cell, _ = cells(radius)
+    fullest = spots.groupBy(*keys, eta_cell.alias("_e"), phi_cell.alias("_p")).count().agg(F.max("count")).first()[0] or 1
+    placed = F.col("eta").isNotNull() & F.col("phi").isNotNull()
+    kind = f"struct<_d:double,_t:{spots.schema['_t'].dataType.simpleString()}>"
+    found = [objects.where(~placed).select(*keys, place, F.lit(None).cast(kind).alias("_b"))]
+    left = objects.where(placed).select(*keys, place, "eta", "phi")
+    for narrower in range(min(20, max(0, math.ceil(math.log(fullest / most, 4)))), -1, -1):
+        width = radius / 2**narrower
+        eta_cell, phi_cell, turns = cells(width)
+        copies = spots.select(*keys, F.struct("eta", "phi", "_t").alias("_s"), F.explode(around(eta_cell)).alias("_eta_cell"), ring(phi_cell, turns).alias("_ring"))
+        lists = copies.select(*keys, "_s", "_eta_cell", F.explode("_ring").alias("_phi_cell")).groupBy(*keys, "_eta_cell", "_phi_cell").agg(F.collect_list("_s").alias("_near"))
+        met = left.withColumns({"_eta_cell": eta_cell, "_phi_cell": phi_cell}).join(lists.hint("merge"), [*keys, "_eta_cell", "_phi_cell"], "left")
+        distances = F.transform("_near", lambda s: F.struct(delta_r2(F.col("eta"), F.col("phi"), s["eta"], s["phi"]).alias("_d"), s["_t"].alias("_t")))
+        met = met.select(*keys, place, "eta", "phi", F.array_min(distances).alias("_b"))
+        met = staged(met.withColumn("_b", F.when(F.col("_b._d") < width * width, F.col("_b"))), "nearest")
+        found.append((met.where("_b is not null") if narrower else met).select(*keys, place, "_b"))
+        left = met.where("_b is null").drop("_b")
+    joined = reduce(DataFrame.unionByName, found)
     return joined.select(*keys, place, F.coalesce(F.col("_b._t"), F.lit(-1)).alias("match"), F.col("_b._d").alias("dr2"))
 
 

@@ -354,3 +354,20 @@ def test_nearest_match_meets_every_near_pair(spark, radius):
         near = [x for x in near if x[0] < radius * radius]
         assert got[e, k] == (min(near)[1] if near else -1)
     assert len(got) == len(objects)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_nearest_match_of_crowded_and_far_places(spark, most):
+    """A dense crowd, a few places apart, and objects in, around and far off both: one list a pass, whatever the density."""
+    r = random.Random(4)
+    crowd = [(1, k, round(r.gauss(0, 0.02), 3), round(r.gauss(3.1, 0.02), 3)) for k in range(200)]
+    targets = [*crowd, *[(1, 200 + k, r.uniform(-3, 3), r.uniform(-math.pi, math.pi)) for k in range(10)], *[(1, 300 + k, *crowd[k][2:]) for k in range(20)]]
+    objects = [(1, k, r.choice([0.0, r.gauss(0, 0.05), r.uniform(-4, 4)]), r.choice([-3.15, r.uniform(-math.pi, math.pi)])) for k in range(150)] + [(1, 150, None, 0.0), (2, 0, 0.0, 0.0)]
+    columns = "e int, idx int, eta double, phi double"
+    found = J.nearest_match(spark.createDataFrame(objects, columns), spark.createDataFrame(targets, columns), ["e"], "idx", "idx", 1.2, most)
+    got = {(x.e, x.idx): x.match for x in found.collect()}
+    assert len(got) == len(objects)
+    for e, k, eta, phi in objects:
+        near = [] if eta is None else [((eta - b) * (eta - b) + (math.pi - abs(math.pi - abs(phi - c))) ** 2, t) for f, t, b, c in targets if f == e]
+        near = [x for x in near if x[0] < 1.44]
+        assert got[e, k] == (min(near)[1] if near else -1)
