@@ -371,3 +371,32 @@ def test_nearest_match_of_crowded_and_far_places(spark, most):
         near = [] if eta is None else [((eta - b) * (eta - b) + (math.pi - abs(math.pi - abs(phi - c))) ** 2, t) for f, t, b, c in targets if f == e]
         near = [x for x in near if x[0] < 1.44]
         assert got[e, k] == (min(near)[1] if near else -1)
+
+
+def test_split_takes_its_rows_from_whole_buckets_and_one_ranked(spark):
+    """The rows that a rank over all would take, for any share; only the bucket at the edge is ranked."""
+    df = spark.range(5000).select((F.col("id") % 2500).alias("k"))
+    order = sorted(r.h for r in df.select(K.hash_key("k", seed=2).alias("h")).collect())
+    for fraction in (0.0, 0.1, 0.25, 1.0):
+        rows = K.exact_split(df, ["k"], fraction, 2).select("is_test", K.hash_key("k", seed=2).alias("h")).collect()
+        assert len(rows) == 5000
+        assert sorted(r.h for r in rows if r.is_test) == order[: int(5000 * fraction)]
+    assert K.exact_split(df.where("false"), ["k"], 0.5).count() == 0
+    cut = [r.pid for r in K.exact_split(df.repartition(6), ["k"], 0.25).select(F.spark_partition_id().alias("pid")).distinct().collect()]
+    assert len(cut) >= 6
+
+
+def test_rows_alike_are_fitted_as_one(spark):
+    """A table and its fivefold copy give one model; rows of one kind are merged, however many there are."""
+    r = random.Random(1)
+    kinds = [(float(r.randrange(6)), float(r.randrange(4))) for _ in range(200)]
+    df = spark.createDataFrame([(a, b, int(a + b > 4 + r.gauss(0, 1))) for a, b in kinds], "a double, b double, y int")
+    fivefold = df.join(spark.range(5).select("id"), how="cross").drop("id")
+    merged = M.merged_rows(fivefold, ["a", "b", "y"], 10)
+    assert merged.agg(F.sum("_n")).first()[0] == 1000 and merged.count() == df.distinct().count()
+    assert merged.rdd.getNumPartitions() == -(-df.distinct().count() // 10)
+    models = [M.fit_trees(x, ["a", "b"], rounds=3) for x in (df, fivefold)]
+    scores = [{(x.a, x.b): x.score for x in M.with_score(m, df).collect()} for m in models]
+    assert scores[0] == pytest.approx(scores[1])
+    weights = {x.y: x.weight for x in M.class_weights(merged, "y", "_n").collect()}
+    assert weights == pytest.approx({x.y: x.weight for x in M.class_weights(fivefold, "y").collect()})
