@@ -105,6 +105,16 @@ def kernel_weights(kind: str, width: int, sigma: float = 1.0) -> list[float]:
     raise ValueError(f"unknown kernel {kind!r}")
 
 
+def dealt(points: DataFrame, keys: list[str], most: int = 250_000) -> DataFrame:
+    """The points dealt out by event, to so many partitions that each has about ``most``; they are counted for it.
+
+    Histograms, windows and sums of an event are then made where its points are, in memory that doesn't grow with the
+    table.  Adaptive execution doesn't join these partitions, nor split that of an event of very many points.
+    """
+    usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return points.repartition(max(usual, -(-points.count() // most)), *keys)
+
+
 def weighted_histogram(points: DataFrame, keys: list[str], x: str, weight: Column, low: float, high: float, bins: int) -> DataFrame:
     """Sum of the weights in each filled bin of each event."""
     return points.withColumn("bin", even_bin(F.col(x), low, high, bins)).where("bin is not null").groupBy(*keys, "bin").agg(F.sum(weight).alias("w"))
@@ -113,14 +123,22 @@ def weighted_histogram(points: DataFrame, keys: list[str], x: str, weight: Colum
 def peak_window(filled: DataFrame, events: DataFrame, keys: list[str], kernel: list[float], bins: int) -> DataFrame:
     """First start of the window with the largest kernel-weighted sum, 0 for events without weight.
 
-    Each filled bin adds to the windows that cover it; empty bins are never made.  Sums are rounded so that the order of
-    adding doesn't decide between equal windows.
+    Each filled bin looks at its neighbours and gives the best of the windows that cover it; empty bins are never made.
+    Sums are rounded so that the order of adding doesn't decide between equal windows.
     """
     width = len(kernel)
-    parts = F.array(*[F.struct(F.lit(k).alias("o"), F.lit(float(c)).alias("c")) for k, c in enumerate(kernel)])
-    spread = filled.where("w > 0").select(*keys, "w", "bin", F.explode(parts).alias("k")).withColumn("start", F.col("bin") - F.col("k.o"))
-    sums = spread.where((F.col("start") >= 0) & (F.col("start") <= bins - width)).groupBy(*keys, "start").agg(F.round(F.sum(F.col("w") * F.col("k.c")), 9).alias("v"))
-    best = sums.groupBy(*keys).agg(F.max_by("start", F.struct("v", -F.col("start"))).alias("start"))
+    near = Window.partitionBy(*keys).orderBy("bin").rangeBetween(1 - width, width - 1)
+    weights = F.array(*[F.lit(float(c)) for c in kernel])
+
+    def value(start: Column) -> Column:
+        covered = F.filter("_near", lambda x: (x["bin"] >= start) & (x["bin"] < start + width))
+        return F.round(F.aggregate(covered, F.lit(0.0), lambda s, x: s + x["w"] * F.get(weights, x["bin"] - start)), 9)
+
+    starts = F.sequence(F.greatest(F.lit(0), F.col("bin") - (width - 1)), F.least(F.col("bin"), F.lit(bins - width)))
+    valued = F.transform(starts, lambda k: F.struct(value(k).alias("v"), (-k).alias("k")))
+    rows = filled.where("w > 0").select(*keys, "bin", F.collect_list(F.struct("bin", F.col("w").cast("double").alias("w"))).over(near).alias("_near"))
+    best = rows.where(F.greatest(F.lit(0), F.col("bin") - (width - 1)) <= F.least(F.col("bin"), F.lit(bins - width))).select(*keys, F.array_max(valued).alias("_best"))
+    best = best.groupBy(*keys).agg((-F.max("_best")["k"]).alias("start"))
     return events.select(*keys).join(best.hint("merge"), keys, "left").withColumn("start", F.coalesce("start", F.lit(0)))
 
 

@@ -9,6 +9,7 @@ from evflow.operators import grids as G
 from evflow.operators import joins as J
 from evflow.operators import nested as N
 from evflow.plans.catalog import query, table
+from evflow.sources import collections as C
 
 
 def hits(spark, d):
@@ -81,12 +82,13 @@ def a7(spark, d):
 LOW, HIGH, BINS = 0.0, 64.0, 256
 
 
-def tracks(spark, d):
-    """Lines as tracks of their customer's event: z from the price, phase from the ship date."""
+def tracks(spark, d, *names):
+    """Lines as tracks of their customer's event: z from the price, phase from the ship date; all columns or those named."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     phi = F.dayofyear("l_shipdate") * (2 * 3.141592653589793 / 366)
     z = F.pmod(F.col("l_extendedprice") / 97, F.lit(70.0)) - 3
-    return lines.select(F.col("o_custkey").alias("event"), z.alias("z"), F.col("l_quantity").alias("pt"), phi.alias("phi"), (0.3 * F.sin(phi) - 0.1 * F.cos(phi) + F.col("l_tax") / 100).alias("d0"))
+    found = lines.select(F.col("o_custkey").alias("event"), z.alias("z"), F.col("l_quantity").alias("pt"), phi.alias("phi"), (0.3 * F.sin(phi) - 0.1 * F.cos(phi) + F.col("l_tax") / 100).alias("d0"))
+    return A.dealt(C.staged(found.select(*names or found.columns), "tracks"), ["event"])
 
 
 TRACKS = """t AS (SELECT o_custkey AS event, (l_extendedprice / 97 - 70.0 * floor(l_extendedprice / 97 / 70.0)) - 3 AS z, l_quantity AS pt, dayofyear(l_shipdate) * (2 * 3.141592653589793 / 366) AS phi,
@@ -98,8 +100,8 @@ TRACKS = """t AS (SELECT o_custkey AS event, (l_extendedprice / 97 - 70.0 * floo
  win AS (SELECT c_custkey AS event, coalesce(start, 0)::INTEGER AS start, coalesce(start, 0) * 0.25 AS lo, (coalesce(start, 0) + 3) * 0.25 AS hi FROM customer LEFT JOIN best ON event = c_custkey)"""
 
 
-def windows(spark, d):
-    points = tracks(spark, d)
+def windows(spark, d, *names):
+    points = tracks(spark, d, *names)
     events = table(spark, d, "customer").select(F.col("c_custkey").alias("event"))
     weight = F.least(F.col("pt"), F.lit(30.0))
     filled = A.weighted_histogram(points, ["event"], "z", weight, LOW, HIGH, BINS)
@@ -109,12 +111,12 @@ def windows(spark, d):
 
 @query("a8_weighted_histogram", f"WITH {TRACKS} SELECT event, bin, round(w, 4) AS w FROM hist")
 def a8(spark, d):
-    return A.weighted_histogram(tracks(spark, d), ["event"], "z", F.least(F.col("pt"), F.lit(30.0)), LOW, HIGH, BINS).select("event", "bin", F.round("w", 4).alias("w"))
+    return A.weighted_histogram(tracks(spark, d, "event", "z", "pt"), ["event"], "z", F.least(F.col("pt"), F.lit(30.0)), LOW, HIGH, BINS).select("event", "bin", F.round("w", 4).alias("w"))
 
 
 @query("a9_a10_peak_and_centroid", f"WITH {TRACKS} SELECT win.event, start, round(coalesce(sum(CASE WHEN z >= lo AND z < hi THEN least(pt, 30) * z END) / sum(CASE WHEN z >= lo AND z < hi THEN least(pt, 30) END), (any_value(lo) + any_value(hi)) / 2), 6) AS z0 FROM win LEFT JOIN t ON t.event = win.event GROUP BY 1, 2")
 def a9(spark, d):
-    return windows(spark, d)[1].select("event", "start", F.round("z0", 6).alias("z0"))
+    return windows(spark, d, "event", "z", "pt")[1].select("event", "start", F.round("z0", 6).alias("z0"))
 
 
 @query("a11_transverse_fit", f"""WITH {TRACKS}, s AS (SELECT win.event, count(w) AS n_window, coalesce(sum(w), NULL) AS sum_w, sum(w * sin(phi) * sin(phi)) AS ss, sum(w * cos(phi) * cos(phi)) AS cc, sum(w * sin(phi) * cos(phi)) AS sc, sum(w * d0 * sin(phi)) AS ds, sum(w * d0 * cos(phi)) AS dc

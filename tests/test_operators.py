@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,34 @@ def test_vertex_fit_recovers_exactly(spark):
     assert gated.vx == pytest.approx(0.3, abs=1e-9) and gated.n_window == found.n_window
 
 
+@pytest.mark.parametrize("kind,width", [("triangular", 3), ("gaussian", 4), ("flat", 9)])
+def test_peak_window_against_all_starts(spark, kind, width):
+    r, bins, kernel = random.Random(width), 8, A.kernel_weights(kind, width)
+    rows = [(e, b, float(r.randint(0, 3))) for e in range(60) for b in r.sample(range(bins), r.randint(1, bins))]
+    events = spark.createDataFrame([(e,) for e in range(62)], "event long")
+    got = {x.event: x.start for x in A.peak_window(spark.createDataFrame(rows, "event long, bin int, w double"), events, ["event"], kernel, bins).collect()}
+    want = {e: 0 for e in range(62)}
+    for e in range(60):
+        w = {b: x for k, b, x in rows if k == e}
+        values = {start: round(sum(c * w.get(start + k, 0.0) for k, c in enumerate(kernel)), 9) for start in range(bins - width + 1)}
+        if any(v > 0 for v in values.values()):
+            want[e] = min(values, key=lambda s: (-values[s], s))
+    assert got == want
+
+
+def test_peaks_are_made_where_an_events_points_are(spark):
+    rows = [(e, 0.37 * k % 64, 1.0 + k % 5) for e in range(200) for k in range(20)]
+    points = A.dealt(spark.createDataFrame(rows, "event long, z double, pt double"), ["event"], 100)
+    parts = points.select("event", F.spark_partition_id().alias("p")).groupBy("event").agg(F.min("p").alias("low"), F.max("p").alias("high")).collect()
+    assert points.rdd.getNumPartitions() == 40 and all(x.low == x.high for x in parts) and len(parts) == 200
+    filled = A.weighted_histogram(points, ["event"], "z", F.col("pt"), 0.0, 64.0, 256)
+    start = A.peak_window(filled, points.select("event").distinct(), ["event"], A.kernel_weights("triangular", 3), 256)
+    plan = A.window_centroid(points, start, ["event"], "z", F.col("pt"), 0.0, 64.0, 256, 3)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffles and all(re.search(r"hashpartitioning\([^)]*, 40\)", x) for x in shuffles)  # as many partitions as the points have, whatever the stage
+    assert not any("bin#" in x or "start#" in x for x in shuffles)
+
+
 def test_peak_without_weight_starts_at_zero(spark):
     _, window = fit(spark, [(1, 99.0, 1.0, 0.0, 0.0)])
     assert window.start == 0 and window.z0 == pytest.approx((window.edge_low + window.edge_high) / 2)
