@@ -253,6 +253,26 @@ def test_labels_of_jets(spark):
     assert charge == {0: 0, 1: 1, 2: 1}
 
 
+def test_jets_at_one_place_are_matched_once(spark, monkeypatch):
+    """Twenty jets a place, null ones too: each place is sought once a kind, and all its jets have its labels."""
+    r = random.Random(3)
+    places = [(k % 2, r.uniform(-0.5, 0.5), r.uniform(-0.5, 0.5)) for k in range(6)] + [(1, None, 0.0), (None, 0.0, 0.0), (0, 0.0, -0.0), (0, -0.0, 0.0)]
+    jets = [(e, 20 * k + j, 10.0 + j, eta, phi) for k, (e, eta, phi) in enumerate(places) for j in range(20)]
+    gen = [(k % 2, k, 18.0 + k, r.uniform(-0.5, 0.5), r.uniform(-0.5, 0.5), 5, 5) for k in range(8)]
+    taus = spark.createDataFrame([], "event int, idx long, pt double, eta double, phi double, charge int")
+    parts = spark.createDataFrame([], "event int, idx long, pt double, eta double, phi double, pdgId int, statusFlags int")
+    sought = []
+    monkeypatch.setattr(B, "nearest_match", lambda objects, *a: (sought.append(objects.count()), J.nearest_match(objects, *a))[1])
+    frames = spark.createDataFrame(jets, "event int, idx long, pt double, eta double, phi double"), spark.createDataFrame(gen, "event int, idx long, pt double, eta double, phi double, partonFlavour int, hadronFlavour int")
+    got = {x.idx: x for x in B.label_jets(*frames, taus, parts, ["event"]).collect()}
+    assert sought == [8] * 4 and sorted(got) == list(range(200))
+    for e, k, pt, eta, phi in jets:
+        near = [] if eta is None else [((eta - g[3]) ** 2 + (phi - g[4]) ** 2, g[2]) for g in gen if g[0] == e]
+        near = [x for x in near if x[0] < 0.16]
+        assert (got[k].event, got[k].label) == (e, 0 if near else -1)
+        assert got[k].true_pt == (min(near)[1] if near else 0.0) and got[k].target == pytest.approx(max(0.3, min(2.0, got[k].true_pt / pt)))
+
+
 def test_exact_incremental_map(spark, tmp_path):
     rows = [(k % 2, k % 3, float(k)) for k in range(120)]
     schema = "a int, b int, value double"
