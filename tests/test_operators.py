@@ -449,3 +449,46 @@ def test_rows_alike_are_fitted_as_one(spark):
     assert scores[0] == pytest.approx(scores[1])
     weights = {x.y: x.weight for x in M.class_weights(merged, "y", "_n").collect()}
     assert weights == pytest.approx({x.y: x.weight for x in M.class_weights(fivefold, "y").collect()})
+
+
+def noisy_rows(spark, n, seed=3):
+    r = random.Random(seed)
+    rows = [(k, r.uniform(0, 9), r.choice([None, float("nan"), r.uniform(0, 5)])) for k in range(n)]
+    return spark.createDataFrame([(k, a, b, int(a + r.gauss(0, 2) > 5)) for k, a, b in rows], "k int, a double, b double, y int").repartition(3)
+
+
+def test_best_seed_fits_bins_of_all_rows(spark, monkeypatch):
+    """Rows that differ in values, but not in bins, are fitted as one; losses are those of the model on the rows themselves."""
+    df, fitted, weigh = noisy_rows(spark, 3000), [], M.class_weights
+
+    def seen(rows, label, times=None):
+        fitted.append(rows.agg(F.count(F.lit(1)), F.sum("_n")).first())
+        return weigh(rows, label, times)
+
+    monkeypatch.setattr(M, "class_weights", seen)
+    for features, most in ((["a"], 2 * 33), (["a", "b"], 2250)):
+        fitted.clear()
+        model, losses = M.best_seed(df, features, ["k"], [4, 5, 6], rounds=3)
+        assert all(rows <= most and times == 2250 for rows, times in fitted)
+        losses = {x.seed: (x.loss, x.best) for x in losses.collect()}
+        best = min(losses, key=lambda seed: losses[seed][0])
+        assert [seed for seed in losses if losses[seed][1]] == [best]
+        held = K.exact_split(df, ["k"], 0.25, best).where("is_test")
+        assert M.log_loss(M.with_score(model, held, "p"), "p", "y") == pytest.approx(losses[best][0])
+
+
+def test_shared_splits_are_exact_splits(spark):
+    df = noisy_rows(spark, 500)
+    for seed, split in M.shared_splits(df, ["k"], [1, 2]).items():
+        members = [{(x.k, x.is_test) for x in s.collect()} for s in (split, K.exact_split(df, ["k"], 0.25, seed))]
+        assert members[0] == members[1] and len(members[0]) == 500
+
+
+def test_bins_of_features(spark):
+    nan, far = float("nan"), float("inf")
+    df = spark.createDataFrame([(float(v), 1.5, None) for v in range(100)] + [(nan, 1.5, None), (None, None, None), (far, nan, None), (-far, 1.5, None)], "a double, b double, c double")
+    bins = M.feature_bins(df, ["a", "b", "c"])
+    rows = M.with_bins(bins, df).collect()
+    assert len({x._bin_a for x in rows[:100]}) == 32 and [x._bin_a for x in rows[:100]] == sorted(x._bin_a for x in rows[:100])
+    assert rows[100]._bin_a == rows[101]._bin_a > rows[102]._bin_a >= rows[99]._bin_a and rows[103]._bin_a <= rows[0]._bin_a
+    assert {x._bin_b for x in rows} == {1.0, 2.0} and len({x._bin_c for x in rows}) == 1
