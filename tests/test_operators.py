@@ -492,3 +492,41 @@ def test_bins_of_features(spark):
     assert len({x._bin_a for x in rows[:100]}) == 32 and [x._bin_a for x in rows[:100]] == sorted(x._bin_a for x in rows[:100])
     assert rows[100]._bin_a == rows[101]._bin_a > rows[102]._bin_a >= rows[99]._bin_a and rows[103]._bin_a <= rows[0]._bin_a
     assert {x._bin_b for x in rows} == {1.0, 2.0} and len({x._bin_c for x in rows}) == 1
+
+
+@pytest.mark.parametrize(("losses", "rounds"), [([3, 2, 1], 3), ([3, 2, 2.5, 1], 4), ([3, 2, 2.5, 2.4, 1], 2), ([3], 1)])
+def test_best_round_waits(losses, rounds):
+    assert M.best_round(losses, 2) == rounds
+
+
+def test_rounds_go_on_while_they_gain(spark):
+    """Small gains end no rounds, and rounds end where rows that aren't fitted say; rows count as often as they are there."""
+    df = M.with_stop(noisy_rows(spark, 4000), ["k"]).select("a", "y", "_stop", (F.hash("k") % 2 == 0).cast("int").alias("chance"))
+    model = M.fit_trees(df, ["a"], rounds=24, step=0.05, validation="_stop", patience=24).stages[-1]
+    assert model.getNumTrees > 12
+    noise = M.fit_trees(df, ["a"], "chance", rounds=20, step=1.0, validation="_stop", patience=3).stages[-1]
+    assert noise.getNumTrees < 20
+    counted = M.binned_split(df.withColumn("is_test", F.lit(False)), ["a"], "y", "_stop")[1]
+    expanded = counted.withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).withColumn("_n", F.lit(1))
+    trees = [M.fit_binned(x, ["a"], rounds=8, step=1.0, validation="_stop", patience=1).stages[-1].getNumTrees for x in (counted, expanded)]
+    assert trees[0] == trees[1]
+
+
+def test_area_counts_rows_as_often_as_they_are(spark):
+    r = random.Random(8)
+    rows = [(float(r.randrange(6)), r.random() < 0.4, r.randrange(1, 5)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "s double, pos boolean, n int")
+    expanded = df.withColumn("e", F.explode(F.sequence(F.lit(1), "n")))
+    assert E.auc(df, "s", F.col("pos"), times="n").first() == E.auc(expanded, "s", F.col("pos")).first()
+
+
+def test_ablation_query_does_the_studys_rounds(spark, monkeypatch):
+    """80 rounds that may gain for as long as 15, over eight splits, for each set of features."""
+    import __spark_entry__
+
+    asked = []
+    monkeypatch.setattr(M, "ablation", lambda df, sets, keys, seeds, base, **options: asked.append((len(sets), list(seeds), options)))
+    __spark_entry__.queries()["m10_ablation"](spark, "/root/testdata/sf0.001")
+    n_sets, seeds, options = asked[0]
+    assert n_sets == 3 and seeds == list(range(8))
+    assert (options["rounds"], options["depth"], options["step"], options["patience"]) == (80, 3, 0.15, 15)
